@@ -29,13 +29,15 @@ from folioforge.llm.batches import only
 from folioforge.llm.components import components
 from folioforge.llm.digest_index import join_by_digest
 from folioforge.llm.shingles import digest, sets_of
-from folioforge.llm.storage import staged
+from folioforge.llm.storage import release, staged
 
 #: A similarity of NUM / DEN or more links.
 NUM, DEN = 75, 100
 COMMON = 1 << 62
 #: Size of the summary of common tokens that is sent to every task, and the count from which a token is common.
-SUMMARY, COMMON_FROM = 1 << 15, 24
+SUMMARY, COMMON_FROM = 1 << 16, 24
+#: Star rounds look only at pairs that share this part of a prefix: those are likely links.  The last round looks at all.
+LIKELY = 0.25
 
 
 def prefix_length(n: np.ndarray | int) -> np.ndarray | int:
@@ -231,50 +233,76 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     copies.  A null identifier is never a component's; if a component has no
     other, its ``component_id`` is null.  No documents give no rows.
     """
+    spark = docs.sparkSession
     given = only(docs, id=id_col, text=text_col)
     common = common_tokens(given)
     members = staged(members_of(given, common), "members")
     classes = staged(members.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("group_size"), F.first("gid").alias("gid"), F.first("n").alias("n")), "classes")
     postings = members.filter("prefix IS NOT NULL").select(F.explode("prefix").alias("token"), F.col("n").cast("long").alias("n"), "gid", "last")
     runs = staged(shared_runs(postings), "runs")
-    groups = classes.groupBy("gid").agg(F.min("digest").alias("lead"), F.count("*").alias("k"))
-    met = staged(runs.select("gid").union(groups.filter("k > 1").select("gid")).distinct(), "met")
+    release(spark)
+    met = runs.select("gid").union(classes.groupBy("gid").count().filter("count > 1").select("gid")).distinct()
     crowd = staged(classes.join(met, "gid", "left_semi"), "crowd")
+    leads = staged(crowd.groupBy("gid").agg(F.min("digest").alias("lead"), F.count("*").alias("k")), "leads")
+    release(spark)
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[bytes] = set()  # rows of an identifier are in one task: of those that repeat a text the first serves
         for b, sets in sets_of(batches):
-            keep = [(k, s.tobytes()) for k, s in zip(b.column("digest").to_pylist(), sets, strict=True) if digest(s) == k]
+            keep = []
+            for k, s in zip(b.column("digest").to_pylist(), sets, strict=True):
+                if k not in done and digest(s) == k:
+                    done.add(k)
+                    keep.append((k, s.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keep], pa.binary()), pa.array([s for _, s in keep], pa.binary())], ["digest", "tokens"])
 
-    texts = given.join(crowd.select(F.col("rep").alias("id"), "digest"), "id").select("digest", "text")
-    sets = staged(texts.mapInArrow(tokens_of, "digest binary, tokens binary").dropDuplicates(["digest"]), "sets")
-    leads = staged(crowd.groupBy("gid").agg(F.min("digest").alias("lead"), F.count("*").alias("k")), "leads")
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Fetch the sets of the classes in ``pairs`` and compare them whole."""
+        pairs = staged(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+        asked = pairs.select(F.col("u").alias("digest")).union(pairs.select("v")).distinct()
+        who = crowd.join(asked, "digest", "left_semi").select(F.col("rep").alias("id"), "digest")
+        sets = staged(given.join(who, "id").select("digest", "text").mapInArrow(tokens_of, "digest binary, tokens binary"), "sets")
+        release(spark)
+        out = staged(_linked(pairs, sets), "links")
+        release(spark)
+        return out
+
+    def by_lead(pairs: DataFrame, one: str, two: str) -> DataFrame:
+        a, b = (leads.select(F.col("gid").alias(g), F.col("lead").alias(x)) for g, x in ((one, "u"), (two, "v")))
+        return pairs.join(a, one).join(b, two).select("u", "v")
+
     inside = crowd.join(leads.filter("k > 1"), "gid").filter(F.col("digest") != F.col("lead")).select(F.col("lead").alias("u"), F.col("digest").alias("v"))
-    a, b = (leads.select(F.col("gid").alias(g), F.col("lead").alias(x)) for g, x in (("pivot", "u"), ("gid", "v")))
-    across = runs.filter("pivot != gid").select("pivot", "gid").distinct().join(a, "pivot").join(b, "gid").select("u", "v")
-    links = staged(_linked(inside.union(across).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets), "links")
-    for turn in range(star_rounds):
-        labels = staged(components(links), "labels")
-        named = staged(crowd.select("gid", "digest", "n").join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest")), "named")
-        kinds = named.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        # a group of several components counts as one of its own; one that is alone as itself
-        kinds = staged(kinds.select("gid", F.when(F.col("low") == F.col("high"), F.xxhash64("low")).otherwise(F.xxhash64("gid")).alias("label"), (F.col("low") != F.col("high")).alias("mixed")), "kinds")
-        told = runs.join(kinds, "gid")
-        if turn + 1 < star_rounds:
-            # another pivot: of the members outside the first pivot's component the one with the least label
+    links = None
+    for turn in range(star_rounds + 1):
+        if links is not None:
+            named = crowd.select("gid", "digest", "n")
+            if not links.isEmpty():
+                named = named.join(components(links).select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+            else:
+                named = named.withColumn("label", F.col("digest"))
+            named = staged(named, "named")
+            kinds = named.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+            # a group of several components has a label of its own
+            kinds = staged(kinds.select("gid", F.when(F.col("low") == F.col("high"), F.xxhash64("low")).otherwise(F.xxhash64("gid")).alias("label"), (F.col("low") != F.col("high")).alias("mixed")), "kinds")
+        likely = F.col("count") >= LIKELY * (F.col("n") - F.ceil(F.col("n") * (NUM / DEN)) + 1)
+        if turn == 0:
+            pairs = runs.filter("pivot != gid").groupBy("pivot", "gid", "n").count().filter(likely)
+            pairs = inside.union(by_lead(pairs, "pivot", "gid"))
+        elif turn < star_rounds:
+            # another pivot: of the members outside the first one's component that with the least label
             mine, first = (kinds.select(F.col("gid").alias(x), F.col("label").alias(f"{x}_label")) for x in ("gid", "pivot"))
             apart = runs.join(mine, "gid").join(first, "pivot").filter("gid_label != pivot_label")
             second = apart.groupBy("token", "pivot").agg(F.min(F.struct("gid_label", "gid")).alias("s"))
-            pairs = apart.join(second, ["token", "pivot"]).filter("gid != s.gid AND gid_label != s.gid_label").select(F.col("s.gid").alias("a"), F.col("gid").alias("b")).distinct()
-            a, b = (leads.select(F.col("gid").alias(g), F.col("lead").alias(x)) for g, x in (("a", "u"), ("b", "v")))
-            found = pairs.join(a, "a").join(b, "b").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+            pairs = apart.join(second, ["token", "pivot"]).filter("gid != s.gid AND gid_label != s.gid_label")
+            pairs = by_lead(pairs.groupBy(F.col("s.gid").alias("other"), "gid", "n").count().filter(likely), "other", "gid")
         else:
-            pairs = open_pairs(told).groupBy("a", "b", "na", "nb", "rest").count()
+            pairs = open_pairs(runs.join(kinds, "gid")).groupBy("a", "b", "na", "nb", "rest").count()
             pairs = pairs.filter((NUM + DEN) * (F.col("count") + F.col("rest")) >= NUM * (F.col("na") + F.col("nb"))).select("a", "b")
             pairs = pairs.union(kinds.filter("mixed").select(F.col("gid").alias("a"), F.col("gid").alias("b")))
             a, b = (named.select(F.col("gid").alias(g), F.col("digest").alias(x), F.col("label").alias(f"{x}_label")) for g, x in (("a", "u"), ("b", "v")))
-            found = pairs.join(a, "a").join(b, "b").filter("u_label != v_label").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        links = staged(links.union(_linked(found, sets)), "links")
+            pairs = pairs.join(a, "a").join(b, "b").filter("u_label != v_label").select("u", "v")
+        new = linked(pairs)
+        links = new if links is None else links.union(new)
     labels = staged(components(links), "labels")
     known = labels.select(F.col("node").alias("digest"), "label").join(classes.select("digest", "rep"), "digest")
     heads = known.groupBy("label").agg(F.min("rep").alias("component_id"))
