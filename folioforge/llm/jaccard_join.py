@@ -78,18 +78,22 @@ def common_tokens(docs: DataFrame) -> np.ndarray:
 
 
 def members_of(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """Class, group and prefix of each document: ``id, n, digest, gid, last, prefix``; a task gives a group's prefix once."""
+    """Class, group and prefix of each document: ``id, n, digest, gid, last, light, prefix``; a task gives a group's prefix once.
+
+    ``last``: last token of the prefix; ``light``: how many of its tokens are not common.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b, sets in sets_of(batches):
-            n, marks, groups, lasts, prefixes = [], [], [], [], []
+            n, marks, groups, lasts, lights, prefixes = [], [], [], [], [], []
             for s in sets:
                 n.append(len(s))
                 if not len(s):
                     marks.append(None)
                     groups.append(None)
                     lasts.append(None)
+                    lights.append(None)
                     prefixes.append(None)
                     continue
                 key = s.astype(np.int64)
@@ -103,11 +107,12 @@ def members_of(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 marks.append(digest(s))
                 groups.append(gid)
                 lasts.append(int(head[-1]))
+                lights.append(int(np.searchsorted(head, COMMON)))
                 prefixes.append(None if gid in seen else head)
                 seen.add(gid)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int32()), pa.array(marks, pa.binary()), pa.array(groups, pa.int64()), pa.array(lasts, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "n", "digest", "gid", "last", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int32()), pa.array(marks, pa.binary()), pa.array(groups, pa.int64()), pa.array(lasts, pa.int64()), pa.array(lights, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "n", "digest", "gid", "last", "light", "prefix"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n int, digest binary, gid long, last long, prefix array<long>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n int, digest binary, gid long, last long, light long, prefix array<long>")
 
 
 def _columns(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
@@ -115,7 +120,7 @@ def _columns(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
 
 
 def shared_runs(postings: DataFrame) -> DataFrame:
-    """Posting lists of two groups or more, repeats of a group dropped: ``token, n, gid, last, pivot``.
+    """Posting lists of two groups or more, repeats of a group dropped: ``token, n, gid, last, info, pivot``.
 
     A member's pivot is the first member of its list in its band of sizes.
     """
@@ -125,13 +130,13 @@ def shared_runs(postings: DataFrame) -> DataFrame:
         joined = False  # its list has an earlier row
         pivot = (-1, -1, 0)  # of the last row before it: token, band and group that leads the band
         for b in _then_end(batches):
-            t, n, g, last = (np.empty(0, np.int64),) * 4 if b is None else _columns(b, "token", "n", "gid", "last")
+            t, n, g, last, info = (np.empty(0, np.int64),) * 5 if b is None else _columns(b, "token", "n", "gid", "last", "info")
             if held is not None:
-                t, n, g, last = (np.concatenate([[h], x]) for h, x in zip(held, (t, n, g, last), strict=True))
+                t, n, g, last, info = (np.concatenate([[h], x]) for h, x in zip(held, (t, n, g, last, info), strict=True))
             if not len(t):
                 continue
             keep = np.append(True, (t[1:] != t[:-1]) | (g[1:] != g[:-1]))
-            t, n, g, last = t[keep], n[keep], g[keep], last[keep]
+            t, n, g, last, info = t[keep], n[keep], g[keep], last[keep], info[keep]
             same = t[1:] == t[:-1]
             after, before = np.append(same, False), np.append(joined, same)
             band = (np.log(np.maximum(n, 1)) / np.log(4 / 3)).astype(np.int64)
@@ -144,12 +149,12 @@ def shared_runs(postings: DataFrame) -> DataFrame:
             out = np.flatnonzero((after | before)[:done])
             if done:
                 pivot = (t[done - 1], band[done - 1], lead[done - 1])
-            held, joined = (t[-1], n[-1], g[-1], last[-1]), bool(before[-1])
+            held, joined = (t[-1], n[-1], g[-1], last[-1], info[-1]), bool(before[-1])
             if len(out):
-                yield pa.RecordBatch.from_arrays([pa.array(x[out].astype(np.int64)) for x in (t, n, g, last, lead)], ["token", "n", "gid", "last", "pivot"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[out].astype(np.int64)) for x in (t, n, g, last, info, lead)], ["token", "n", "gid", "last", "info", "pivot"])
 
     sorted_ = postings.repartition("token").sortWithinPartitions("token", "n", "gid")
-    return sorted_.mapInArrow(run, "token long, n long, gid long, last long, pivot long")
+    return sorted_.mapInArrow(run, "token long, n long, gid long, last long, info long, pivot long")
 
 
 def _then_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -158,43 +163,53 @@ def _then_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 
 def open_pairs(runs: DataFrame) -> DataFrame:
-    """Pairs of groups in a posting list whose labels differ: ``a, b, na, nb, rest``, once for each list.
+    """Pairs of groups in a posting list whose labels differ: ``a, b, na, nb, rest, light``, once for each list.
 
-    ``rest``: what the sets can share past the prefix that ends first.
+    ``light``: 1 in the list of a token that is not common; all these meet, so
+    their number is what the prefixes share of such tokens.  ``rest``: what the
+    sets can share besides.  In the list of a common token, which comes last in
+    the order, a pair is made only if that token can be the first that the two
+    share: what is left of both sets from there must suffice.
     """
 
-    def within(n: np.ndarray, g: np.ndarray, last: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def within(t: int, n: np.ndarray, g: np.ndarray, last: np.ndarray, info: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
         code = np.unique(label, return_inverse=True)[1]
         order = np.argsort(code, kind="stable")
-        n, g, last, code = n[order], g[order], last[order], code[order]
+        n, g, last, info, code = n[order], g[order], last[order], info[order], code[order]
+        late, left = t >= COMMON, n - (info & 0xFFFFFFFF)
+        past = n - (info >> 32)  # tokens that are not among the prefix's light ones
         stop = np.searchsorted(code, code, side="right")  # others begin where a member's own label ends
         for i in np.flatnonzero(stop < len(n)).tolist():
             j = np.arange(stop[i], len(n))
-            j = j[(n[j] * DEN >= n[i] * NUM) & (n[i] * DEN >= n[j] * NUM)]
+            ok = (n[j] * DEN >= n[i] * NUM) & (n[i] * DEN >= n[j] * NUM)
+            if late:
+                ok &= (NUM + DEN) * np.minimum(left[j], left[i]) >= NUM * (n[j] + n[i])
+            j = j[ok]
             if len(j):
-                left = np.where(last[j] < last[i], n[j] - prefix_length(n[j]), n[i] - prefix_length(int(n[i])))
+                both = (last[j] >= COMMON) & (last[i] >= COMMON)
+                rest = np.where(both, np.minimum(past[j], past[i]), np.where(last[j] < last[i], past[j], past[i]))
                 swap = g[j] < g[i]
                 a, b = np.where(swap, g[j], g[i]), np.where(swap, g[i], g[j])
                 na, nb = np.where(swap, n[j], n[i]), np.where(swap, n[i], n[j])
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (a, b, na, nb, left)], ["a", "b", "na", "nb", "rest"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (a, b, na, nb, rest, np.full(len(j), 0 if late else 1))], ["a", "b", "na", "nb", "rest", "light"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 5
+        held = [np.empty(0, np.int64)] * 6
         small: list[pa.RecordBatch] = []
         for b in _then_end(batches):
             if b is not None:
-                held = [np.concatenate([h, x]) for h, x in zip(held, _columns(b, "token", "n", "gid", "last", "label"), strict=True)]
+                held = [np.concatenate([h, x]) for h, x in zip(held, _columns(b, "token", "n", "gid", "last", "info", "label"), strict=True)]
             t = held[0]
             if not len(t):
                 continue
             edges = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1], [True]]))
             whole = len(edges) - 1 if b is None else len(edges) - 2
-            label = held[4]
+            label = held[5]
             change = np.append(0, np.cumsum(np.append(0, (t[1:] == t[:-1]) & (label[1:] != label[:-1]))))
             for k in np.flatnonzero(change[edges[1:]] - change[edges[:-1]]).tolist():
                 if k < whole:
                     s = slice(edges[k], edges[k + 1])
-                    small += within(*(x[s] for x in held[1:]))
+                    small += within(int(t[edges[k]]), *(x[s] for x in held[1:]))
                     if len(small) >= 256:
                         yield from pa.Table.from_batches(small).combine_chunks().to_batches()
                         small = []
@@ -202,8 +217,8 @@ def open_pairs(runs: DataFrame) -> DataFrame:
         if small:
             yield from pa.Table.from_batches(small).combine_chunks().to_batches()
 
-    sorted_ = runs.repartition("token").sortWithinPartitions("token", "n", "gid").select("token", "n", "gid", "last", "label")
-    return sorted_.mapInArrow(run, "a long, b long, na long, nb long, rest long")
+    sorted_ = runs.repartition("token").sortWithinPartitions("token", "n", "gid").select("token", "n", "gid", "last", "info", "label")
+    return sorted_.mapInArrow(run, "a long, b long, na long, nb long, rest long, light long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -238,7 +253,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     common = common_tokens(given)
     members = staged(members_of(given, common), "members")
     classes = staged(members.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("group_size"), F.first("gid").alias("gid"), F.first("n").alias("n")), "classes")
-    postings = members.filter("prefix IS NOT NULL").select(F.explode("prefix").alias("token"), F.col("n").cast("long").alias("n"), "gid", "last")
+    postings = members.filter("prefix IS NOT NULL").select(F.posexplode("prefix").alias("at", "token"), F.col("n").cast("long").alias("n"), "gid", "last", "light")
+    postings = postings.select("token", "n", "gid", "last", F.shiftleft("light", 32).bitwiseOR(F.col("at").cast("long")).alias("info"))
     runs = staged(shared_runs(postings), "runs")
     release(spark)
     met = runs.select("gid").union(classes.groupBy("gid").count().filter("count > 1").select("gid")).distinct()
@@ -296,8 +312,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             pairs = apart.join(second, ["token", "pivot"]).filter("gid != s.gid AND gid_label != s.gid_label")
             pairs = by_lead(pairs.groupBy(F.col("s.gid").alias("other"), "gid", "n").count().filter(likely), "other", "gid")
         else:
-            pairs = open_pairs(runs.join(kinds, "gid")).groupBy("a", "b", "na", "nb", "rest").count()
-            pairs = pairs.filter((NUM + DEN) * (F.col("count") + F.col("rest")) >= NUM * (F.col("na") + F.col("nb"))).select("a", "b")
+            pairs = open_pairs(runs.join(kinds, "gid")).groupBy("a", "b", "na", "nb", "rest").agg(F.sum("light").alias("light"))
+            pairs = pairs.filter((NUM + DEN) * (F.col("light") + F.col("rest")) >= NUM * (F.col("na") + F.col("nb"))).select("a", "b")
             pairs = pairs.union(kinds.filter("mixed").select(F.col("gid").alias("a"), F.col("gid").alias("b")))
             a, b = (named.select(F.col("gid").alias(g), F.col("digest").alias(x), F.col("label").alias(f"{x}_label")) for g, x in (("a", "u"), ("b", "v")))
             pairs = pairs.join(a, "a").join(b, "b").filter("u_label != v_label").select("u", "v")
@@ -312,3 +328,14 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     some = join_by_digest(rows.filter("n_shingles > 0"), whole, rows.count()).select("id", "n_shingles", "component_id")
     none = rows.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
     return some.union(none).withColumnRenamed("id", id_col)
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with only the document of the smallest identifier of each component, all columns kept.
+
+    Rows that share an identifier go or stay together; a row without one can't
+    be named and stays.
+    """
+    found = jaccard_components(docs, id_col=id_col, text_col=text_col)
+    gone = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    return docs.join(gone.hint("shuffle_hash"), id_col, "left_anti").select(*docs.columns)
