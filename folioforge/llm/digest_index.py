@@ -78,11 +78,23 @@ class DigestIndex:
         identifiers come last, and a group of them alone keeps one, with a null
         ``keep_id``.  No rows leave the index as it is.
         """
-        rows = only(docs, id=id_col, text=text_col).select(
+        return self._decide(only(docs, id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id()), id_col)
+
+    def kept(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """The rows of ``docs`` that :meth:`add` keeps, with all their columns."""
+        row = "row"
+        while row in docs.columns:
+            row = f"_{row}"
+        given = staged(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+        gone = self._decide(only(given, id=id_col, text=text_col, row=row), "id").filter(~F.col("kept")).select(F.col("row").alias(row))
+        return given.join(gone.hint("shuffle_hash"), row, "left_anti").select(*docs.columns)
+
+    def _decide(self, given: DataFrame, id_col: str) -> DataFrame:
+        rows = given.select(
             "id",
             F.sha2(squeezed(F.col("text")), 256).alias("digest"),
             F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"),
-            F.monotonically_increasing_id().alias("row"),
+            "row",
         )
         rows = staged(rows, "digests")
         best = F.struct("n_chars", F.col("id").isNotNull().alias("known"), (-F.coalesce("id", F.lit(0))).alias("rank"), (-F.col("row")).alias("first"))

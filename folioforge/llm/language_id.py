@@ -22,6 +22,8 @@ from folioforge.llm.shingles import mix
 
 DIM = 1024
 GAP = 32
+#: What a text without a letter gets.
+UNKNOWN = "und"
 #: Rows of each language, in expectation, that a fit reads.
 FIT_ROWS = 2000
 #: A document is worked on in spans of so many characters.
@@ -162,7 +164,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: st
                     v = b_.vector(text) if text and names else None
                     size = 0.0 if v is None else float(np.linalg.norm(v))
                     if v is None:
-                        pred.append("und")
+                        pred.append(UNKNOWN)
                         score.append(0.0)
                         continue
                     cos = matrix @ v / size if size else np.zeros(len(names))
