@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioforge.functions.text import let
+
 UNKNOWN = "date_unknown"
 #: Months and days, two digits first.
 _MM, _DD = r"(1[0-2]|0?[1-9])", r"(3[01]|[12]\d|0?[1-9])"
@@ -37,23 +39,23 @@ def six_digits(year: Column, month: Column, day: Column) -> Column:
 
 
 def _found(c: Column, pattern: str, y: int, m: int, d: int) -> Column:
+    """The first match of the pattern as a date, or null."""
     group = lambda k: F.regexp_extract(c, pattern, k)
-    return F.when(group(0) != "", six_digits(group(y), group(m), group(d) if d else F.lit("01")))
+    return F.when(c.rlike(pattern), six_digits(group(y), group(m), group(d) if d else F.lit("01")))
 
 
 def infer_date(c: Column) -> Column:
     """The first pattern in order whose first match is in the calendar decides, wherever it stands."""
-    s = F.coalesce(c, F.lit(""))
-    return F.coalesce(*(_found(s, *p) for p in PATTERNS), F.lit(UNKNOWN))
+    return let(F.coalesce(c, F.lit("")), lambda s: F.coalesce(*(_found(s, *p) for p in PATTERNS), F.lit(UNKNOWN)))
 
 
 def given_date(c: Column, compat: bool = True) -> Column:
     """A date that an enricher gave.  ``compat``: YYYYMM is tried before YYMMDD, so 200303 is March 2003."""
-    s = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"(?U)[.\-/년월일\s]", "")
+    bare = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"(?U)[.\-/년월일\s]", "")
     tries = [(rf"^((?:19|20)\d{{2}}){_M2}{_D2}$", 1, 2, 3), (rf"^((?:19|20)\d{{2}}){_M2}$", 1, 2, 0), (rf"^(\d{{2}}){_M2}{_D2}$", 1, 2, 3), (rf"^(\d{{2}}){_M2}$", 1, 2, 0)]
     if not compat:
         tries[1], tries[2] = tries[2], tries[1]
-    return F.when((s == "") | (F.lower(s) == UNKNOWN), UNKNOWN).otherwise(F.coalesce(*(_found(s, *t) for t in tries), infer_date(c)))
+    return let(bare, lambda s: F.when((s == "") | (F.lower(s) == UNKNOWN), UNKNOWN).otherwise(F.coalesce(*(_found(s, *t) for t in tries), infer_date(c))))
 
 
 def suffix_date(stem: Column) -> Column:
@@ -73,7 +75,11 @@ def year_of(c: Column) -> Column:
 
 def document_date(stem: Column, file_name: Column, given: Column, text: Column) -> Column:
     """Suffix of the name; else the given date, unless more than five years off the name's; else what name and text show."""
-    named, told = infer_date(file_name), given_date(given)
-    far = F.coalesce(F.abs(year_of(told) - year_of(named)) > 5, F.lit(False))
     body = infer_date(F.concat(file_name, F.lit("\n"), F.coalesce(text, F.lit(""))))
-    return F.when(suffix_date(stem) != "", suffix_date(stem)).when(F.trim(F.coalesce(given, F.lit(""))) != "", F.when(far, named).otherwise(told)).otherwise(body)
+
+    def chosen(d: Column) -> Column:
+        far = F.coalesce(F.abs(year_of(d["told"]) - year_of(d["named"])) > 5, F.lit(False))
+        return F.when(far, d["named"]).otherwise(d["told"])
+
+    of_given = let(F.struct(infer_date(file_name).alias("named"), given_date(given).alias("told")), chosen)
+    return F.when(suffix_date(stem) != "", suffix_date(stem)).when(F.trim(F.coalesce(given, F.lit(""))) != "", of_given).otherwise(body)

@@ -11,8 +11,8 @@ from folioforge.functions.text import first_of
 def human_size(n: Column) -> Column:
     """One decimal, steps of 1024."""
     units = ["B", "KB", "MB", "GB", "TB"]
-    cases = [(n < 1024 ** (k + 1), F.format_string(f"%.1f {u}", n / float(1024**k))) for k, u in enumerate(units)]
-    return first_of(cases, F.format_string("%.1f PB", n / float(1024**5)))
+    cases = [(n < 1024 ** (k + 1), F.format_string(f"%.1f {u}", F.bround(n / float(1024**k), 1))) for k, u in enumerate(units)]
+    return first_of(cases, F.format_string("%.1f PB", F.bround(n / float(1024**5), 1)))
 
 
 def duration(seconds: Column) -> Column:

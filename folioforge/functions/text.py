@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -30,6 +30,11 @@ def count_of(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def any_of(tests: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
@@ -63,11 +68,14 @@ def is_boilerplate(c: Column, rules: RulePack = NEUTRAL) -> Column:
 
 def is_garbled(c: Column) -> Column:
     """Of three words or more, 40 % without a vowel or 70 % of three letters."""
-    words = F.regexp_extract_all(c, F.lit("([A-Za-z]{3,})"), F.lit(1))
-    n = F.size(words)
-    mute = F.size(F.filter(words, lambda w: ~w.rlike("[aeiouAEIOU]")))
-    short = F.size(F.filter(words, lambda w: F.length(w) <= 3))
-    return (n >= 3) & ((mute / n >= 0.4) | (short / n >= 0.7))
+
+    def test(words: Column) -> Column:
+        n = F.size(words)
+        mute = F.size(F.filter(words, lambda w: ~w.rlike("[aeiouAEIOU]")))
+        short = F.size(F.filter(words, lambda w: F.length(w) <= 3))
+        return (n >= 3) & ((mute / n >= 0.4) | (short / n >= 0.7))
+
+    return let(F.regexp_extract_all(c, F.lit("([A-Za-z]{3,})"), F.lit(1)), test)
 
 
 def is_file_name_phrase(c: Column) -> Column:
@@ -77,26 +85,34 @@ def is_file_name_phrase(c: Column) -> Column:
 
 def is_noise(c: Column) -> Column:
     """Runs of signs, too few letters, a fifth of signs, or half of the tokens of one or two characters."""
-    s = F.trim(F.coalesce(c, F.lit("")))
-    signs = count_of(s, r"(?U)[^A-Za-z가-힣0-9\s.,;:!?()\-]")
-    tokens = F.regexp_extract_all(s, F.lit("([A-Za-z가-힣0-9]+)"), F.lit(1))
-    tiny = F.size(F.filter(tokens, lambda t: F.length(t) <= 2))
-    return (
-        (s == "")
-        | s.rlike(r"(?U)[\|`~^_=]{2,}|[^\w\s가-힣A-Za-z.,;:!?()\-]{4,}")
-        | (count_of(s, "[A-Za-z가-힣0-9]") < 10)
-        | ((signs > 0) & (signs / F.greatest(F.lit(1), F.length(s)) >= 0.2))
-        | ((F.size(tokens) > 0) & (tiny / F.size(tokens) >= 0.5))
-    )
+
+    def scattered(tokens: Column) -> Column:
+        tiny = F.size(F.filter(tokens, lambda t: F.length(t) <= 2))
+        return (F.size(tokens) > 0) & (tiny / F.size(tokens) >= 0.5)
+
+    def test(s: Column) -> Column:
+        signs = count_of(s, r"(?U)[^A-Za-z가-힣0-9\s.,;:!?()\-]")
+        return (
+            (s == "")
+            | s.rlike(r"(?U)[\|`~^_=]{2,}|[^\w\s가-힣A-Za-z.,;:!?()\-]{4,}")
+            | (count_of(s, "[A-Za-z가-힣0-9]") < 10)
+            | (signs / F.greatest(F.lit(1), F.length(s)) >= 0.2)
+            | let(F.regexp_extract_all(s, F.lit("([A-Za-z가-힣0-9]+)"), F.lit(1)), scattered)
+        )
+
+    return let(F.trim(F.coalesce(c, F.lit(""))), test)
 
 
 def source_quality(c: Column) -> Column:
     """Share of plain characters, less a penalty for broken words; 0 to 1."""
-    s = collapse(c)
-    valid = count_of(s, r"(?U)[A-Za-z가-힣0-9\s.,;:!?()\-]")
-    hits = count_of(s, r"\b[a-z]{1,2}\b|[A-Za-z]{8,}[0-9]{2,}|[0-9]{5,}")
-    score = valid / F.greatest(F.lit(1), F.length(s)) - F.least(F.lit(0.5), hits / 40.0)
-    return F.when(s == "", 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+
+    def score(s: Column) -> Column:
+        valid = count_of(s, r"(?U)[A-Za-z가-힣0-9\s.,;:!?()\-]")
+        hits = count_of(s, r"\b[a-z]{1,2}\b|[A-Za-z]{8,}[0-9]{2,}|[0-9]{5,}")
+        share = valid / F.greatest(F.lit(1), F.length(s)) - F.least(F.lit(0.5), hits / 40.0)
+        return F.when(s == "", 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
+
+    return let(collapse(c), score)
 
 
 def sentences(c: Column) -> Column:
@@ -121,25 +137,29 @@ def has_hangul(c: Column) -> Column:
 
 
 def summary_acceptable(c: Column, prefer_hangul: Column, rules: RulePack = NEUTRAL) -> Column:
-    s = F.rtrim(collapse(c), F.lit("."))
-    bad = is_file_name_phrase(s) | is_noise(s) | is_garbled(s) | s.rlike(rules.low_value_summary) | s.rlike(r"(?U)\b\d{4,}\b|\+\d{1,3}\s?\d")
-    return (F.length(s) >= 8) & ~bad & (~prefer_hangul | has_hangul(s))
+
+    def test(s: Column) -> Column:
+        bad = is_file_name_phrase(s) | is_noise(s) | is_garbled(s) | s.rlike(rules.low_value_summary) | s.rlike(r"(?U)\b\d{4,}\b|\+\d{1,3}\s?\d")
+        return (F.length(s) >= 8) & ~bad & (~prefer_hangul | has_hangul(s))
+
+    return let(F.rtrim(collapse(c), F.lit(".")), test)
 
 
 def ended(c: Column, limit: int) -> Column:
     """One full stop at the end, within ``limit`` characters."""
-    s = F.rtrim(c, F.lit(" .!?。！？,;:"))
-    return F.concat(F.when(F.length(s) >= limit, F.rtrim(F.substring(s, 1, limit - 1))).otherwise(s), F.lit("."))
+    return let(F.rtrim(c, F.lit(" .!?。！？,;:")), lambda s: F.concat(F.when(F.length(s) >= limit, F.rtrim(F.substring(s, 1, limit - 1))).otherwise(s), F.lit(".")))
 
 
 def keyword_token(c: Column, rules: RulePack = NEUTRAL) -> Column:
     """A keyword in normal form, or empty if it is of no use."""
-    t = sanitize(c)
-    low = F.lower(t)
-    words = F.regexp_extract_all(low, F.lit("([a-z]+)"), F.lit(1))
-    all_names = (F.size(words) > 0) & F.forall(words, lambda w: w.isin(*rules.company_words))
-    bad = low.isin(*rules.low_value_words) | low.isin(*rules.company_words) | all_names | t.rlike(rules.keyword_noise) | (count_of(t, "[A-Za-z]") < 3) | (F.size(F.split(t, " ")) > 6)
-    return F.when(bad, "").otherwise(t)
+
+    def test(t: Column) -> Column:
+        low = F.lower(t)
+        names = let(F.regexp_extract_all(low, F.lit("([a-z]+)"), F.lit(1)), lambda w: (F.size(w) > 0) & F.forall(w, lambda x: x.isin(*rules.company_words)))
+        bad = (count_of(t, "[A-Za-z]") < 3) | (F.size(F.split(t, " ")) > 6) | low.isin(*rules.low_value_words, *rules.company_words) | t.rlike(rules.keyword_noise) | names
+        return F.when(bad, "").otherwise(t)
+
+    return let(sanitize(c), test)
 
 
 def keyword_useful(c: Column, rules: RulePack = NEUTRAL) -> Column:
@@ -202,8 +222,7 @@ def structured_summary(doc_type: Column, case_name: Column, institution: Column,
         .when((F.coalesce(doc_type, F.lit("")) != "") & context.isNotNull(), F.concat(context, F.lit(" "), doc_type, F.when(word != "", F.concat(F.lit(" - "), word)).otherwise("")))
         .otherwise(F.concat(F.array_join(parts, " "), F.lit(" related document")))
     )
-    text = collapse(text)
-    return ended(F.when(F.length(text) >= limit, F.rtrim(F.substring(text, 1, limit - 1))).otherwise(text), limit + 1)
+    return let(collapse(text), lambda t: ended(F.when(F.length(t) >= limit, F.rtrim(F.substring(t, 1, limit - 1))).otherwise(t), limit + 1))
 
 
 def strip_html(c: Column) -> Column:

@@ -9,14 +9,11 @@ from folioforge.config import NEUTRAL, RulePack
 from folioforge.functions import text as T
 
 
-def _numbered(c: Column, *fields: tuple[str, Column]) -> Column:
-    return F.transform(c, lambda s, i: F.struct(i.alias("i"), s.alias("s")))
-
-
-def _first_of_each(items: Column, key: Column | None = None) -> Column:
-    """Structs with ``k``, of equal keys the first."""
-    keys = F.transform(items, lambda x: x["k"])
-    return F.filter(items, lambda x, i: F.array_position(keys, x["k"]) == i + 1)
+def _first_of_each(items: Column) -> Column:
+    """Structs with ``k`` and ``s``, of equal keys the first, in their order: ``i, s``."""
+    numbered = F.transform(F.filter(items, lambda x: x["k"] != ""), lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"), x["s"].alias("s")))
+    once = T.let(F.array_sort(numbered), lambda a: F.filter(a, lambda x, n: (n == 0) | (F.get(a, n - 1)["k"] != x["k"])))
+    return F.array_sort(F.transform(once, lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"))))
 
 
 def best_sentence(c: Column, target: int = 34, prefer_hangul: Column | None = None, rules: RulePack = NEUTRAL) -> Column:
@@ -29,12 +26,12 @@ def best_sentence(c: Column, target: int = 34, prefer_hangul: Column | None = No
     prefer = F.lit(False) if prefer_hangul is None else prefer_hangul
     good = F.filter(T.sentences(c), lambda s: ~T.is_boilerplate(s, rules) & ~T.is_garbled(s))
     keyed = F.transform(good, lambda s: F.struct(s.alias("s"), F.regexp_replace(F.lower(s), "[^a-z0-9가-힣]+", "").alias("k")))
-    once = _first_of_each(F.filter(keyed, lambda x: x["k"] != ""))
+    once = _first_of_each(keyed)
 
-    def scored(x: Column, i: Column) -> Column:
+    def scored(x: Column) -> Column:
         s = x["s"]
         words = F.when(s.rlike(rules.summary_words), 2).otherwise(0) + F.when(prefer & T.has_hangul(s), 3).otherwise(0)
-        return F.struct(words.alias("a"), F.when(s.rlike(rules.structure_words), 1).otherwise(0).alias("b"), F.greatest(F.lit(0), F.lit(40) - F.abs(F.length(s) - target)).alias("c"), F.least(F.length(s), F.lit(80)).alias("d"), (-i).alias("e"), s.alias("s"))
+        return F.struct(words.alias("a"), F.when(s.rlike(rules.structure_words), 1).otherwise(0).alias("b"), F.greatest(F.lit(0), F.lit(40) - F.abs(F.length(s) - target)).alias("c"), F.least(F.length(s), F.lit(80)).alias("d"), (-x["i"]).alias("e"), s.alias("s"))
 
     return F.coalesce(F.array_max(F.transform(once, scored))["s"], F.lit(""))
 
@@ -54,27 +51,30 @@ def excerpt(c: Column, limit: int = 8000) -> Column:
     of score; one that does not fit is passed over; the walk ends at 90 % of
     the budget.
     """
-    s = T.collapse(c)
     head = max(400, int(limit * 0.6))
     budget = limit - head
-    rest = F.split(F.substring(s, head + 1, 2147483647), T.SENTENCE_END)
 
     def clean(x: Column) -> Column:
         return (F.length(x) >= 12) & ~x.rlike(NEUTRAL.mail_words) & ~x.rlike(r"[\|`~^_=]{2,}") & (T.count_of(x, "[A-Za-z가-힣0-9]+") >= 4)
 
-    keyed = F.transform(F.filter(F.transform(rest, T.collapse), clean), lambda x: F.struct(x.alias("s"), F.regexp_replace(F.lower(x), "[^a-z0-9가-힣]+", "").alias("k")))
-    once = _first_of_each(F.filter(keyed, lambda x: x["k"] != ""))
-    ranked = F.array_sort(F.transform(once, lambda x, i: F.struct((-F.when(x["s"].rlike(NEUTRAL.summary_words), 3).otherwise(0)).alias("a"), (-F.greatest(F.lit(0), F.lit(45) - F.abs(F.length(x["s"]) - 34))).alias("b"), (-T.count_of(x["s"], "[A-Za-z가-힣0-9]")).alias("c"), i.alias("i"), x["s"].alias("s"))))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("parts"))
+    def rank(x: Column) -> Column:
+        s = x["s"]
+        return F.struct((-F.when(s.rlike(NEUTRAL.summary_words), 3).otherwise(0)).alias("a"), (-F.greatest(F.lit(0), F.lit(45) - F.abs(F.length(s) - 34))).alias("b"), (-T.count_of(s, "[A-Za-z가-힣0-9]")).alias("c"), x["i"].alias("i"), s.alias("s"))
 
     def take(a: Column, x: Column) -> Column:
         n = F.length(x["s"]) + 1
         ok = (a["used"] < budget * 0.9) & (a["used"] + n <= budget)
         return F.struct(F.when(ok, a["used"] + n).otherwise(a["used"]).alias("used"), F.when(ok, F.concat(a["parts"], F.array(x["s"]))).otherwise(a["parts"]).alias("parts"))
 
-    parts = F.aggregate(ranked, start, take, lambda a: a["parts"])
-    short = F.substring(s, 1, head)
-    return F.when(F.length(s) <= limit, s).when(F.size(parts) > 0, F.concat(short, F.lit("\n...\n"), F.array_join(parts, "\n"))).otherwise(short)
+    def made(s: Column) -> Column:
+        rest = F.split(F.substring(s, head + 1, 2147483647), T.SENTENCE_END)
+        keyed = F.transform(F.filter(F.transform(rest, T.collapse), clean), lambda x: F.struct(x.alias("s"), F.regexp_replace(F.lower(x), "[^a-z0-9가-힣]+", "").alias("k")))
+        ranked = F.array_sort(F.transform(_first_of_each(keyed), rank))
+        start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("parts"))
+        parts = F.aggregate(ranked, start, take, lambda a: a["parts"])
+        return F.when(F.length(s) <= limit, s).otherwise(F.concat_ws("\n...\n", F.substring(s, 1, head), T.blank_to_null(F.array_join(parts, "\n"))))
+
+    return T.let(T.collapse(c), made)
 
 
 def keyword(name: Column, text: Column, rules: RulePack = NEUTRAL) -> Column:
@@ -111,19 +111,30 @@ def top_tokens(docs: DataFrame, k: int = 1, *, id_col: str = "doc_id", text_col:
 
 def normal_summary(given: Column, text: Column, name: Column, limit: int = 80, least: int = 24, rules: RulePack = NEUTRAL) -> Column:
     """The first source that has a summary: given, best sentence, Hangul phrase, cleaned text, name; one sentence with a full stop."""
-    seed, cleaned = T.summary_seed(given), T.clean_for_summary(text, rules)
-    prefer = T.has_hangul(cleaned) | T.has_hangul(name)
-    good = (seed != "") & ~T.is_boilerplate(seed, rules) & ~T.is_garbled(seed) & ~T.is_file_name_phrase(seed) & (~prefer | T.has_hangul(seed))
-    base = F.coalesce(
-        F.when(good, seed),
-        T.blank_to_null(best_sentence(cleaned, max(30, limit - 6), prefer, rules)),
-        F.when(prefer, T.blank_to_null(best_hangul_phrase(cleaned, max(24, limit - 8), rules))),
-        T.blank_to_null(T.collapse(cleaned)),
-        T.sanitize(F.regexp_replace(name, r"\.[^.]+$", "")),
-    )
-    first = F.coalesce(F.get(F.split(T.collapse(base), r"(?<=[.!?。！？])\s+"), F.lit(0)), F.lit(""))
-    extra = best_sentence(cleaned, limit, prefer, rules)
-    longer = F.get(F.split(F.concat(first, F.lit(" "), extra), r"(?<=[.!?。！？])\s+"), F.lit(0))
-    first = F.when((F.length(first) < least) & (extra != "") & (extra != first), longer).otherwise(first)
-    cut = F.when(F.length(first) > limit, F.rtrim(F.substring(first, 1, limit))).otherwise(first)
-    return T.ended(F.when(cut == "", "No summary").otherwise(cut), limit)
+    end = r"(?<=[.!?。！？])\s+"
+
+    def from_sources(seed: Column, cleaned: Column, prefer: Column) -> Column:
+        good = (seed != "") & ~T.is_boilerplate(seed, rules) & ~T.is_garbled(seed) & ~T.is_file_name_phrase(seed) & (~prefer | T.has_hangul(seed))
+        return F.coalesce(
+            F.when(good, seed),
+            T.blank_to_null(best_sentence(cleaned, max(30, limit - 6), prefer, rules)),
+            F.when(prefer, T.blank_to_null(best_hangul_phrase(cleaned, max(24, limit - 8), rules))),
+            T.blank_to_null(T.collapse(cleaned)),
+            T.sanitize(F.regexp_replace(name, r"\.[^.]+$", "")),
+        )
+
+    def enriched(first: Column, cleaned: Column, prefer: Column) -> Column:
+        longer = lambda extra: F.when((extra != "") & (extra != first), F.get(F.split(F.concat(first, F.lit(" "), extra), end), F.lit(0))).otherwise(first)
+        return F.when(F.length(first) >= least, first).otherwise(T.let(best_sentence(cleaned, limit, prefer, rules), longer))
+
+    def finished(first: Column) -> Column:
+        cut = F.when(F.length(first) > limit, F.rtrim(F.substring(first, 1, limit))).otherwise(first)
+        return T.ended(F.when(cut == "", "No summary").otherwise(cut), limit)
+
+    def whole(x: Column) -> Column:
+        base = T.let(T.collapse(from_sources(x["seed"], x["cleaned"], x["prefer"])), lambda b: F.coalesce(F.get(F.split(b, end), F.lit(0)), F.lit("")))
+        return T.let(T.let(base, lambda f: enriched(f, x["cleaned"], x["prefer"])), finished)
+
+    cleaned = T.clean_for_summary(text, rules)
+    parts = T.let(cleaned, lambda c: F.struct(T.summary_seed(given).alias("seed"), c.alias("cleaned"), (T.has_hangul(c) | T.has_hangul(name)).alias("prefer")))
+    return T.let(parts, whole)

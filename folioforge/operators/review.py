@@ -53,17 +53,16 @@ def number_collisions(rows: DataFrame, *, folder: str = "folder", name: str = "s
 def rewrite_generic(rows: DataFrame, rules: RulePack = NEUTRAL, limit: int = 40) -> DataFrame:
     """A generic summary that several documents share gets its case's or institution's name in front.
 
-    Only generic summaries are counted, so the count is a small aggregate that
-    is joined back.
+    Rows of other summaries are each in a window of their own key, so that none
+    of them meet, and the proposals are computed once.
     """
     key = F.rtrim(F.lower(F.trim("summary")), F.lit("."))
-    rows = rows.withColumn("_key", F.when(key.isin(*rules.generic_summaries), key))
-    often = rows.filter("_key IS NOT NULL").groupBy("_key").count().filter("count > 1").select("_key", F.lit(True).alias("_often"))
+    key = F.when(key.isin(*rules.generic_summaries), key).otherwise(F.concat(F.lit("-"), F.xxhash64("path").cast("string")))
+    often = (F.count("*").over(Window.partitionBy(key)) > 1) & ~key.startswith("-")
     who = F.coalesce(F.nullif("case_name", F.lit("")), F.nullif("institution", F.lit("")))
     merged = F.concat_ws(" ", who, "summary")
     merged = F.when(F.length(merged) > limit, F.concat(F.rtrim(F.substring(merged, 1, limit - 1)), F.lit("."))).when(merged.endswith("."), merged).otherwise(F.concat(F.rtrim(merged, F.lit(" .!?,;:")), F.lit(".")))
-    out = rows.join(F.broadcast(often), "_key", "left")  # one row at most for each generic summary of the rules
-    return out.withColumn("summary", F.when(F.col("_often") & who.isNotNull(), merged).otherwise(F.col("summary"))).drop("_key", "_often")
+    return rows.withColumn("_often", often).withColumn("summary", F.when(F.col("_often") & who.isNotNull(), merged).otherwise(F.col("summary"))).drop("_often")
 
 
 def badge(status: Column, needs_review: Column, conflict: Column, in_scope: Column) -> Column:
