@@ -32,7 +32,7 @@ SPELLINGS = [
     ("&", " and "),
 ]
 #: Each known text holds one of these in any spelling.
-WORDS = ["licen", "copyright", "permission", "warrant", "redistribut", "domain"]
+WORDS = ["licen", "released", "copyright", "permission", "warrant", "redistribut", "domain"]
 #: Fixed value: a line that states a copyright.
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©)[^\n]*(?:(?:19|20)[0-9][0-9]|<year>|\[year\]|\(c\)|©)[^\n]*$"
 

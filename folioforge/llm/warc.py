@@ -144,8 +144,8 @@ class Stream:
         return got
 
 
-def records_in(raw) -> Iterator[tuple[dict[str, str], Iterator[bytes]]]:
-    """Headers and payload pieces of each record; the pieces must be used up before the next record."""
+def records_in(raw, chunk: int = CHUNK) -> Iterator[tuple[dict[str, str], Iterator[bytes]]]:
+    """Headers and payload chunks of each record, all but the last of ``chunk`` bytes."""
     s = Stream(raw)
     while (block := s.until(b"\r\n\r\n")) is not None:
         version, *lines = block.decode().split("\r\n")
@@ -156,8 +156,10 @@ def records_in(raw) -> Iterator[tuple[dict[str, str], Iterator[bytes]]]:
 
         def body(left: list[int] = left) -> Iterator[bytes]:
             while left[0]:
-                got = s.take(min(left[0], CHUNK))
-                left[0] -= len(got)
+                want, got = min(left[0], chunk), b""
+                while len(got) < want:
+                    got += s.take(want - len(got))
+                left[0] -= want
                 yield got
 
         yield fields, body()
@@ -193,24 +195,23 @@ def read(archives: DataFrame, folder: str, *, payload: bool = True, chunk: int =
         for b in batches:
             for name in b.column("archive").to_pylist():
                 with fs.open_input_stream(posixpath.join(base, name), compression=None) as raw:
-                    for fields, body in records_in(raw):
+                    for fields, body in records_in(raw, chunk):
                         sha, crc, size, no = hashlib.sha256(), 0, 0, 0
                         record = fields["WARC-Record-ID"][len("<urn:record:") : -1]
                         refers = fields.get("WARC-Refers-To")
                         refers = refers and refers[len("<urn:record:") : -1]
                         length, digest = int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha256:")
-                        part = b""
-                        for got in body:
-                            sha.update(got)
-                            crc, size, part = zlib.crc32(got, crc), size + len(got), part + got if payload else b""
-                            if len(part) >= chunk or (not payload and size - no * chunk >= chunk):
-                                if size < int(fields["Content-Length"]):
-                                    rows.append((record, no, False, size, crc, None, fields["WARC-Type"], refers, length, *[part] * payload))
-                                    held, part, no = held + len(part), b"", no + 1
-                                    if held > 8 << 20 or len(rows) >= 4096:
-                                        yield flush()
-                                        rows.clear()
-                                        held = 0
+                        part, total = b"", int(fields["Content-Length"])
+                        for part in body:
+                            sha.update(part)
+                            crc, size = zlib.crc32(part, crc), size + len(part)
+                            if size < total:
+                                rows.append((record, no, False, size, crc, None, fields["WARC-Type"], refers, length, *[part] * payload))
+                                no, held = no + 1, held + len(part)
+                                if held > 8 << 20 or len(rows) >= 4096:
+                                    yield flush()
+                                    rows.clear()
+                                    held = 0
                         if refers is None and (size, sha.hexdigest()) != (length, digest):
                             raise ValueError(f"record {record} is damaged")
                         rows.append((record, no, True, size, crc, digest if refers is not None else sha.hexdigest(), fields["WARC-Type"], refers, length, *[part] * payload))
