@@ -122,7 +122,9 @@ def _columns(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
 def shared_runs(postings: DataFrame) -> DataFrame:
     """Posting lists of two groups or more, repeats of a group dropped: ``token, n, gid, last, info, pivot``.
 
-    A member's pivot is the first member of its list in its band of sizes.
+    A member's pivot is, of the members of its list in its band of sizes, the one
+    with the fewest tokens that are not common: in a family of near copies that is
+    the one the others were made from, or near to it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,16 +132,15 @@ def shared_runs(postings: DataFrame) -> DataFrame:
         joined = False  # its list has an earlier row
         pivot = (-1, -1, 0)  # of the last row before it: token, band and group that leads the band
         for b in _then_end(batches):
-            t, n, g, last, info = (np.empty(0, np.int64),) * 5 if b is None else _columns(b, "token", "n", "gid", "last", "info")
+            t, n, g, last, info, band = (np.empty(0, np.int64),) * 6 if b is None else _columns(b, "token", "n", "gid", "last", "info", "band")
             if held is not None:
-                t, n, g, last, info = (np.concatenate([[h], x]) for h, x in zip(held, (t, n, g, last, info), strict=True))
+                t, n, g, last, info, band = (np.concatenate([[h], x]) for h, x in zip(held, (t, n, g, last, info, band), strict=True))
             if not len(t):
                 continue
             keep = np.append(True, (t[1:] != t[:-1]) | (g[1:] != g[:-1]))
-            t, n, g, last, info = t[keep], n[keep], g[keep], last[keep], info[keep]
+            t, n, g, last, info, band = t[keep], n[keep], g[keep], last[keep], info[keep], band[keep]
             same = t[1:] == t[:-1]
             after, before = np.append(same, False), np.append(joined, same)
-            band = (np.log(np.maximum(n, 1)) / np.log(4 / 3)).astype(np.int64)
             begins = np.append(True, ~same | (band[1:] != band[:-1]))
             if joined and pivot[:2] == (t[0], band[0]):
                 begins[0] = False
@@ -149,11 +150,12 @@ def shared_runs(postings: DataFrame) -> DataFrame:
             out = np.flatnonzero((after | before)[:done])
             if done:
                 pivot = (t[done - 1], band[done - 1], lead[done - 1])
-            held, joined = (t[-1], n[-1], g[-1], last[-1], info[-1]), bool(before[-1])
+            held, joined = (t[-1], n[-1], g[-1], last[-1], info[-1], band[-1]), bool(before[-1])
             if len(out):
                 yield pa.RecordBatch.from_arrays([pa.array(x[out].astype(np.int64)) for x in (t, n, g, last, info, lead)], ["token", "n", "gid", "last", "info", "pivot"])
 
-    sorted_ = postings.repartition("token").sortWithinPartitions("token", "n", "gid")
+    banded = postings.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))))
+    sorted_ = banded.repartition("token").sortWithinPartitions("token", "band", "info", "gid")
     return sorted_.mapInArrow(run, "token long, n long, gid long, last long, info long, pivot long")
 
 
@@ -305,10 +307,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             pairs = runs.filter("pivot != gid").groupBy("pivot", "gid", "n").count().filter(likely)
             pairs = inside.union(by_lead(pairs, "pivot", "gid"))
         elif turn < star_rounds:
-            # another pivot: of the members outside the first one's component that with the least label
+            # another pivot: of the members outside the first one's component again that with the fewest tokens that are not common
             mine, first = (kinds.select(F.col("gid").alias(x), F.col("label").alias(f"{x}_label")) for x in ("gid", "pivot"))
             apart = runs.join(mine, "gid").join(first, "pivot").filter("gid_label != pivot_label")
-            second = apart.groupBy("token", "pivot").agg(F.min(F.struct("gid_label", "gid")).alias("s"))
+            second = apart.groupBy("token", "pivot").agg(F.min(F.struct("info", "gid_label", "gid")).alias("s"))
             pairs = apart.join(second, ["token", "pivot"]).filter("gid != s.gid AND gid_label != s.gid_label")
             pairs = by_lead(pairs.groupBy(F.col("s.gid").alias("other"), "gid", "n").count().filter(likely), "other", "gid")
         else:
