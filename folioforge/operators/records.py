@@ -91,3 +91,19 @@ def site_counts(rows: DataFrame, url: Column) -> DataFrame:
     from folioforge.functions.paths import site_of
 
     return rows.select(site_of(url).alias("site")).filter("site <> ''").groupBy("site").count()
+
+
+def api_record(rows: DataFrame) -> DataFrame:
+    """What a client sees of a proposal: the suggested name or else the original one, confidence to three places, empty strings for nulls."""
+    text = [f.name for f in rows.schema.fields if f.dataType.simpleString() == "string" and f.name != "suggested"]
+    out = rows.withColumns({c: F.coalesce(c, F.lit("")) for c in text})
+    return out.withColumns({"suggested": F.coalesce(F.nullif("suggested", F.lit("")), F.col("name")), "confidence": F.bround("confidence", 3), "extension": F.upper(F.ltrim("ext", F.lit(".")))})
+
+
+def item_by_path(inventory: DataFrame, path: str) -> DataFrame:
+    return inventory.filter(F.col("path") == path.strip("/"))
+
+
+def item_by_share(inventory: DataFrame, url: str) -> DataFrame:
+    """The item whose web address a share link names, with or without a query part."""
+    return inventory.filter(F.col("web_url") == url.partition("?")[0])

@@ -105,3 +105,9 @@ def candidate_approval(rows: DataFrame) -> DataFrame:
 def affected_folders(log: DataFrame, ts: Column) -> DataFrame:
     done = log.filter("status = 'success'")
     return done.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.count("*").alias("renamed"), F.max(ts).alias("last"))
+
+
+def rollback_history(maps: DataFrame, runs: DataFrame) -> DataFrame:
+    """Rollback files, newest first by ``mtime``, with how often and when last each was carried out."""
+    done = runs.groupBy("file").agg(F.count("*").alias("times"), F.max("ts").alias("last"), F.sum("restored").alias("restored"))
+    return maps.join(done, "file", "left").withColumns({"times": F.coalesce("times", F.lit(0)), "restored": F.coalesce("restored", F.lit(0))})

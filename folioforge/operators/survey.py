@@ -102,3 +102,15 @@ def selection_state(files: DataFrame, chosen: F.Column) -> DataFrame:
     spread = files.groupBy("folder").agg(F.bool_and(chosen).alias("every"), F.bool_or(chosen).alias("any")).withColumn("node", F.explode(ancestors(F.col("folder"))))
     t = spread.groupBy("node").agg(F.bool_and("every").alias("every"), F.bool_or("any").alias("any"))
     return t.select("node", F.when(F.col("every"), "all").when(F.col("any"), "some").otherwise("none").alias("state"))
+
+
+def with_changes(nodes: DataFrame, changes: DataFrame) -> DataFrame:
+    """Folders with the changes of their own files; 0 where there are none."""
+    kinds = ["added", "deleted", "modified"]
+    j = nodes.join(changes.select(F.col("folder").alias("node"), *kinds), "node", "left")
+    return j.withColumns({k: F.coalesce(k, F.lit(0)) for k in kinds})
+
+
+def newest(rows: DataFrame, order: str, n: int = 150) -> DataFrame:
+    """The last ``n`` rows in the order of a column: a top-k, no sort of all."""
+    return rows.orderBy(F.desc(order)).limit(n)

@@ -438,6 +438,32 @@ def metadata_tags(spark, sf_dir):
     return records.tags(e.withColumn("t", F.concat("event_type", F.lit("; "), F.lit("u"), (F.col("user_id") % 10).cast("string"), F.lit(";"))), "t", "event_id")
 
 
+@query(f"""{PLAN} SELECT item_id, CASE WHEN suggested = '' THEN name ELSE suggested END AS suggested, upper(ltrim(ext, '.')) AS extension, round_even(size / 3.0::DOUBLE / 10000, 3) AS confidence FROM (SELECT p.*, f.size FROM v_plan p JOIN v_files f USING (item_id))""")
+def api_records(spark, sf_dir):
+    p = A.rename_plan(spark, sf_dir).join(A.files(spark, sf_dir).select("item_id", "size"), "item_id")
+    return records.api_record(p.withColumn("confidence", F.col("size") / 3.0 / 10000)).select("item_id", "suggested", "extension", "confidence")
+
+
+@query(f"{FEED}, {CHANGES}, c AS (SELECT folder, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'deleted') AS deleted, count(*) FILTER (change = 'modified') AS modified FROM v_changes GROUP BY folder) SELECT DISTINCT f.folder AS node, coalesce(c.added, 0) AS added, coalesce(c.deleted, 0) AS deleted, coalesce(c.modified, 0) AS modified FROM v_files f LEFT JOIN c USING (folder)")
+def folder_badges(spark, sf_dir):
+    nodes = A.files(spark, sf_dir).select(F.col("folder").alias("node")).distinct()
+    return survey.with_changes(nodes, delta.by_folder(delta.classify(*A.snapshot_and_feed(spark, sf_dir))))
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 150")
+def recent_feed(spark, sf_dir):
+    return survey.newest(A.table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", 150)
+
+
+@query("""WITH m AS (SELECT 'rollback_' || page_id AS file, page_id AS mtime FROM pages), r AS (SELECT 'rollback_' || user_id AS file, event_id AS ts, 1 AS restored FROM events WHERE event_type = 'purchase'), g AS (SELECT file, count(*) AS times, max(ts) AS last, sum(restored)::BIGINT AS restored FROM r GROUP BY file)
+SELECT file, mtime, coalesce(times, 0) AS times, last, coalesce(restored, 0) AS restored FROM m LEFT JOIN g USING (file)""")
+def rollback_history(spark, sf_dir):
+    maps = A.table(spark, sf_dir, "pages").select(F.concat(F.lit("rollback_"), F.col("page_id").cast("string")).alias("file"), F.col("page_id").alias("mtime"))
+    e = A.table(spark, sf_dir, "events").filter("event_type = 'purchase'")
+    runs = e.select(F.concat(F.lit("rollback_"), F.col("user_id").cast("string")).alias("file"), F.col("event_id").alias("ts"), F.lit(1).alias("restored"))
+    return rename.rollback_history(maps, runs)
+
+
 # -- streaming -------------------------------------------------------------------------
 
 
