@@ -74,7 +74,7 @@ class DigestIndex:
         Of equal new texts the one with the most code points stays, then the one
         with the smallest identifier; a text already in the index never stays.
         Returns ``id_col, keep_id, group_size, kept, digest, n_chars``.  A null text is
-        empty.  Of rows that repeat an identifier and a text all but one go; null
+        empty.  Identifiers are integers.  Of rows that repeat one and a text all but one go; null
         identifiers come last, and a group of them alone keeps one, with a null
         ``keep_id``.  No rows leave the index as it is.
         """
