@@ -57,7 +57,7 @@ class ByteBPE:
     marks is accepted; merges must have ascending ids, which makes an id a rank.
     """
 
-    def __init__(self, path: str, slots: int = 1 << 21):
+    def __init__(self, path: str, slots: int = 1 << 20):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, model = spec["pre_tokenizer"] or {}, spec["model"]
@@ -390,7 +390,7 @@ class ByteBPE:
 
     def _remember(self, where: np.ndarray, lo: np.ndarray, hi: np.ndarray, ids: np.ndarray, n: np.ndarray, at: np.ndarray) -> None:
         """Put words in the table; of those that share a slot the last stays."""
-        if self.filled + len(ids) > 1 << 23:
+        if self.filled + len(ids) > 1 << 22:
             self._forget()
         while self.filled + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.batches import only
+from folioforge.llm.batches import ending, only
 from folioforge.llm.components import components
 from folioforge.llm.digest_index import join_by_digest
 from folioforge.llm.shingles import digest, sets_of
@@ -72,7 +72,7 @@ def common_tokens(docs: DataFrame) -> np.ndarray:
         if held:
             yield flush()
 
-    counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(ending(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.filter(F.col("n") >= COMMON_FROM).orderBy(F.desc("n"), "token").limit(SUMMARY).collect()
     return np.sort(np.array([r["token"] for r in top], np.int64))
 
@@ -112,7 +112,7 @@ def members_of(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 seen.add(gid)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int32()), pa.array(marks, pa.binary()), pa.array(groups, pa.int64()), pa.array(lasts, pa.int64()), pa.array(lights, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "n", "digest", "gid", "last", "light", "prefix"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n int, digest binary, gid long, last long, light long, prefix array<long>")
+    return docs.mapInArrow(ending(run), f"id {docs.schema['id'].dataType.simpleString()}, n int, digest binary, gid long, last long, light long, prefix array<long>")
 
 
 def _columns(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
@@ -156,7 +156,7 @@ def shared_runs(postings: DataFrame) -> DataFrame:
 
     banded = postings.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))))
     sorted_ = banded.repartition("token").sortWithinPartitions("token", "band", "info", "gid")
-    return sorted_.mapInArrow(run, "token long, n long, gid long, last long, info long, pivot long")
+    return sorted_.mapInArrow(ending(run), "token long, n long, gid long, last long, info long, pivot long")
 
 
 def _then_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -220,7 +220,7 @@ def open_pairs(runs: DataFrame) -> DataFrame:
             yield from pa.Table.from_batches(small).combine_chunks().to_batches()
 
     sorted_ = runs.repartition("token").sortWithinPartitions("token", "n", "gid").select("token", "n", "gid", "last", "info", "label")
-    return sorted_.mapInArrow(run, "a long, b long, na long, nb long, rest long, light long")
+    return sorted_.mapInArrow(ending(run), "a long, b long, na long, nb long, rest long, light long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -237,7 +237,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("u").filter(mask), b.column("v").filter(mask)], ["u", "v"])
 
     left, right = (sets.select(F.col("digest").alias(x), F.col("tokens").alias(f"s{x}")) for x in "uv")
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(run, "u binary, v binary")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(ending(run), "u binary, v binary")
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 2) -> DataFrame:
@@ -279,7 +279,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         pairs = staged(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
         asked = pairs.select(F.col("u").alias("digest")).union(pairs.select("v")).distinct()
         who = crowd.join(asked, "digest", "left_semi").select(F.col("rep").alias("id"), "digest")
-        sets = staged(given.join(who, "id").select("digest", "text").mapInArrow(tokens_of, "digest binary, tokens binary"), "sets")
+        sets = staged(given.join(who, "id").select("digest", "text").mapInArrow(ending(tokens_of), "digest binary, tokens binary"), "sets")
         release(spark)
         out = staged(_linked(pairs, sets), "links")
         release(spark)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from folioforge.llm.batches import only, pieces
+from folioforge.llm.batches import ending, only, pieces
 from folioforge.llm.shingles import mix
 
 DIM = 1024
@@ -102,16 +102,6 @@ class Bundler:
         return self.rows[where]
 
 
-_bundlers: list[Bundler] = []
-
-
-def bundler() -> Bundler:
-    """One for each worker process."""
-    if not _bundlers:
-        _bundlers.append(Bundler())
-    return _bundlers[0]
-
-
 def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> dict[str, np.ndarray]:
     """Prototype of each language, of unit length, from the rows of ``labelled`` that have one.
 
@@ -129,15 +119,16 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+        bundler = Bundler()
         for whole in batches:
             for b in pieces(whole, "text"):
                 for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    if (v := bundler().vector(text)) is not None and (size := float(np.linalg.norm(v))):
+                    if (v := bundler.vector(text)) is not None and (size := float(np.linalg.norm(v))):
                         sums[lang] = sums.get(lang, np.zeros(DIM)) + v / size
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["lang", "v"])
 
     sums: dict[str, np.ndarray] = {}
-    for r in picked.mapInArrow(run, "lang string, v array<double>").collect():
+    for r in picked.mapInArrow(ending(run), "lang string, v array<double>").collect():
         sums[r["lang"]] = sums.get(r["lang"], np.zeros(DIM)) + np.array(r["v"])
     return {k: v / np.linalg.norm(v) for k, v in sorted(sums.items()) if np.linalg.norm(v)}
 
@@ -156,12 +147,12 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: st
     spec = StructType([*given.schema.fields, StructField(pred_col, StringType()), StructField(score_col, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b_ = bundler()
+        bundler = Bundler()
         for whole in batches:
             for b in pieces(whole, text_col):
                 pred, score = [], []
                 for text in b.column(text_col).to_pylist():
-                    v = b_.vector(text) if text and names else None
+                    v = bundler.vector(text) if text and names else None
                     size = 0.0 if v is None else float(np.linalg.norm(v))
                     if v is None:
                         pred.append(UNKNOWN)
@@ -173,7 +164,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: st
                     score.append(min(1.0, max(0.0, float(cos[best]))))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*kept, pred_col, score_col])
 
-    return given.mapInArrow(run, spec)
+    return given.mapInArrow(ending(run), spec)
 
 
 def remainder(key: str = "doc_id") -> F.Column:

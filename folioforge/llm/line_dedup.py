@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.batches import only
+from folioforge.llm.batches import ending, only
 from folioforge.llm.storage import staged
 
 #: A line in more documents than this is rare only in a document whose shared lines are all that common.
@@ -119,7 +119,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 gone.append(blocks(patience(x, y), words, block_words))
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(gone, pa.list_(pa.int32()))], ["row", "gone"])
 
-    gone = both.mapInArrow(align, "row long, gone array<int>").filter(F.size("gone") > 0)
+    gone = both.mapInArrow(ending(align), "row long, gone array<int>").filter(F.size("gone") > 0)
     gone = gone.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("removed"))
     out = given.join(gone, "row", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     kept = F.filter(F.split("text", "\n"), lambda s, i: ~F.array_contains("removed", i))

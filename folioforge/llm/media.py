@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from folioforge.llm.batches import as_list, only, pieces
+from folioforge.llm.batches import as_list, ending, only, pieces
 from folioforge.llm.shards import ShardWriter, normal, open_fs
 from folioforge.llm.storage import fresh_path, staged
 
@@ -110,7 +110,7 @@ def store(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str
 
     given = only(docs, id=id_col, text=text_col)
     kind = given.schema["id"].dataType.simpleString()
-    return staged(given.mapInArrow(run, f"id {kind}, n_bytes long, media_sha256 string, shard string, offset long, media_bytes long"), "media")
+    return staged(given.mapInArrow(ending(run), f"id {kind}, n_bytes long, media_sha256 string, shard string, offset long, media_bytes long"), "media")
 
 
 class _Ranges:
@@ -138,7 +138,7 @@ def metadata(media: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([x[k] for x in sizes], pa.int32()) for k in range(3))], [*b.schema.names, "width", "height", "bits"])
 
     spec = StructType([*media.schema.fields, *(StructField(c, IntegerType()) for c in ("width", "height", "bits"))])
-    return media.mapInArrow(run, spec)
+    return media.mapInArrow(ending(run), spec)
 
 
 def features(media: DataFrame, folder: str, *, id_col: str = "doc_id") -> DataFrame:
@@ -175,7 +175,7 @@ def features(media: DataFrame, folder: str, *, id_col: str = "doc_id") -> DataFr
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), size, sha, crc, b.column("media_bytes"), b.column("media_sha256"), feature], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     kind = media.schema["id"].dataType.simpleString()
-    return media.mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)
+    return media.mapInArrow(ending(run), f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)
 
 
 def store_and_read(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.llm import bpe
-from folioforge.llm.batches import as_list, only, pieces
+from folioforge.llm.batches import as_list, ending, only, pieces
 from folioforge.llm.storage import staged
 
 
@@ -88,7 +88,7 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0,
                 yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
 
     given = only(docs, id=id_col, text=text_col)
-    return given.mapInArrow(run, f"id {given.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return given.mapInArrow(ending(run), f"id {given.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, *, rank_buckets: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,6 +135,6 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0
 
     order = Window.partitionBy("length", "bucket").orderBy("id", "piece", "ids_crc32")
     kind = cuts.schema["id"].dataType.simpleString()
-    packed = short.withColumn("rank", F.row_number().over(order)).mapInArrow(place, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    packed = short.withColumn("rank", F.row_number().over(order)).mapInArrow(ending(place), f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     full = cuts.filter(F.col("length") == capacity).select("*", (F.lit(bins) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(full).withColumnRenamed("id", id_col)

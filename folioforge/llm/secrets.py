@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.batches import only, pieces
+from folioforge.llm.batches import ending, only, pieces
 
 #: Kinds in the order in which spans that begin together are listed.
 KINDS = ["assign", "access", "hex", "guess"]
@@ -136,7 +136,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(spans, kind)], ["id", "spans"])
 
     given = only(docs, id=id_col, text=text_col)
-    return given.mapInArrow(run, f"id {given.schema['id'].dataType.simpleString()}, spans {SPANS}").withColumnRenamed("id", id_col)
+    return given.mapInArrow(ending(run), f"id {given.schema['id'].dataType.simpleString()}, spans {SPANS}").withColumnRenamed("id", id_col)
 
 
 def joined(spans: Column) -> Column:
@@ -175,4 +175,4 @@ def mask(docs: DataFrame, *, text_col: str = "text", threshold: float = LOG10_GU
             for b in pieces(whole, text_col):
                 yield b.set_column(at, text_col, pa.array(map(clean, b.column(text_col).to_pylist()), pa.string()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(ending(run), docs.schema)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm import bpe
-from folioforge.llm.batches import as_list, only, pieces
+from folioforge.llm.batches import as_list, ending, only, pieces
 
 
 def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
@@ -37,7 +37,7 @@ def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
 
     given = only(docs, id=id_col, text=text_col)
     kind = given.schema["id"].dataType.simpleString()
-    out = given.mapInArrow(run, f"id {kind}, ids array<int>" + ", decoded string" * decode)
+    out = given.mapInArrow(ending(run), f"id {kind}, ids array<int>" + ", decoded string" * decode)
     return out.withColumnRenamed("id", id_col)
 
 
@@ -51,7 +51,7 @@ def decode(tokens: DataFrame, vocabulary: str, *, id_col: str = "doc_id", ids_co
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(texts, pa.string())], ["id", "text"])
 
     given = only(tokens, id=id_col, ids=ids_col)
-    return given.mapInArrow(run, f"id {given.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
+    return given.mapInArrow(ending(run), f"id {given.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
 
 
 def digests(tokens: DataFrame, *, id_col: str = "doc_id") -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.batches import only
+from folioforge.llm.batches import ending, only
 from folioforge.llm.digest_index import HOT_SHARE
 from folioforge.llm.shards import ShardWriter, normal, open_fs
 from folioforge.llm.storage import fresh_path, staged
@@ -106,7 +106,7 @@ def write(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -
         out.close()
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["archive", "n_records", "n_bytes"])
 
-    return staged(chunked(records).mapInArrow(run, "archive string, n_records long, n_bytes long"), "archives")
+    return staged(chunked(records).mapInArrow(ending(run), "archive string, n_records long, n_bytes long"), "archives")
 
 
 class Stream:
@@ -223,7 +223,7 @@ def read(archives: DataFrame, folder: str, *, payload: bool = True, chunk: int =
         yield flush()
 
     spread = archives.select("archive").repartition("archive")
-    return spread.mapInArrow(run, CHUNK_ROWS + ", data binary" * payload)
+    return spread.mapInArrow(ending(run), CHUNK_ROWS + ", data binary" * payload)
 
 
 def archive_pages(pages: DataFrame, *, id_col: str = "page_id", payload_col: str = "html") -> tuple[DataFrame, str]:
