@@ -1,7 +1,7 @@
 """Removal of lines that a later document shares with an earlier one, by pairwise alignment.
 
 Lines are hashed.  A document's partners are the earliest documents that hold its
-rare lines.  Each pair is aligned with patience diff: lines that occur once on
+lines.  Each pair is aligned with patience diff: lines that occur once on
 either side and in the same order are anchors, and equal lines around and between
 them complete the blocks.  Aligned blocks of enough words go from the later
 document.  The earliest copy of a line is never removed, so no line is lost.
@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 from folioforge.llm.batches import ending, only
 from folioforge.llm.storage import staged
 
-#: A line in more documents than this is rare only in a document whose shared lines are all that common.
-RARE = 1000
 #: Words of a line from which it can lead to a partner, and of an aligned block from which it goes.
 LINE_WORDS, BLOCK_WORDS = 3, 10
 
@@ -86,15 +84,14 @@ def blocks(pairs: list[tuple[int, int]], words: list[int], least: int) -> list[i
     return out
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, line_words: int = LINE_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", line_words: int = LINE_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``id_col, n_lines, removed array<int>, text`` for each row: the lines that go, counted from 0, and what stays.
 
     Lines end with a line feed and are equal without blanks at their ends.
     Documents are ordered by identifier, nulls first, and rows that repeat one in
     any fixed order; so of equal rows the first stays.  A null text is empty and
     has no lines.  Partners of a document: for each line of ``line_words`` words or
-    more that is rare (in ``rare`` documents at most, or no more common than the
-    document's rarest shared line), the earliest document that has it.
+    more, however common, the earliest document that has it.
     """
     given = only(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     lines = F.when(F.length("text") > 0, F.split("text", "\n")).otherwise(F.array().cast("array<string>"))
@@ -104,10 +101,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     given = staged(given.select("id", "row", "text", "hashes", "words"), "lines")
     told = F.filter(F.transform(F.arrays_zip("hashes", "words"), lambda z: F.when(z["words"] >= line_words, z["hashes"])), lambda h: h.isNotNull())
     seen = given.select(F.struct("id", "row").alias("doc"), F.explode(F.array_distinct(told)).alias("h"))
-    shared = staged(seen.groupBy("h").agg(F.count("*").alias("df"), F.min("doc").alias("first")).filter("df > 1"), "shared-lines")
-    mine = seen.join(shared, "h").filter("doc.row != first.row").groupBy(F.col("doc.row").alias("row"), F.col("first.row").alias("other")).agg(F.min("df").alias("df"))
-    mine = mine.groupBy("row").agg(F.min("df").alias("least"), F.collect_list(F.struct("other", "df")).alias("all"))
-    pairs = mine.select("row", F.explode(F.filter("all", lambda p: p["df"] <= F.greatest(F.lit(rare), F.col("least")))).alias("p")).select("row", "p.other")
+    shared = staged(seen.groupBy("h").agg(F.count("*").alias("df"), F.min("doc").alias("first")).filter("df > 1").select("h", "first"), "shared-lines")
+    # one partner for each line, so common lines add no more than others; the many that have one partner are dealt out by Spark's skew join
+    pairs = seen.join(shared, "h").filter("doc.row != first.row").select(F.col("doc.row").alias("row"), F.col("first.row").alias("other")).distinct()
     one = given.select("row", F.col("hashes").alias("x"), "words")
     two = given.select(F.col("row").alias("other"), F.col("hashes").alias("y"))
     both = pairs.join(one, "row").join(two, "other").select("row", "x", "words", "y")
@@ -115,8 +111,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             gone = []
-            for x, words, y in zip(b.column("x").to_pylist(), b.column("words").to_pylist(), b.column("y").to_pylist(), strict=True):
-                gone.append(blocks(patience(x, y), words, block_words))
+            for x, words, y in zip(b.column("x"), b.column("words"), b.column("y"), strict=True):  # one row at a time as objects: many can have a long partner
+                gone.append(blocks(patience(x.as_py(), y.as_py()), words.as_py(), block_words))
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(gone, pa.list_(pa.int32()))], ["row", "gone"])
 
     gone = both.mapInArrow(ending(align), "row long, gone array<int>").filter(F.size("gone") > 0)

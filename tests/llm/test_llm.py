@@ -323,6 +323,16 @@ def test_line_dedup(spark, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_of_lines_that_very_many_share(spark):
+    p, q = ([prose(8, 950 + 10 * k + n) for n in range(3)] for k in range(2))
+    minor = prose(5, 990)
+    texts = {1: p, 2: q, 3: [*p, *q], 4: [minor], 5: [minor, *p]} | {k: [*p, *q] for k in range(6, 1100)} | {k: q for k in range(1100, 1110)}
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(3)
+    out = {r["doc_id"]: r["removed"] for r in line_dedup.dedup_lines(df).collect()}
+    assert out[1] == out[2] == out[4] == [] and out[5] == [1, 2, 3]
+    assert all(out[k] == [0, 1, 2, 3, 4, 5] for k in (3, *range(6, 1100))) and all(out[k] == [0, 1, 2] for k in range(1100, 1110))
+
+
 def test_patience_aligns_equal_lines_in_order():
     r = random.Random(2)
     for _ in range(300):
