@@ -1,7 +1,8 @@
 """Removal of lines that a later document shares with an earlier one, by pairwise alignment.
 
 Lines are hashed.  A document's partners are the earliest documents that hold its
-lines.  Each pair is aligned with patience diff: lines that occur once on
+lines, or its windows of consecutive lines that just reach the words of a block.
+Each pair is aligned with patience diff: lines that occur once on
 either side and in the same order are anchors, and equal lines around and between
 them complete the blocks.  Aligned blocks of enough words go from the later
 document.  The earliest copy of a line is never removed, so no line is lost.
@@ -13,15 +14,22 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.batches import ending, only
+from folioforge.llm.shingles import mix
 from folioforge.llm.storage import staged
 
 #: Words of a line from which it can lead to a partner, and of an aligned block from which it goes.
 LINE_WORDS, BLOCK_WORDS = 3, 10
+#: Lines that are hashed as windows at once; a document with more is worked on by itself.
+CHUNK_LINES = 1 << 19
+#: Base of the polynomial hash of windows and its inverse, modulo 2**64.
+_BASE = 0x9E3779B97F4A7C17
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def patience(x: list[int], y: list[int]) -> list[tuple[int, int]]:
@@ -84,6 +92,38 @@ def blocks(pairs: list[tuple[int, int]], words: list[int], least: int) -> list[i
     return out
 
 
+def keys_of(hashes: np.ndarray, words: np.ndarray, size: np.ndarray, line_words: int, block_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of all that can lead to a partner, once for each row; ``size``: lines of each row.
+
+    These are lines of ``line_words`` words or more, and of the windows of lines
+    with ``block_words`` words or more the shortest from each line and the shortest
+    up to each line.  Every line of a block that a row shares with another is in
+    one of these windows that lies in the block.
+    """
+    n, h = len(hashes), hashes.astype(np.uint64)
+    row = np.repeat(np.arange(len(size)), size)
+    stop = np.cumsum(size)
+    begin = stop - size
+    upto = np.append(0, np.cumsum(words.astype(np.int64)))
+    at = np.arange(n)
+    there = np.searchsorted(upto, upto[:-1] + block_words, side="left")
+    ahead = there <= stop[row]
+    back = np.searchsorted(upto, upto[1:] - block_words, side="right") - 1
+    behind = back >= begin[row]
+    i, j = np.concatenate([at[ahead], back[behind]]), np.concatenate([there[ahead], at[behind] + 1])
+    with np.errstate(over="ignore"):
+        power, inverse = (np.cumprod(np.append(np.uint64(1), np.full(max(n - 1, 0), b, np.uint64)))[:n] for b in (_BASE, _INVERSE))
+        total = np.append(np.uint64(0), np.cumsum(mix(h) * power))
+        window = mix((total[j] - total[i]) * inverse[i] + (j - i).astype(np.uint64))
+    window = np.where(j - i == 1, h[i], window)  # a line alone is that line
+    long = words >= line_words
+    rows, keys = np.concatenate([row[long], row[i]]), np.concatenate([h[long], window])
+    order = np.lexsort((keys, rows))
+    rows, keys = rows[order], keys[order]
+    new = np.append(True, (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1]))[: len(rows)]
+    return rows[new], keys[new]
+
+
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", line_words: int = LINE_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``id_col, n_lines, removed array<int>, text`` for each row: the lines that go, counted from 0, and what stays.
 
@@ -91,7 +131,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Documents are ordered by identifier, nulls first, and rows that repeat one in
     any fixed order; so of equal rows the first stays.  A null text is empty and
     has no lines.  Partners of a document: for each line of ``line_words`` words or
-    more, however common, the earliest document that has it.
+    more, and for each window of :func:`keys_of`, however common, the earliest
+    document that has it.
     """
     given = only(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     lines = F.when(F.length("text") > 0, F.split("text", "\n")).otherwise(F.array().cast("array<string>"))
@@ -99,10 +140,22 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     stripped = F.transform("lines", lambda s: F.btrim(s, F.lit(" \t\r\x0b\x0c")))
     given = given.withColumn("hashes", F.transform(stripped, lambda s: F.xxhash64(s))).withColumn("words", F.transform(stripped, lambda s: F.when(s == "", 0).otherwise(F.regexp_count(s, F.lit(r"[ \t\x0b\x0c]+")) + 1)))
     given = staged(given.select("id", "row", "text", "hashes", "words"), "lines")
-    told = F.filter(F.transform(F.arrays_zip("hashes", "words"), lambda z: F.when(z["words"] >= line_words, z["hashes"])), lambda h: h.isNotNull())
-    seen = given.select(F.struct("id", "row").alias("doc"), F.explode(F.array_distinct(told)).alias("h"))
-    shared = staged(seen.groupBy("h").agg(F.count("*").alias("df"), F.min("doc").alias("first")).filter("df > 1").select("h", "first"), "shared-lines")
-    # one partner for each line, so common lines add no more than others; the many that have one partner are dealt out by Spark's skew join
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            lines = np.cumsum(whole.column("words").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            cut = np.flatnonzero(np.diff(lines // CHUNK_LINES)) + 1
+            for at, stop in zip([0, *cut.tolist()], [*cut.tolist(), whole.num_rows], strict=True):
+                b = whole.slice(at, stop - at)
+                h, w = b.column("hashes"), b.column("words")
+                rows, keys = keys_of(h.flatten().to_numpy(), w.flatten().to_numpy(), np.diff(lines[at:stop], prepend=lines[at - 1] if at else 0), line_words, block_words)
+                rows = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([b.column("id").take(rows), b.column("row").take(rows), pa.array(keys.astype(np.int64))], ["id", "row", "h"])
+
+    seen = given.select("id", "row", "hashes", "words").mapInArrow(ending(keyed), f"id {given.schema['id'].dataType.simpleString()}, row long, h long")
+    seen = seen.select(F.struct("id", "row").alias("doc"), "h")
+    shared = staged(seen.groupBy("h").agg(F.count("*").alias("df"), F.min("doc").alias("first")).filter("df > 1").select("h", "first"), "shared-keys")
+    # one partner for each key, so common ones add no more pairs than others; the many that have one partner are dealt out by Spark's skew join
     pairs = seen.join(shared, "h").filter("doc.row != first.row").select(F.col("doc.row").alias("row"), F.col("first.row").alias("other")).distinct()
     one = given.select("row", F.col("hashes").alias("x"), "words")
     two = given.select(F.col("row").alias("other"), F.col("hashes").alias("y"))

@@ -333,6 +333,31 @@ def test_line_dedup_of_lines_that_very_many_share(spark):
     assert all(out[k] == [0, 1, 2, 3, 4, 5] for k in (3, *range(6, 1100))) and all(out[k] == [0, 1, 2] for k in range(1100, 1110))
 
 
+def test_line_dedup_finds_blocks_of_a_later_pair(spark):
+    """Each line of the block has an earlier holder elsewhere, or too few words to lead to one."""
+    a, b, verse = prose(7, 970), prose(7, 971), [prose(1 + k % 2, 980 + k) for k in range(8)]
+    texts = {1: [a, "x"], 2: [b, "y"], 3: ["p", a, b, "q"], 4: ["r", "s", a, b], 5: ["t", *verse], 6: [*verse, "u"], 7: ["one two three four five six seven eight nine ten", "v"], 8: ["one two three four five six seven eight nine ten", "", "w w"], 9: ["k", "one two three four five six seven eight nine ten", "", "w w"]}
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(3)
+    out = {r["doc_id"]: r["removed"] for r in line_dedup.dedup_lines(df).collect()}
+    assert out == {1: [], 2: [], 3: [], 4: [2, 3], 5: [], 6: list(range(8)), 7: [], 8: [0], 9: [1, 2, 3]}
+
+
+def test_keys_cover_every_line_of_every_block():
+    r = random.Random(4)
+    for _ in range(100):
+        docs_ = [[(r.randint(0, 5), 0) for _ in range(r.randint(0, 12))] for _ in range(3)]
+        docs_ = [[(v, [0, 1, 2, 4, 7, 12][v]) for v, _ in d] for d in docs_]
+        flat = [x for d in docs_ for x in d]
+        h, w = np.array([(v + 1) * 0x1234567 for v, _ in flat], np.int64), np.array([n for _, n in flat], np.int32)
+        rows, keys = line_dedup.keys_of(h, w, np.array([len(d) for d in docs_]), 3, 10)
+        got = [set(keys[rows == k].tolist()) for k in range(3)]
+        for x, y in itertools.permutations(range(3), 2):
+            shares = any(docs_[x][i:j] == docs_[y][k : k + j - i] and sum(n for _, n in docs_[x][i:j]) >= 10 for i in range(len(docs_[x])) for j in range(i + 1, len(docs_[x]) + 1) for k in range(len(docs_[y])))
+            lines = {v for v, n in docs_[x] if n >= 3} & {v for v, n in docs_[y] if n >= 3}
+            assert bool(got[x] & got[y]) == (shares or bool(lines))
+    assert len(line_dedup.keys_of(np.array([], np.int64), np.array([], np.int32), np.array([0, 0]), 3, 10)[0]) == 0
+
+
 def test_patience_aligns_equal_lines_in_order():
     r = random.Random(2)
     for _ in range(300):
