@@ -182,13 +182,13 @@ def revision_note(spark, sf_dir):
 @query(f"""{FILES}, p AS (SELECT item_id, string_split(name, '_') AS t, string_split(regexp_replace(name, '\\.[a-z]+$', ''), '_') AS s, split_part(folder, '/', 2) AS project FROM v_files WHERE NOT starts_with(name, '~$'))
 SELECT item_id, 'ORG_' || project AS prefix, array_to_string(s, '_') AS tail FROM p""")
 def prefix_split(spark, sf_dir):
-    f = A.files(spark, sf_dir).filter(~F.col("name").startswith("~$"))
+    f = A.files(spark, sf_dir)
     return f.select("item_id", paths.existing_prefix(F.col("name"), paths.case_name(F.col("path"))).alias("p")).select("item_id", "p.prefix", "p.tail")
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 8 WHEN 5 THEN strftime(o_orderdate, '%y%m') || '01' WHEN 6 THEN strftime(o_orderdate, '%y') || '0201' WHEN 7 THEN 'date_unknown' ELSE strftime(o_orderdate, '%y%m%d') END AS d, o_orderkey % 8 AS form FROM orders WHERE o_orderkey % 8 <> 6""")
 def date_infer(spark, sf_dir):
-    s = A.date_strings(spark, sf_dir).filter("o_orderkey % 8 <> 6")
+    s = A.date_strings(spark, sf_dir)
     return s.select("o_orderkey", dates.infer_date(F.col("s")).alias("d"), (F.col("o_orderkey") % 8).alias("form"))
 
 

@@ -1,0 +1,19 @@
+"""Queries of the catalog over whole tables, against their SQL without its limits."""
+
+import pytest
+
+from folioforge.plans.catalog import QUERIES, SQL
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name,table,limit,without", [("date_infer", "orders", " WHERE o_orderkey % 8 <> 6", ""), ("prefix_split", "documents", " WHERE NOT starts_with(name, '~$')", "")])
+def test_query_covers_all_rows(spark, name, table, limit, without):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    rel = con.sql(SQL[name].replace(limit, without))
+    rows = QUERIES[name](spark, SF).select(*rel.columns).collect()
+    assert len(rows) == con.sql(f"SELECT count(*) FROM {table}").fetchall()[0][0]
+    assert sorted(map(tuple, rows)) == sorted(rel.fetchall())
