@@ -162,7 +162,7 @@ def running_progress(spark, sf_dir):
 
 @query(r"""SELECT doc_id, regexp_replace(trim(regexp_replace(regexp_replace(substr(text, 1, 60), '[\\/:*?"<>|]+', ' ', 'g'), '\s+', ' ', 'g')), '^[._]+|[._]+$', '', 'g') AS name FROM documents""")
 def sanitize_names(spark, sf_dir):
-    return A.table(spark, sf_dir, "documents").select("doc_id", T.sanitize(F.substring("text", 1, 60)).alias("name"))
+    return A.table(spark, sf_dir, "documents").select("doc_id", T.sanitize(F.col("text")).alias("name"))
 
 
 @query(f"""{FILES} SELECT item_id, name AS file_name, ext, folder, regexp_replace(name, '\\.[a-z]+$', '') AS stem, regexp_replace(split_part(folder, '/', 2), '^[._]+|[._]+$', '', 'g') AS case_name FROM v_files""")

@@ -7,7 +7,7 @@ from folioforge.plans.catalog import QUERIES, SQL
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name,table,limit,without", [("date_infer", "orders", " WHERE o_orderkey % 8 <> 6", ""), ("prefix_split", "documents", " WHERE NOT starts_with(name, '~$')", "")])
+@pytest.mark.parametrize("name,table,limit,without", [("date_infer", "orders", " WHERE o_orderkey % 8 <> 6", ""), ("prefix_split", "documents", " WHERE NOT starts_with(name, '~$')", ""), ("sanitize_names", "documents", "substr(text, 1, 60)", "text")])
 def test_query_covers_all_rows(spark, name, table, limit, without):
     import duckdb
 
