@@ -57,7 +57,7 @@ def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
     total = len(words)
     with np.errstate(over="ignore"):
         h = np.zeros(max(0, total - width + 1), np.uint64)
-        for k in range(width):
+        for k in range(width if len(h) else 0):  # a slice's end would be negative
             h = (h + words[k : total - width + 1 + k]) * _PLACE[k]
     h = mix(h) >> np.uint64(2)
     out, at = [], 0

@@ -204,6 +204,15 @@ def test_shingles_do_not_depend_on_the_batch():
     assert all((a == b).all() and len(a) == len(b) for a, b in zip(shingle_sets(texts), alone, strict=True))
 
 
+def test_shingles_of_a_batch_of_few_words(spark):
+    for n in range(6):
+        text = " ".join(WORDS[:n])
+        assert [len(s) for s in shingle_sets([text.encode()])] == [min(n, 1)] and (shingle_sets([text.encode()])[0] == shingle_sets([text.encode(), BASE.encode()])[0]).all()
+    for n in range(1, 5):
+        texts = [(1, " ".join(WORDS[:n]))]
+        assert joined(jaccard_join.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string"))) == brute(texts)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "u int, v int")
     out = {r["node"]: r["label"] for r in components(edges).collect()}
