@@ -21,6 +21,7 @@ import heapq
 import json
 import sys
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import regex
@@ -28,10 +29,12 @@ import regex
 LETTER, NUMBER, SPACE, OTHER, INSIDE = 0, 1, 2, 3, 4
 #: Code points with the Unicode property White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-#: The pre-tokenizer's pattern.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words are looked up by their bytes in two 64-bit halves up to this length.
 SHORT = 16
+#: Bytes of text that are encoded at once, which bounds a worker's memory; a longer text is cut where a word surely begins.
+STEP = 512 << 10
+#: Such places: the space between two ASCII letters, and a CJK ideograph after a full stop or comma.
+SAFE = regex.compile(rb"(?<=[A-Za-z])(?= [A-Za-z])|(?<=\xe3\x80\x82|\xef\xbc\x8c)(?=[\xe5-\xe8])")
 
 
 @functools.cache
@@ -93,8 +96,7 @@ class ByteBPE:
         for b in self.vocab:
             self.longest[b[0]] = max(self.longest[b[0]], len(b))
         self._grow_trie()
-        self.words = regex.compile(WORD_PATTERN)
-        self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.specials = regex.compile(b"(" + b"|".join(regex.escape(s.encode()) for s in sorted(self.special, key=len, reverse=True)) + b")") if self.special else None
         self.slots = slots
         self.shift = np.uint64(64 - (slots.bit_length() - 1))
         self.speculated = self.failed = 0
@@ -326,15 +328,51 @@ class ByteBPE:
                             first[j] = True
         return whole[first]
 
+    def spans(self, text: bytes) -> Iterator[bytes | int]:
+        """The text in parts that are encoded by themselves: spans of about ``STEP`` bytes, and ids of special tokens, which are cut out first."""
+        for k, part in enumerate(self.specials.split(text) if self.specials else [text]):
+            if k % 2:
+                yield self.special[part.decode()]
+                continue
+            at = 0
+            while len(part) - at > STEP and (m := SAFE.search(part, at + STEP)):
+                yield part[at : m.start()]
+                at = m.start()
+            if at < len(part):
+                yield part[at:] if at else part
+
     def encode_batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, and how many each text has."""
         counts = np.zeros(len(texts), np.int64)
-        if self.specials and any(any(s.encode() in t for s in self.special) for t in texts):
-            parts = [self._encode_slowly(t) if any(s.encode() in t for s in self.special) else None for t in texts]
-            plain, _n = self.encode_batch([t if p is None else b"" for t, p in zip(texts, parts, strict=True)])
-            cut = np.split(plain, np.cumsum(_n)[:-1])
-            both = [c if p is None else np.array(p, np.int32) for c, p in zip(cut, parts, strict=True)]
-            return np.concatenate(both), np.array([len(x) for x in both], np.int64)
+        out, group, owners, size = [np.empty(0, np.int32)], [], [], 0
+
+        def flush() -> None:
+            nonlocal size
+            ids, n = self._encode_spans(group)
+            out.append(ids)
+            np.add.at(counts, owners, n)
+            group.clear()
+            owners.clear()
+            size = 0
+
+        for row, text in enumerate(texts):
+            for part in self.spans(text):
+                if isinstance(part, int):
+                    flush()
+                    out.append(np.array([part], np.int32))
+                    counts[row] += 1
+                    continue
+                if size + len(part) > STEP and group:
+                    flush()
+                group.append(part)
+                owners.append(row)
+                size += len(part)
+        flush()
+        return np.concatenate(out), counts
+
+    def _encode_spans(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of texts without special tokens, and how many each has."""
+        counts = np.zeros(len(texts), np.int64)
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         total = int(size.sum())
         if not total:
@@ -402,17 +440,6 @@ class ByteBPE:
         self.n[where[last]], self.at[where[last]] = n[last], at[last] + self.filled
         self.filled += len(ids)
 
-    def _encode_slowly(self, text: bytes) -> list[int]:
-        """A text that holds special tokens: they are cut out first and are their own ids."""
-        out, at, s = [], 0, text.decode("utf-8", "replace")
-        for m in [*self.specials.finditer(s), None]:
-            words = [w.encode() for w in self.words.findall(s[at : m.start() if m else len(s)])]
-            out += [t for x in self.encode_words(words) for t in x]
-            if m:
-                out.append(self.special[m[0]])
-                at = m.end()
-        return out
-
     def decode_batch(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """Texts of consecutive runs of ids."""
         n = self.piece_size[ids]

@@ -25,15 +25,14 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Nodes without an edge are not listed.  Every round is written to the shared
     folder; the number of rounds grows with the logarithm of the size of a
-    component.  Raises if ``max_rounds`` do not suffice.
+    component.  It ends when every node but the smallest hangs on the smallest
+    alone.  Raises if ``max_rounds`` do not suffice.
     """
-    now = staged(edges.filter(F.col("u") != F.col("v")).distinct(), "edges")
-    seen = None
+    now = staged(edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     for _ in range(max_rounds):
-        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if mark == seen or not mark["n"]:
-            nodes = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
-            return nodes.union(now.select("v", "v").distinct()) if mark["n"] else nodes
-        seen = mark
+        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(now.select("v", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("x").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+        if ends.filter((F.col("hangs") > 1) | ((F.col("hangs") > 0) & (F.col("holds") > 0))).isEmpty():
+            return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select("v", "v").distinct())
         now = staged(_star(_star(now, True), False), "edges")
     raise RuntimeError("components did not settle")

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +39,14 @@ COMMON = 1 << 62
 SUMMARY, COMMON_FROM = 1 << 16, 24
 #: Star rounds look only at pairs that share this part of a prefix: those are likely links.  The last round looks at all.
 LIKELY = 0.25
+#: Members of a posting list that one task of the last round holds; a longer list is cut into blocks that meet two by two.
+BLOCK = 2048
+#: Pairs that are made at once.
+PAIRS = 1 << 18
 
 
 def prefix_length(n: np.ndarray | int) -> np.ndarray | int:
+    """How many first tokens of a set of ``n`` suffice to meet every set that links with it."""
     return n - -(-n * NUM // DEN) + 1
 
 
@@ -78,13 +84,14 @@ def common_tokens(docs: DataFrame) -> np.ndarray:
 
 
 def members_of(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """Class, group and prefix of each document: ``id, n, digest, gid, last, light, prefix``; a task gives a group's prefix once.
+    """Class, group and prefix of each document: ``id, mark, n, digest, g, g2, last, light, prefix``; a task gives a group's prefix once.
 
-    ``last``: last token of the prefix; ``light``: how many of its tokens are not common.
+    ``g, g2``: the 128 bits that name a group; ``last``: last token of the prefix;
+    ``light``: how many of its tokens are not common.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for b, sets in sets_of(batches):
             n, marks, groups, lasts, lights, prefixes = [], [], [], [], [], []
             for s in sets:
@@ -103,16 +110,22 @@ def members_of(docs: DataFrame, common: np.ndarray) -> DataFrame:
                     if late.any():
                         key = np.concatenate([key[~late], key[late] + COMMON])
                 head = key[: prefix_length(len(s))]
-                gid = int.from_bytes(hashlib.blake2b(head.tobytes() + len(s).to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True)
+                name = hashlib.blake2b(head.tobytes() + len(s).to_bytes(8, "little"), digest_size=16).digest()
                 marks.append(digest(s))
-                groups.append(gid)
+                groups.append(name)
                 lasts.append(int(head[-1]))
                 lights.append(int(np.searchsorted(head, COMMON)))
-                prefixes.append(None if gid in seen else head)
-                seen.add(gid)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int32()), pa.array(marks, pa.binary()), pa.array(groups, pa.int64()), pa.array(lasts, pa.int64()), pa.array(lights, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "n", "digest", "gid", "last", "light", "prefix"])
+                prefixes.append(None if name in seen else head)
+                seen.add(name)
+            void = pa.array([x is None for x in groups], pa.bool_())
+            halves = np.frombuffer(b"".join(x or bytes(16) for x in groups), "<i8").reshape(-1, 2)
+            g, g2 = (pc.if_else(void, pa.scalar(None, pa.int64()), pa.array(halves[:, k])) for k in range(2))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), b.column("mark"), pa.array(n, pa.int32()), pa.array(marks, pa.binary()), g, g2, pa.array(lasts, pa.int64()), pa.array(lights, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["id", "mark", "n", "digest", "g", "g2", "last", "light", "prefix"],
+            )
 
-    return docs.mapInArrow(ending(run), f"id {docs.schema['id'].dataType.simpleString()}, n int, digest binary, gid long, last long, light long, prefix array<long>")
+    return docs.mapInArrow(ending(run), f"id {docs.schema['id'].dataType.simpleString()}, mark string, n int, digest binary, g long, g2 long, last long, light int, prefix array<long>")
 
 
 def _columns(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
@@ -120,43 +133,44 @@ def _columns(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
 
 
 def shared_runs(postings: DataFrame) -> DataFrame:
-    """Posting lists of two groups or more, repeats of a group dropped: ``token, n, gid, last, info, pivot``.
+    """Posting lists of two groups or more, repeats of a group dropped: ``token, n, g, g2, info, pivot, pivot2``.
 
     A member's pivot is, of the members of its list in its band of sizes, the one
     with the fewest tokens that are not common: in a family of near copies that is
     the one the others were made from, or near to it.
     """
+    names = ["token", "n", "g", "g2", "info", "band"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, ...] | None = None  # the last row, whose list may go on
         joined = False  # its list has an earlier row
-        pivot = (-1, -1, 0)  # of the last row before it: token, band and group that leads the band
+        pivot = (-1, -1, 0, 0)  # of the last row before it: token, band and group that leads the band
         for b in _then_end(batches):
-            t, n, g, last, info, band = (np.empty(0, np.int64),) * 6 if b is None else _columns(b, "token", "n", "gid", "last", "info", "band")
+            t, n, g, g2, info, band = (np.empty(0, np.int64),) * 6 if b is None else _columns(b, *names)
             if held is not None:
-                t, n, g, last, info, band = (np.concatenate([[h], x]) for h, x in zip(held, (t, n, g, last, info, band), strict=True))
+                t, n, g, g2, info, band = (np.concatenate([[h], x]) for h, x in zip(held, (t, n, g, g2, info, band), strict=True))
             if not len(t):
                 continue
-            keep = np.append(True, (t[1:] != t[:-1]) | (g[1:] != g[:-1]))
-            t, n, g, last, info, band = t[keep], n[keep], g[keep], last[keep], info[keep], band[keep]
+            keep = np.append(True, (t[1:] != t[:-1]) | (g[1:] != g[:-1]) | (g2[1:] != g2[:-1]))
+            t, n, g, g2, info, band = t[keep], n[keep], g[keep], g2[keep], info[keep], band[keep]
             same = t[1:] == t[:-1]
             after, before = np.append(same, False), np.append(joined, same)
             begins = np.append(True, ~same | (band[1:] != band[:-1]))
             if joined and pivot[:2] == (t[0], band[0]):
                 begins[0] = False
             first = np.maximum.accumulate(np.where(begins, np.arange(len(t)), -1))
-            lead = np.where(first < 0, pivot[2], g[np.maximum(first, 0)])
+            lead, lead2 = (np.where(first < 0, old, x[np.maximum(first, 0)]) for old, x in ((pivot[2], g), (pivot[3], g2)))
             done = len(t) if b is None else len(t) - 1
             out = np.flatnonzero((after | before)[:done])
             if done:
-                pivot = (t[done - 1], band[done - 1], lead[done - 1])
-            held, joined = (t[-1], n[-1], g[-1], last[-1], info[-1], band[-1]), bool(before[-1])
+                pivot = (t[done - 1], band[done - 1], lead[done - 1], lead2[done - 1])
+            held, joined = (t[-1], n[-1], g[-1], g2[-1], info[-1], band[-1]), bool(before[-1])
             if len(out):
-                yield pa.RecordBatch.from_arrays([pa.array(x[out].astype(np.int64)) for x in (t, n, g, last, info, lead)], ["token", "n", "gid", "last", "info", "pivot"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[out].astype(np.int64)) for x in (t, n, g, g2, info, lead, lead2)], ["token", "n", "g", "g2", "info", "pivot", "pivot2"])
 
-    banded = postings.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))))
-    sorted_ = banded.repartition("token").sortWithinPartitions("token", "band", "info", "gid")
-    return sorted_.mapInArrow(ending(run), "token long, n long, gid long, last long, info long, pivot long")
+    banded = postings.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))).cast("int"))
+    sorted_ = banded.repartition("token").sortWithinPartitions("token", "band", "info", "g", "g2").select(*names)
+    return sorted_.mapInArrow(ending(run), "token long, n long, g long, g2 long, info long, pivot long, pivot2 long")
 
 
 def _then_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -164,8 +178,23 @@ def _then_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
+def in_cells(runs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Members of posting lists with more than one label, each with the cells in which it meets others: ``cell, own`` are added.
+
+    A list of up to ``block`` members is one cell.  A longer one is cut into blocks
+    by the groups' names, and every two blocks meet in a cell; ``own``: the cell
+    of a block with itself.
+    """
+    sizes = runs.groupBy("token").agg(F.count("*").alias("k"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
+    rows = runs.join(sizes.select("token", F.ceil(F.col("k") / block).cast("int").alias("blocks")), "token")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("g", "g2"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.least("block", "other").cast("long") * F.col("blocks") + F.greatest("block", "other")
+    return rows.select("token", cell.alias("cell"), "label", "n", "g", "g2", "last", "info", "block", (F.col("block") == F.col("other")).alias("own"))
+
+
 def open_pairs(runs: DataFrame) -> DataFrame:
-    """Pairs of groups in a posting list whose labels differ: ``a, b, na, nb, rest, light``, once for each list.
+    """Pairs of groups in a posting list whose labels differ: ``a, a2, b, b2, na, nb, rest, light``, once for each list.
 
     ``light``: 1 in the list of a token that is not common; all these meet, so
     their number is what the prefixes share of such tokens.  ``rest``: what the
@@ -173,54 +202,64 @@ def open_pairs(runs: DataFrame) -> DataFrame:
     the order, a pair is made only if that token can be the first that the two
     share: what is left of both sets from there must suffice.
     """
+    names = ["token", "cell", "label", "n", "g", "g2", "last", "info", "block", "own"]
 
-    def within(t: int, n: np.ndarray, g: np.ndarray, last: np.ndarray, info: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
-        code = np.unique(label, return_inverse=True)[1]
-        order = np.argsort(code, kind="stable")
-        n, g, last, info, code = n[order], g[order], last[order], info[order], code[order]
+    def made(t: np.ndarray, n: np.ndarray, g: np.ndarray, g2: np.ndarray, last: np.ndarray, info: np.ndarray, block: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
         late, left = t >= COMMON, n - (info & 0xFFFFFFFF)
         past = n - (info >> 32)  # tokens that are not among the prefix's light ones
-        stop = np.searchsorted(code, code, side="right")  # others begin where a member's own label ends
-        for i in np.flatnonzero(stop < len(n)).tolist():
-            j = np.arange(stop[i], len(n))
-            ok = (n[j] * DEN >= n[i] * NUM) & (n[i] * DEN >= n[j] * NUM)
-            if late:
-                ok &= (NUM + DEN) * np.minimum(left[j], left[i]) >= NUM * (n[j] + n[i])
-            j = j[ok]
-            if len(j):
-                both = (last[j] >= COMMON) & (last[i] >= COMMON)
-                rest = np.where(both, np.minimum(past[j], past[i]), np.where(last[j] < last[i], past[j], past[i]))
-                swap = g[j] < g[i]
-                a, b = np.where(swap, g[j], g[i]), np.where(swap, g[i], g[j])
-                na, nb = np.where(swap, n[j], n[i]), np.where(swap, n[i], n[j])
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (a, b, na, nb, rest, np.full(len(j), 0 if late else 1))], ["a", "b", "na", "nb", "rest", "light"])
+        ok = (own[i] | (block[i] != block[j])) & (n[j] * DEN >= n[i] * NUM) & (n[i] * DEN >= n[j] * NUM)
+        ok &= ~late[i] | ((NUM + DEN) * np.minimum(left[j], left[i]) >= NUM * (n[j] + n[i]))
+        i, j = i[ok], j[ok]
+        both = (last[j] >= COMMON) & (last[i] >= COMMON)
+        rest = np.where(both, np.minimum(past[j], past[i]), np.where(last[j] < last[i], past[j], past[i]))
+        swap = (g[j] < g[i]) | ((g[j] == g[i]) & (g2[j] < g2[i]))
+        a, b = np.where(swap, j, i), np.where(swap, i, j)
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (g[a], g2[a], g[b], g2[b], n[a], n[b], rest, ~late[i])], ["a", "a2", "b", "b2", "na", "nb", "rest", "light"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 6
-        small: list[pa.RecordBatch] = []
+        parts: list[list[np.ndarray]] = []  # rows of a cell that has not ended
         for b in _then_end(batches):
-            if b is not None:
-                held = [np.concatenate([h, x]) for h, x in zip(held, _columns(b, "token", "n", "gid", "last", "info", "label"), strict=True)]
-            t = held[0]
-            if not len(t):
+            if b is not None and b.num_rows:
+                now = _columns(b, *names)
+                t, c = now[:2]
+                turn = np.flatnonzero((t[1:] != t[:-1]) | (c[1:] != c[:-1])) + 1
+                if not len(turn) and parts and (parts[-1][0][-1], parts[-1][1][-1]) == (t[0], c[0]):
+                    parts.append(now)
+                    continue
+                stop = int(turn[-1]) if len(turn) else 0
+                whole = [*parts, [x[:stop] for x in now]]
+                parts = [[x[stop:] for x in now]]
+            elif b is None:
+                whole, parts = parts, []
+            else:
+                continue
+            if not whole:
+                continue
+            t, c, label, *rest = (np.concatenate(x) for x in zip(*whole, strict=True))
+            size = len(t)
+            if size < 2:
                 continue
-            edges = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1], [True]]))
-            whole = len(edges) - 1 if b is None else len(edges) - 2
-            label = held[5]
-            change = np.append(0, np.cumsum(np.append(0, (t[1:] == t[:-1]) & (label[1:] != label[:-1]))))
-            for k in np.flatnonzero(change[edges[1:]] - change[edges[:-1]]).tolist():
-                if k < whole:
-                    s = slice(edges[k], edges[k + 1])
-                    small += within(int(t[edges[k]]), *(x[s] for x in held[1:]))
-                    if len(small) >= 256:
-                        yield from pa.Table.from_batches(small).combine_chunks().to_batches()
-                        small = []
-            held = [x[edges[whole] :] for x in held]
-        if small:
-            yield from pa.Table.from_batches(small).combine_chunks().to_batches()
-
-    sorted_ = runs.repartition("token").sortWithinPartitions("token", "n", "gid").select("token", "n", "gid", "last", "info", "label")
-    return sorted_.mapInArrow(ending(run), "a long, b long, na long, nb long, rest long, light long")
+            other = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
+            ends = np.append(np.flatnonzero(other) + 1, size)
+            own_ends = np.append(np.flatnonzero(other | (label[1:] != label[:-1])) + 1, size)
+            at = np.arange(size)
+            stop, begin = ends[np.searchsorted(ends, at, side="right")], own_ends[np.searchsorted(own_ends, at, side="right")]
+            many = stop - begin  # those behind a member in its cell that have another label
+            upto = np.cumsum(many)
+            first = 0
+            while first < size:
+                past = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + PAIRS, side="right")))
+                m = many[first:past]
+                if m.any():
+                    i = np.repeat(at[first:past], m)
+                    j = np.repeat(begin[first:past] - (np.cumsum(m) - m), m) + np.arange(len(i))
+                    pairs = made(t, *rest, i, j)
+                    if pairs.num_rows:
+                        yield pairs
+                first = past
+
+    sorted_ = in_cells(runs).repartition("token", "cell").sortWithinPartitions("token", "cell", "label").select(*names)
+    return sorted_.mapInArrow(ending(run), "a long, a2 long, b long, b2 long, na long, nb long, rest long, light long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -236,8 +275,23 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("u").filter(mask), b.column("v").filter(mask)], ["u", "v"])
 
-    left, right = (sets.select(F.col("digest").alias(x), F.col("tokens").alias(f"s{x}")) for x in "uv")
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(ending(run), "u binary, v binary")
+    left, right = (sets.select(F.col("cid").alias(x), F.col("tokens").alias(f"s{x}")) for x in "uv")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(ending(run), "u long, v long")
+
+
+def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``cid, tokens`` of the rows whose text has the set that ``digest`` names; other texts of an identifier are left out."""
+    done: set[int] = set()  # rows of an identifier are in one task: of those that repeat a text the first serves
+    for b, sets in sets_of(batches):
+        keep = []
+        for cid, k, s in zip(b.column("cid").to_pylist(), b.column("digest").to_pylist(), sets, strict=True):
+            if cid not in done and digest(s) == k:
+                done.add(cid)
+                keep.append((cid, s.tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keep], pa.int64()), pa.array([s for _, s in keep], pa.binary())], ["cid", "tokens"])
+
+
+GROUP = ["g", "g2"]
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 2) -> DataFrame:
@@ -247,85 +301,90 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     identifier reachable).  Identifiers are integers.  A null text or one without
     words has an empty set and is linked with nothing; a text of fewer than five
     words is one shingle.  Copies are one class, however many; repeated rows are
-    copies.  A null identifier is never a component's; if a component has no
-    other, its ``component_id`` is null.  No documents give no rows.
+    copies.  A null identifier is never a component's, but its text links others;
+    if a component has no other identifier, its ``component_id`` is null.  No
+    documents give no rows.
     """
     spark = docs.sparkSession
     given = only(docs, id=id_col, text=text_col)
+    given = given.withColumn("mark", F.when(F.col("id").isNull(), F.md5("text")))
     common = common_tokens(given)
     members = staged(members_of(given, common), "members")
-    classes = staged(members.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("group_size"), F.first("gid").alias("gid"), F.first("n").alias("n")), "classes")
-    postings = members.filter("prefix IS NOT NULL").select(F.posexplode("prefix").alias("at", "token"), F.col("n").cast("long").alias("n"), "gid", "last", "light")
-    postings = postings.select("token", "n", "gid", "last", F.shiftleft("light", 32).bitwiseOR(F.col("at").cast("long")).alias("info"))
+    # a class is numbered where it is written: numbers are exact names, and short
+    classes = members.filter("n > 0").groupBy("digest", *GROUP, "n", "last").agg(F.min("id").alias("rep"), F.count("*").alias("group_size"))
+    classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    postings = members.filter("prefix IS NOT NULL").select(F.posexplode("prefix").alias("at", "token"), "n", *GROUP, "light")
+    postings = postings.select("token", "n", *GROUP, F.shiftleft(F.col("light").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("info"))
     runs = staged(shared_runs(postings), "runs")
     release(spark)
-    met = runs.select("gid").union(classes.groupBy("gid").count().filter("count > 1").select("gid")).distinct()
-    crowd = staged(classes.join(met, "gid", "left_semi"), "crowd")
-    leads = staged(crowd.groupBy("gid").agg(F.min("digest").alias("lead"), F.count("*").alias("k")), "leads")
+    met = runs.select(*GROUP).union(classes.groupBy(*GROUP).count().filter("count > 1").select(*GROUP)).distinct()
+    crowd = staged(classes.join(met, GROUP, "left_semi"), "crowd")
+    leads = staged(crowd.groupBy(*GROUP).agg(F.min("cid").alias("lead"), F.count("*").alias("k")), "leads")
+    # classes that only rows without an identifier hold are found by the digest of their text
+    unnamed = staged(crowd.filter("rep IS NULL").select("digest", "cid").join(members.filter("id IS NULL AND n > 0").select("digest", "mark"), "digest").groupBy("cid", "digest").agg(F.min("mark").alias("mark")), "unnamed")
+    anonymous = not unnamed.isEmpty()
     release(spark)
 
-    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[bytes] = set()  # rows of an identifier are in one task: of those that repeat a text the first serves
-        for b, sets in sets_of(batches):
-            keep = []
-            for k, s in zip(b.column("digest").to_pylist(), sets, strict=True):
-                if k not in done and digest(s) == k:
-                    done.add(k)
-                    keep.append((k, s.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keep], pa.binary()), pa.array([s for _, s in keep], pa.binary())], ["digest", "tokens"])
-
     def linked(pairs: DataFrame) -> DataFrame:
         """Fetch the sets of the classes in ``pairs`` and compare them whole."""
         pairs = staged(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-        asked = pairs.select(F.col("u").alias("digest")).union(pairs.select("v")).distinct()
-        who = crowd.join(asked, "digest", "left_semi").select(F.col("rep").alias("id"), "digest")
-        sets = staged(given.join(who, "id").select("digest", "text").mapInArrow(ending(tokens_of), "digest binary, tokens binary"), "sets")
+        asked = pairs.select(F.col("u").alias("cid")).union(pairs.select("v")).distinct()
+        who = crowd.filter("rep IS NOT NULL").join(asked, "cid", "left_semi").select(F.col("rep").alias("id"), "cid", "digest")
+        texts = given.join(who, "id").select("cid", "digest", "text")
+        if anonymous:
+            one_each = given.filter("id IS NULL").select("mark", "text").dropDuplicates(["mark"])
+            texts = texts.union(one_each.join(unnamed.join(asked, "cid", "left_semi"), "mark").select("cid", "digest", "text"))
+        sets = staged(texts.mapInArrow(ending(tokens_of), "cid long, tokens binary"), "sets")
         release(spark)
         out = staged(_linked(pairs, sets), "links")
         release(spark)
         return out
 
-    def by_lead(pairs: DataFrame, one: str, two: str) -> DataFrame:
-        a, b = (leads.select(F.col("gid").alias(g), F.col("lead").alias(x)) for g, x in ((one, "u"), (two, "v")))
-        return pairs.join(a, one).join(b, two).select("u", "v")
+    def by_lead(pairs: DataFrame, one: list[str], two: list[str]) -> DataFrame:
+        for at, x in ((one, "u"), (two, "v")):
+            pairs = pairs.join(leads.select(*(F.col(g).alias(c) for g, c in zip(GROUP, at, strict=True)), F.col("lead").alias(x)), at)
+        return pairs.select("u", "v")
 
-    inside = crowd.join(leads.filter("k > 1"), "gid").filter(F.col("digest") != F.col("lead")).select(F.col("lead").alias("u"), F.col("digest").alias("v"))
-    links = None
+    inside = crowd.join(leads.filter("k > 1"), GROUP).filter(F.col("cid") != F.col("lead")).select(F.col("lead").alias("u"), F.col("cid").alias("v"))
+    pivots, seconds = ["pivot", "pivot2"], ["second", "second2"]
+    labels = None  # node, label of all classes linked so far
     for turn in range(star_rounds + 1):
-        if links is not None:
-            named = crowd.select("gid", "digest", "n")
-            if not links.isEmpty():
-                named = named.join(components(links).select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-            else:
-                named = named.withColumn("label", F.col("digest"))
-            named = staged(named, "named")
-            kinds = named.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        if labels is not None:
+            named = crowd.select(*GROUP, "cid", "n", "last").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left")
+            named = staged(named.withColumn("label", F.coalesce("label", "cid")), "named")
+            kinds = named.groupBy(*GROUP).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("cid").alias("lead"), F.min("last").alias("last"))
             # a group of several components has a label of its own
-            kinds = staged(kinds.select("gid", F.when(F.col("low") == F.col("high"), F.xxhash64("low")).otherwise(F.xxhash64("gid")).alias("label"), (F.col("low") != F.col("high")).alias("mixed")), "kinds")
+            mixed = F.col("low") != F.col("high")
+            kinds = staged(kinds.select(*GROUP, F.when(mixed, -1 - F.col("lead")).otherwise(F.col("low")).alias("label"), mixed.alias("mixed"), "last"), "kinds")
         likely = F.col("count") >= LIKELY * (F.col("n") - F.ceil(F.col("n") * (NUM / DEN)) + 1)
         if turn == 0:
-            pairs = runs.filter("pivot != gid").groupBy("pivot", "gid", "n").count().filter(likely)
-            pairs = inside.union(by_lead(pairs, "pivot", "gid"))
+            pairs = runs.filter("pivot != g OR pivot2 != g2").groupBy(*pivots, *GROUP, "n").count().filter(likely)
+            pairs = inside.union(by_lead(pairs, pivots, GROUP))
         elif turn < star_rounds:
             # another pivot: of the members outside the first one's component again that with the fewest tokens that are not common
-            mine, first = (kinds.select(F.col("gid").alias(x), F.col("label").alias(f"{x}_label")) for x in ("gid", "pivot"))
-            apart = runs.join(mine, "gid").join(first, "pivot").filter("gid_label != pivot_label")
-            second = apart.groupBy("token", "pivot").agg(F.min(F.struct("info", "gid_label", "gid")).alias("s"))
-            pairs = apart.join(second, ["token", "pivot"]).filter("gid != s.gid AND gid_label != s.gid_label")
-            pairs = by_lead(pairs.groupBy(F.col("s.gid").alias("other"), "gid", "n").count().filter(likely), "other", "gid")
+            mine = kinds.select(*GROUP, F.col("label").alias("own_label"))
+            first = kinds.select(*(F.col(g).alias(p) for g, p in zip(GROUP, pivots, strict=True)), F.col("label").alias("pivot_label"))
+            # kept apart from the aggregate, which would hold a pivot's rows in one task
+            apart = staged(runs.join(mine, GROUP).join(first, pivots).filter("own_label != pivot_label").drop("pivot_label"), "apart")
+            second = apart.groupBy("token", *pivots).agg(F.min(F.struct("info", "own_label", *GROUP)).alias("s"))
+            second = second.select("token", *pivots, F.col("s.own_label").alias("second_label"), *(F.col(f"s.{g}").alias(x) for g, x in zip(GROUP, seconds, strict=True)))
+            pairs = apart.join(second, ["token", *pivots]).filter("own_label != second_label")
+            pairs = by_lead(pairs.groupBy(*seconds, *GROUP, "n").count().filter(likely), seconds, GROUP)
         else:
-            pairs = open_pairs(runs.join(kinds, "gid")).groupBy("a", "b", "na", "nb", "rest").agg(F.sum("light").alias("light"))
-            pairs = pairs.filter((NUM + DEN) * (F.col("light") + F.col("rest")) >= NUM * (F.col("na") + F.col("nb"))).select("a", "b")
-            pairs = pairs.union(kinds.filter("mixed").select(F.col("gid").alias("a"), F.col("gid").alias("b")))
-            a, b = (named.select(F.col("gid").alias(g), F.col("digest").alias(x), F.col("label").alias(f"{x}_label")) for g, x in (("a", "u"), ("b", "v")))
-            pairs = pairs.join(a, "a").join(b, "b").filter("u_label != v_label").select("u", "v")
+            pairs = open_pairs(runs.join(kinds, GROUP)).groupBy("a", "a2", "b", "b2", "na", "nb", "rest").agg(F.sum("light").alias("light"))
+            pairs = pairs.filter((NUM + DEN) * (F.col("light") + F.col("rest")) >= NUM * (F.col("na") + F.col("nb"))).select("a", "a2", "b", "b2")
+            same = kinds.filter("mixed")
+            pairs = pairs.union(same.select(*GROUP, *GROUP))
+            for at, x in ((["a", "a2"], "u"), (["b", "b2"], "v")):
+                pairs = pairs.join(named.select(*(F.col(g).alias(c) for g, c in zip(GROUP, at, strict=True)), F.col("cid").alias(x), F.col("label").alias(f"{x}_label")), at)
+            pairs = pairs.filter("u_label != v_label").select("u", "v")
         new = linked(pairs)
-        links = new if links is None else links.union(new)
-    labels = staged(components(links), "labels")
-    known = labels.select(F.col("node").alias("digest"), "label").join(classes.select("digest", "rep"), "digest")
+        labels = staged(components(new if labels is None else new.union(labels.select("node", "label"))), "labels")
+        release(spark)
+    known = labels.select(F.col("node").alias("cid"), "label").join(classes.select("cid", "rep"), "cid")
     heads = known.groupBy("label").agg(F.min("rep").alias("component_id"))
-    placed = known.join(heads, "label").select("digest", "component_id")
-    whole = staged(classes.join(placed, "digest", "left").select("digest", "group_size", F.coalesce("component_id", "rep").alias("component_id")), "placed")
+    placed = known.join(heads, "label").select("cid", "component_id")
+    whole = staged(classes.join(placed, "cid", "left").select("digest", "group_size", F.coalesce("component_id", "rep").alias("component_id")), "placed")
     rows = members.select("id", F.col("n").cast("long").alias("n_shingles"), "digest")
     some = join_by_digest(rows.filter("n_shingles > 0"), whole, rows.count()).select("id", "n_shingles", "component_id")
     none = rows.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))

@@ -198,6 +198,32 @@ def test_jaccard_components_with_common_tokens(spark, monkeypatch):
         assert joined(jaccard_join.jaccard_components(df)) == brute(texts), least
 
 
+def test_texts_without_an_identifier_link_others(spark):
+    """The middle of a chain, and a copy of it, have no identifier; so has a family that nobody else is in."""
+    far = near(BASE, 4, 71)
+    mid = " ".join(a if k % 2 else b for k, (a, b) in enumerate(zip(BASE.split(), far.split(), strict=True)))
+    texts = [(1, BASE), (None, mid), (None, mid), (5, far), (None, prose(90, 72)), (None, near(prose(90, 72), 1, 73)), (7, prose(50, 74)), (None, None), (None, "")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    assert joined(jaccard_join.jaccard_components(df)) == brute(texts)
+
+
+@pytest.mark.parametrize("seed,block,pairs", [(1, 2, 3), (2, 5, 40), (3, 2048, 1 << 18)])
+def test_random_families(spark, monkeypatch, seed, block, pairs):
+    """Families that drift from their first member, with lists cut into small blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "PAIRS", pairs)
+    monkeypatch.setattr(jaccard_join, "COMMON_FROM", 8)
+    monkeypatch.setattr(jaccard_join, "LIKELY", [0.25, 2.0, 0.25][seed - 1])  # 2: no star round finds a pair
+    r, texts = random.Random(seed), []
+    for family in range(12):
+        text = prose(r.randint(6, 60), seed * 1000 + family)
+        for _ in range(r.randint(1, 9)):
+            texts.append((r.choice([None, *range(len(texts), len(texts) + 20)]), text))
+            text = near(text, r.randint(0, 2), r.random())
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    assert joined(jaccard_join.jaccard_components(df)) == brute(texts)
+
+
 def test_shingles_do_not_depend_on_the_batch():
     texts = [t.encode() for _, t in TEXTS if t is not None]
     alone = [shingle_sets([t])[0] for t in texts]
@@ -242,6 +268,18 @@ def test_bpe_equals_the_library(spark, docs, none):
     assert encode(none, vocabulary()).count() == 0
 
 
+def test_bpe_cuts_long_texts_where_words_begin(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t, coder, r = Tokenizer.from_file(vocabulary()), bpe.ByteBPE(vocabulary()), random.Random(4)
+    texts = ["".join(r.choice(["it's", " we", "ll ", "'s", "\n", "\n\n", " ", "a b", "漢。字", "，語", "<|endoftext|>", "12", "x" * 20]) for _ in range(400)) for _ in range(20)]
+    expected = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    for step in (1, 30, 1000):
+        monkeypatch.setattr(bpe, "STEP", step)
+        ids, n = coder.encode_batch([x.encode() for x in texts])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == expected, step
+
+
 # -- 6 -----------------------------------------------------------------------------
 
 
