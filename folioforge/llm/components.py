@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.storage import staged
+from folioforge.llm.storage import discard, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,5 +34,6 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         ends = ends.groupBy("x").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
         if ends.filter((F.col("hangs") > 1) | ((F.col("hangs") > 0) & (F.col("holds") > 0))).isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select("v", "v").distinct())
-        now = staged(_star(_star(now, True), False), "edges")
+        last, now = now, staged(_star(_star(now, True), False), "edges")
+        discard(last)
     raise RuntimeError("components did not settle")

@@ -30,7 +30,7 @@ from folioforge.llm.batches import ending, only
 from folioforge.llm.components import components
 from folioforge.llm.digest_index import join_by_digest
 from folioforge.llm.shingles import digest, sets_of
-from folioforge.llm.storage import release, staged
+from folioforge.llm.storage import discard, release, staged
 
 #: A similarity of NUM / DEN or more links.
 NUM, DEN = 75, 100
@@ -316,6 +316,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     postings = members.filter("prefix IS NOT NULL").select(F.posexplode("prefix").alias("at", "token"), "n", *GROUP, "light")
     postings = postings.select("token", "n", *GROUP, F.shiftleft(F.col("light").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("info"))
     runs = staged(shared_runs(postings), "runs")
+    with_prefix, members = members, staged(members.select("id", "mark", "n", "digest"), "members")
+    discard(with_prefix)
     release(spark)
     met = runs.select(*GROUP).union(classes.groupBy(*GROUP).count().filter("count > 1").select(*GROUP)).distinct()
     crowd = staged(classes.join(met, GROUP, "left_semi"), "crowd")
@@ -337,6 +339,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         sets = staged(texts.mapInArrow(ending(tokens_of), "cid long, tokens binary"), "sets")
         release(spark)
         out = staged(_linked(pairs, sets), "links")
+        discard(pairs, sets)
         release(spark)
         return out
 
@@ -366,6 +369,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             first = kinds.select(*(F.col(g).alias(p) for g, p in zip(GROUP, pivots, strict=True)), F.col("label").alias("pivot_label"))
             # kept apart from the aggregate, which would hold a pivot's rows in one task
             apart = staged(runs.join(mine, GROUP).join(first, pivots).filter("own_label != pivot_label").drop("pivot_label"), "apart")
+            release(spark)
             second = apart.groupBy("token", *pivots).agg(F.min(F.struct("info", "own_label", *GROUP)).alias("s"))
             second = second.select("token", *pivots, F.col("s.own_label").alias("second_label"), *(F.col(f"s.{g}").alias(x) for g, x in zip(GROUP, seconds, strict=True)))
             pairs = apart.join(second, ["token", *pivots]).filter("own_label != second_label")
@@ -379,8 +383,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 pairs = pairs.join(named.select(*(F.col(g).alias(c) for g, c in zip(GROUP, at, strict=True)), F.col("cid").alias(x), F.col("label").alias(f"{x}_label")), at)
             pairs = pairs.filter("u_label != v_label").select("u", "v")
         new = linked(pairs)
-        labels = staged(components(new if labels is None else new.union(labels.select("node", "label"))), "labels")
+        before, labels = labels, staged(components(new if labels is None else new.union(labels.select("node", "label"))), "labels")
+        discard(new, *(() if before is None else (before, named, kinds)), *((apart,) if 0 < turn < star_rounds else ()))
         release(spark)
+    discard(runs, crowd, leads, unnamed)
     known = labels.select(F.col("node").alias("cid"), "label").join(classes.select("cid", "rep"), "cid")
     heads = known.groupBy("label").agg(F.min("rep").alias("component_id"))
     placed = known.join(heads, "label").select("cid", "component_id")
