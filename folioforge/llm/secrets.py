@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,8 +19,8 @@ KINDS = ["assign", "access", "hex", "guess"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # as [0-9a-f]+ of 24 or more: a run has no earlier match to be taken from
-#: Where a value is taken for a credential.
-CONTEXT = re.compile(r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|bearer|auth(?:orization)?|credentials?|(?:api|access|private|signing|account)[_-]?key|client[_-]?secret|connection[_-]?string)["']?\x20{0,3}(?:=>|:=|[:=]|\x20is\x20)\x20{0,3}["'`]?([^\s"'`,;<>]{6,})""", re.ASCII | re.IGNORECASE)
+#: Where a value is taken for a credential; after the word "is" only one that is not a plain word.
+CONTEXT = re.compile(r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|bearer|auth(?:orization)?|credentials?|(?:api|access|private|signing|account)[_-]?key|client[_-]?secret|connection[_-]?string)["']?\x20{0,3}(?:=>|:=|[:=]|\x20is\x20(?=[^\s]*[0-9!@#$%^&*+/=_]))\x20{0,3}["'`]?([^\s"'`,;<>]{6,})""", re.ASCII | re.IGNORECASE)
 #: Every match of ASSIGN, or of CONTEXT, holds one of these in lower case.
 ASSIGN_NEEDS = ("passw", "secret", "token", "api_key", "apikey")
 CONTEXT_NEEDS = ("pass", "pwd", "secret", "token", "bearer", "auth", "credential", "key", "connection")
@@ -36,8 +36,6 @@ monday friday january october orange banana cookie cheese flower freedom whateve
 token bearer basic client account company google amazon azure github docker redis mysql postgres oracle
 production staging development local host north south east west green black white silver golden purple
 love baby angel lucky magic money music happy star blue the and for you not null none true false todo""".split()
-RANKS = {w: i for i, w in enumerate(WORDS, 1)}
-LONGEST = max(map(len, WORDS))
 #: Rows of the keyboard.
 ROWS = ["1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./"]
 LEET = str.maketrans("@431!05$7", "aaeiiosst")
@@ -56,83 +54,145 @@ def neighbours() -> dict[str, set[str]]:
     return near
 
 
-def log10_guesses(value: str) -> float:
-    """Guesses that the cheapest segmentation of ``value`` takes, as a power of ten.
-
-    ``cost[j]`` is the least over segments that end at j of the cost before the
-    segment and its own: a listed word (rank, capitals and substitutions), a
-    date, a repeat of one to four characters, a keyboard walk, or brute force
-    at ten guesses for a character.
-    """
-    n, low, near = len(value), value.lower(), neighbours()
-    plain = low.translate(LEET)
-    cost = [0.0] + [math.inf] * n
-    walk = [0] * (n + 1)
-    for j in range(1, n):
-        walk[j] = walk[j - 1] + 1 if low[j] in near.get(low[j - 1], ()) else 0
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        if value[i].isdigit() and (m := DATE.match(value, i)):
-            dates.setdefault(m.end(), []).append(i)
-    repeats: dict[int, list[tuple[int, float]]] = {}
-    for width in range(1, 5):
-        i = 0
-        while i + 2 * width <= n:
-            end = i + width
-            while end + width <= n and low[end : end + width] == low[i : i + width]:
-                end += width
-            if end - i >= 3 and end > i + width:
-                repeats.setdefault(end, []).append((i, width + math.log10((end - i) / width)))
-                i = end - width + 1
+#: Powers of ten that a date and the beginning of a walk cost, and each further key of a walk.
+DATE_COST, WALK_COST, KEY_COST = math.log10(365 * 60), math.log10(47), 0.3
+#: Longest unit of a repeat.
+UNIT = 4
+
+
+class Guesser:
+    """The guess cost of values, with a ranked list of words, the most likely first."""
+
+    def __init__(self, words: Sequence[str] = WORDS):
+        self.ranks = {w.lower(): i for i, w in reversed(list(enumerate(words, 1)))}
+        self.longest = max(map(len, self.ranks), default=0)
+        self.units: dict[str, float] = {}
+
+    def word(self, value: str) -> float:
+        """Cost of one listed word, in any case and with usual substitutions; infinite if it is none."""
+        low = value.lower()
+        plain = low.translate(LEET)
+        rank = self.ranks.get(low) or self.ranks.get(plain)
+        if not rank:
+            return math.inf
+        return math.log10(rank + 1) + 0.5 * (sum(c.isupper() for c in value) + sum(a != b for a, b in zip(low, plain, strict=True)))
+
+    def unit(self, unit: str) -> float:
+        """Cost of what a repeat repeats: the least over words and single keys."""
+        if unit not in self.units:
+            if len(self.units) > 100_000:
+                self.units.clear()
+            cost = [0.0]
+            for j in range(1, len(unit) + 1):
+                cost.append(min([cost[j - 1] + 1.0, *(cost[i] + self.word(unit[i:j]) for i in range(j - 2))]))
+            self.units[unit] = cost[-1]
+        return self.units[unit]
+
+    def log10(self, value: str, enough: float = math.inf) -> float:
+        """Guesses that the cheapest segmentation of ``value`` takes, as a power of ten.
+
+        ``cost[j]`` is the least over segments that end at j of the cost before the
+        segment and its own.  Segments are a listed word of three letters or more
+        (its rank, capitals and substitutions), a date, two or more copies of a
+        unit of up to ``UNIT`` characters, three in all at least (the unit's cost
+        and the number of copies), a walk of three or more neighbouring keys, and a
+        single character by brute force at ten guesses.  Time grows with the length
+        alone: of the beginnings of a walk, and of a repeat, only those are kept
+        that can still be the best.  Once the cost is sure to exceed ``enough`` the
+        least so far is given.
+        """
+        n, low, near = len(value), value.lower(), neighbours()
+        if len(low) != n:  # a letter whose lower case is longer
+            low = "".join(c.lower()[:1] for c in value)
+        cost = [0.0] * (n + 1)
+        dates: dict[int, list[int]] = {}
+        walk, walk_best, cheap = 0, math.inf, 0
+        period = [0] * (UNIT + 1)  # matches in a row of each width
+        begins: list[list[list[int]]] = [[[] for _ in range(w)] for w in range(UNIT + 1)]
+        for j in range(1, n + 1):
+            if value[j - 1].isdigit() and (m := DATE.match(value, j - 1)):
+                dates.setdefault(m.end(), []).append(j - 1)
+            best = cost[j - 1] + 1.0
+            for i in range(max(0, j - self.longest), j - 2):
+                if cost[i] < best and (own := self.word(value[i:j])) + cost[i] < best:
+                    best = cost[i] + own
+            for i in dates.pop(j, ()):
+                best = min(best, cost[i] + DATE_COST)
+            walk = walk + 1 if j > 1 and low[j - 1] in near.get(low[j - 2], ()) else 0
+            if walk >= 2:
+                walk_best = min(walk_best, cost[j - 3] - KEY_COST * (j - 3))
+                best = min(best, walk_best + WALK_COST + KEY_COST * (j - 1))
             else:
-                i += 1
-    for j in range(1, n + 1):
-        best = cost[j - 1] + 1.0
-        for i in range(max(0, j - LONGEST), j - 2):
-            if rank := RANKS.get(low[i:j]) or RANKS.get(plain[i:j]):
-                odd = sum(c.isupper() for c in value[i:j]) + sum(a != b for a, b in zip(low[i:j], plain[i:j], strict=True))
-                best = min(best, cost[i] + math.log10(rank + 1) + 0.5 * odd)
-        for i in dates.get(j, ()):
-            best = min(best, cost[i] + math.log10(365 * 60))
-        for i, own in repeats.get(j, ()):
-            best = min(best, cost[i] + own)
-        if j >= 3 and walk[j - 1] >= 2:
-            for i in range(j - 1 - walk[j - 1], j - 2):
-                best = min(best, cost[i] + math.log10(47) + 0.3 * (j - i - 1))
-        cost[j] = best
-    return cost[n]
-
-
-def find(text: str, threshold: float = LOG10_GUESSES) -> list[tuple[str, int, int]]:
+                walk_best = math.inf
+            open_ = walk >= 1
+            for w in range(1, UNIT + 1):
+                if j <= w or low[j - 1] != low[j - 1 - w]:
+                    if period[w]:
+                        period[w], begins[w] = 0, [[] for _ in range(w)]
+                    continue
+                period[w] += 1
+                open_ = True
+                least = max(2, -(-3 // w))
+                if period[w] < (least - 1) * w:
+                    continue
+                # an earlier beginning that costs no more than a later one never costs more again
+                kept, held = [], math.inf
+                for i in [*begins[w][j % w], j - least * w]:
+                    if (own := cost[i] + math.log10((j - i) // w)) < held:
+                        kept.append(i)
+                        held = own
+                begins[w][j % w] = kept
+                best = min(best, held + self.unit(low[j - w : j]))
+            cost[j] = best
+            if best <= enough:
+                cheap = j
+            elif not open_ and not dates and j - cheap > max(self.longest, 2 * UNIT, 10):
+                return min(cost[cheap + 1 : j + 1])
+        return cost[n]
+
+
+@functools.cache
+def guesser() -> Guesser:
+    return Guesser()
+
+
+def find(text: str, threshold: float = LOG10_GUESSES, guess: Guesser | None = None) -> list[tuple[str, int, int]]:
     """Spans of one text as kind, start and end in code points, in order."""
+    guess = guess or guesser()
     low = text.lower()
-    out = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6] if any(k in low for k in ASSIGN_NEEDS) else []
-    out += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    out += [("hex", *m.span()) for m in HEX.finditer(text)]
-    base = sorted((s, e) for _, s, e in out)
-    for m in CONTEXT.finditer(text) if any(k in low for k in CONTEXT_NEEDS) else ():
-        s, e = m.span(1)
-        if not any(a < e and s < b for a, b in base) and log10_guesses(m[1]) > threshold:
-            out.append(("guess", s, e))
-    return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+    spans, values = [], set()
+    if any(k in low for k in ASSIGN_NEEDS):
+        for m in ASSIGN.finditer(text):
+            if len(m[2]) >= 6:
+                spans.append(("assign", *m.span()))
+                values.add(m.span(2))
+    spans += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
+    spans += [("hex", *m.span()) for m in HEX.finditer(text)]
+    if any(k in low for k in CONTEXT_NEEDS):
+        values.update(m.span(1) for m in CONTEXT.finditer(text))
+    spans += [("guess", s, e) for s, e in values if guess.log10(text[s:e], threshold) > threshold]
+    return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = LOG10_GUESSES) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = LOG10_GUESSES, words: Sequence[str] = WORDS) -> DataFrame:
     """``id_col, spans`` for each row; a null or empty text has none.
 
-    Base spans are those of the fixed patterns; ``guess`` spans are values in a
-    credential's place that no base span touches and whose guess cost is above
-    ``threshold``.  Repeated rows and null identifiers pass through.
+    Base spans are those of the fixed patterns.  Every value in a credential's
+    place, those of the pattern of assignments included, is scored, and is a
+    ``guess`` span if its guess cost is above ``threshold``; so a base span can
+    hold one.  ``words``: the ranked list that guessing begins with.  Time grows
+    with the length of a text and of a value.  Repeated rows and null identifiers
+    pass through; no rows give none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        guess, kind = Guesser(words), pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for whole in batches:
             for b in pieces(whole, "text"):
-                spans = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in find(t or "", threshold)] for t in b.column("text").to_pylist()]
+                spans = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in find(t or "", threshold, guess)] for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(spans, kind)], ["id", "spans"])
 
     given = only(docs, id=id_col, text=text_col)

@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import io
 import itertools
+import math
 import random
 import re
 import tarfile
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -100,7 +102,10 @@ def test_held_out_accuracy(spark):
 def test_secret_spans(spark, docs, none):
     key = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"
     cases = {
-        f'x token = "{key}" y': [("assign", 2, 11 + len(key)), ("hex", 11, 11 + len(key))],
+        f'x token = "{key}" y': [("assign", 2, 11 + len(key)), ("hex", 11, 11 + len(key)), ("guess", 11, 11 + len(key))],
+        "secret: qwertyuiop1999 ok": [("assign", 0, 22)],
+        "secret: kZ8fQ1mW3xT9 ok": [("assign", 0, 20), ("guess", 8, 20)],
+        "the token is international": [],
         "PassWord:abc12": [],
         "PassWord:abc123": [("assign", 0, 15)],
         "AKIA" + "A" * 16: [("access", 0, 20)],
@@ -121,11 +126,56 @@ def test_secret_spans(spark, docs, none):
     assert secrets.mask(docs.filter("text IS NULL")).first()["text"] is None
 
 
+def all_segmentations(value, words):
+    """The least cost by trying every segmentation."""
+    guess = secrets.Guesser(words)
+
+    def segment(x):
+        own = [1.0] if len(x) == 1 else []
+        if len(x) >= 3:
+            own.append(guess.word(x))
+        if (m := secrets.DATE.match(value, value_at[0])) and m[0] == x:
+            own.append(secrets.DATE_COST)
+        for w in range(1, secrets.UNIT + 1):
+            if len(x) >= max(3, 2 * w) and len(x) % w == 0 and x.lower() == x[:w].lower() * (len(x) // w):
+                own.append(guess.unit(x[:w].lower()) + math.log10(len(x) // w))
+        low, near = x.lower(), secrets.neighbours()
+        if len(x) >= 3 and all(b in near.get(a, ()) for a, b in zip(low, low[1:], strict=False)):
+            own.append(secrets.WALK_COST + secrets.KEY_COST * (len(x) - 1))
+        return min(own, default=math.inf)
+
+    value_at = [0]
+    best = {0: 0.0}
+    for j in range(1, len(value) + 1):
+        best[j] = math.inf
+        for i in range(j):
+            value_at[0] = i
+            best[j] = min(best[j], best[i] + segment(value[i:j]))
+    return best[len(value)]
+
+
 def test_guess_cost_is_the_least_over_segmentations():
-    assert secrets.log10_guesses("password") < 1 and secrets.log10_guesses("aaaaaaaaaa") < 3 and secrets.log10_guesses("qwertyuiop") < 5
-    assert abs(secrets.log10_guesses("xK9#mQ2$") - 8) < 1e-9
-    for a, b in itertools.product(["password", "zq4", "19990412"], repeat=2):
-        assert secrets.log10_guesses(a + b) <= secrets.log10_guesses(a) + secrets.log10_guesses(b) + 1e-9
+    r, words = random.Random(11), ["pass", "sab", "abab", "asd", "word"]
+    for n in range(400):
+        value = "".join(r.choice(["a", "b", "A", "s", "d", "@", "1", "as", "pass", "word", "1999", "20010203", "x9"][: 6 + n % 8]) for _ in range(r.randint(0, 14)))
+        least = all_segmentations(value, words)
+        assert abs(secrets.Guesser(words).log10(value) - least) < 1e-9, value
+        for enough in (2.0, 5.0):
+            assert (secrets.Guesser(words).log10(value, enough) > enough) == (least > enough), value
+    cost = secrets.guesser().log10
+    assert cost("password") < 1 and cost("aaaaaaaaaa") < 3 and cost("qwertyuiop") < 5 and cost("lovelovelove") < 4 and cost("") == 0
+    assert abs(cost("xK9#mQ2$") - 8) < 1e-9
+
+
+@pytest.mark.parametrize("unit", ["a", "as", "asdf", "qwertyuiop", "12", "password", "xK9#mQ2$v", "aab"])
+def test_long_values_take_linear_time(unit):
+    took = []
+    for n in (20_000, 80_000):
+        value = (unit * n)[:n]
+        began = time.perf_counter()
+        secrets.find(f"token={value}")
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 0.2
 
 
 # -- 3 -----------------------------------------------------------------------------
