@@ -27,7 +27,9 @@ UNKNOWN = "und"
 #: Rows of each language, in expectation, that a fit reads.
 FIT_ROWS = 2000
 #: A document is worked on in spans of so many characters.
-SPAN = 1 << 22
+SPAN = 1 << 20
+#: Vectors of documents are added as whole numbers of this fraction, so that their order changes nothing.
+UNIT = 1 << 32
 
 
 def letter_vectors(codes: np.ndarray) -> np.ndarray:
@@ -44,14 +46,16 @@ def bound(trigrams: np.ndarray) -> np.ndarray:
     return np.roll(a, 2, axis=1) * np.roll(b, 1, axis=1) * c
 
 
-def symbols(text: str) -> np.ndarray:
-    """Lower-case letters as code points, anything between them as one gap, and a gap at both ends."""
-    low = text.lower()
-    codes = np.frombuffer(f" {low} ".encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-    table = _letters()
-    codes = np.where(table[codes], codes, GAP)
-    keep = np.append(True, (codes[1:] != GAP) | (codes[:-1] != GAP))
-    return codes[keep]
+def symbols(text: str, before: np.ndarray | None = None, ends: bool = True) -> np.ndarray:
+    """Lower-case letters as code points, anything between them as one gap, and a gap at both ends.
+
+    A text can come in spans: ``before`` are the last symbols of the span before,
+    ``ends`` says that no other follows.
+    """
+    low = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    gap = np.array([GAP], np.int64)
+    codes = np.concatenate([gap if before is None else before, np.where(_letters()[low], low, GAP), gap[: int(ends)]])
+    return codes[np.append(True, (codes[1:] != GAP) | (codes[:-1] != GAP))]
 
 
 _table: list[np.ndarray] = []
@@ -71,10 +75,11 @@ class Bundler:
         self.rows = np.empty((1024, DIM), np.int8)
 
     def vector(self, text: str) -> np.ndarray | None:
-        """Sum of the trigram vectors, or None without a letter."""
-        total, any_letter = np.zeros(DIM, np.float32), False
+        """Sum of the trigram vectors, or None without a letter; spans of a long text give those of the whole."""
+        total, any_letter, tail = np.zeros(DIM, np.float32), False, None
         for at in range(0, max(1, len(text)), SPAN):
-            s = symbols(text[max(0, at - 2) : at + SPAN])
+            s = symbols(text[at : at + SPAN], tail, at + SPAN >= len(text))
+            tail = s[-2:]
             if len(s) < 3:
                 continue
             any_letter = True
@@ -107,7 +112,8 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
 
     Of a language with more than ``fit_rows`` rows a share is read that makes
     ``fit_rows`` of them in expectation, picked by a hash of ``key_col``; this
-    bounds what is shuffled and what the driver gets.
+    bounds what is shuffled and what the driver gets.  Rows without a text or a
+    language are not read; repeated rows count each; no rows give no prototype.
     """
     rows = only(labelled, key=key_col, lang=lang_col, text=text_col).filter("lang IS NOT NULL AND text IS NOT NULL")
     share = {r["lang"]: min(1.0, fit_rows / r["count"]) for r in rows.groupBy("lang").count().collect()}
@@ -124,13 +130,13 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
             for b in pieces(whole, "text"):
                 for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                     if (v := bundler.vector(text)) is not None and (size := float(np.linalg.norm(v))):
-                        sums[lang] = sums.get(lang, np.zeros(DIM)) + v / size
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["lang", "v"])
+                        sums[lang] = sums.get(lang, np.zeros(DIM, np.int64)) + np.rint(v * (UNIT / size)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["lang", "v"])
 
     sums: dict[str, np.ndarray] = {}
-    for r in picked.mapInArrow(ending(run), "lang string, v array<double>").collect():
-        sums[r["lang"]] = sums.get(r["lang"], np.zeros(DIM)) + np.array(r["v"])
-    return {k: v / np.linalg.norm(v) for k, v in sorted(sums.items()) if np.linalg.norm(v)}
+    for r in picked.mapInArrow(ending(run), "lang string, v array<long>").collect():
+        sums[r["lang"]] = sums.get(r["lang"], np.zeros(DIM, np.int64)) + np.array(r["v"])
+    return {k: v / np.linalg.norm(v) for k, v in sorted(sums.items()) if v.any()}
 
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:

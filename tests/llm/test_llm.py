@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import io
 import itertools
@@ -89,6 +90,48 @@ def test_text_vector_is_the_bundle_of_bound_letters():
     assert (v == expected).all()
 
 
+def test_spans_of_a_long_text_give_its_vector(monkeypatch):
+    r = random.Random(8)
+    for n in range(60):
+        text = "".join(r.choice("ab  .éßИ漢\n1") for _ in range(r.randint(0, 40)))
+        monkeypatch.setattr(language_id, "SPAN", 1 << 20)
+        whole = language_id.Bundler().vector(text)
+        monkeypatch.setattr(language_id, "SPAN", 1 + n % 7)
+        spans = language_id.Bundler().vector(text)
+        assert (whole is None and spans is None) or (whole == spans).all(), text
+
+
+def test_language_id_equals_plain_python(spark):
+    """Prototypes and predictions from dictionaries of trigrams, one document at a time."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text")
+    rows = [r for r in d.collect()]
+    letter = functools.cache(lambda c: language_id.letter_vectors(np.array([c]))[0].astype(np.int64))
+
+    def profile(text):
+        words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        if not words:
+            return None
+        s = f" {' '.join(words)} "
+        return sum(k * np.roll(letter(ord(a)), 2) * np.roll(letter(ord(b)), 1) * letter(ord(c)) for (a, b, c), k in Counter(zip(s, s[1:], s[2:], strict=False)).items()).astype(float)
+
+    learn = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["lang"] and r["text"]]
+    sums = defaultdict(lambda: np.zeros(language_id.DIM))
+    for r in learn:
+        if (v := profile(r["text"])) is not None:
+            sums[r["lang"]] += v / np.linalg.norm(v)
+    model = {k: v / np.linalg.norm(v) for k, v in sums.items()}
+    got = {r["doc_id"]: r for r in queries()["op1_language_id"](spark, SF).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        v, out = profile(r["text"]), got[r["doc_id"]]
+        assert out["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        if v is None:
+            assert (out["lang_pred"], out["score"]) == ("und", 0)
+            continue
+        cos = {k: float(p @ v) / np.linalg.norm(v) for k, p in model.items()}
+        assert abs(out["score"] - max(cos.values())) < 1e-4 and cos[out["lang_pred"]] > max(cos.values()) - 1e-4
+
+
 def test_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
     model = language_id.fit(d.filter(language_id.remainder() != 0))
