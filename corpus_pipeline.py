@@ -19,7 +19,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     prototypes = language_id.fit(docs.filter(language_id.remainder() != 0))
     pred, score = (next(n for n in (base, f"_{base}", f"__{base}") if n not in docs.columns) for base in ("lang_pred", "score"))
     out = language_id.identify(docs, prototypes, pred_col=pred, score_col=score)
-    return out.filter(F.col(pred) != language_id.UNKNOWN).select(*docs.columns)
+    known = (F.col(pred) != language_id.UNKNOWN) | (F.col(score) > 0)  # a corpus can have a language of that name
+    return out.filter(known).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

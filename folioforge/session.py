@@ -10,10 +10,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of rows in an Arrow batch, where the session leaves it at Spark's 64 MB: a worker holds some batches at a time.
+BATCH_BYTES, SPARKS_OWN = "8m", "67108864b"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once for each application."""
+    """Send the package to the executors, once for each application, and bound the batches that Python workers get."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, SPARKS_OWN, "64MB"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
