@@ -248,6 +248,30 @@ def test_exact_dedup(spark, docs, none):
     assert kept.columns == docs.columns and kept.count() == len(groups)
 
 
+def test_kept_rows_of_a_table_of_files(spark, docs):
+    path = fresh_path(spark, "docs")
+    docs.write.parquet(path)
+    rows = DigestIndex(spark).kept(spark.read.parquet(path), fixed=True).collect()
+    assert len(rows) == DigestIndex(spark).kept(docs).count() == len({re.sub(r"[\x20\x09-\x0D]", "", r["text"] or "") for r in rows})
+
+
+def test_digest_index_is_opened_again(spark):
+    """Three batches, the index closed and opened by its path between them, and compacted; with the least and the largest identifier."""
+    least, largest = -(1 << 63), (1 << 63) - 1
+    first = DigestIndex(spark, buckets=3)
+    batch = spark.createDataFrame([(largest, "a"), (least, "a"), (5, "b"), (None, "c")], "doc_id long, text string")
+    assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in first.add(batch).collect()} == {(largest, least, False), (least, least, True), (5, 5, True), (None, None, True)}
+    first.drop()
+    again = DigestIndex(spark.newSession(), path=first.path, buckets=3)
+    batch = spark.createDataFrame([(1, "a "), (2, "d"), (3, "c")], "doc_id long, text string")
+    assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in again.add(batch).collect()} == {(1, least, False), (2, 2, True), (3, None, False)}
+    small = again.compact(fresh_path(spark, "index"))
+    again.drop()
+    assert sorted(r["digest"] for r in small.table().collect()) == sorted(sha(x) for x in "abcd") and len(small.table().inputFiles()) <= 3
+    assert [r["kept"] for r in small.add(batch).collect()] == [False] * 3
+    small.drop()
+
+
 # -- 4 -----------------------------------------------------------------------------
 
 
