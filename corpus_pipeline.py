@@ -26,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are equal but for blanks."""
     ship(spark)
-    return DigestIndex(spark).kept(docs)
+    return DigestIndex(spark).kept(docs, fixed=True)  # each stage's documents are a table of files
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
