@@ -1,9 +1,11 @@
 """WARC archives through a chunked record table.
 
-A payload is never held whole: it travels as rows of record identifier and chunk
-number, which the writer streams into a record and the reader makes again from an
-archive.  Chunk rows carry the running CRC-32 and length of their record; the last
-also carries the SHA-256 of the whole payload, kept up chunk by chunk.
+A payload travels as rows of record identifier and chunk number, which the writer
+streams into a record and the reader makes again from an archive; no Python worker
+holds it whole.  A record's header states the payload's SHA-256 before the payload,
+so that one is taken from the input row.  Writer and reader both keep up a digest of
+their own chunk by chunk, and a payload that does not match its header raises.
+The reader's chunk rows carry the running CRC-32 and length, the last the SHA-256.
 """
 
 from __future__ import annotations
@@ -83,10 +85,12 @@ def write(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -
     """Write records as gzip members of WARC files in ``folder``: ``archive, n_records, n_bytes`` for each file.
 
     The list is kept in the shared folder, so that reading it does not write again.
+    Chunks that do not add up to what their row states raise.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, done, count, z = ShardWriter(folder, ".warc.gz", archive_bytes), [], 0, None
+        sha, size = hashlib.sha256(), 0
         for b in batches:
             for r in b.to_pylist():
                 if z is None:
@@ -95,10 +99,15 @@ def write(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -
                         count = 0
                     out.room()
                     z = zlib.compressobj(3, zlib.DEFLATED, 31)
+                    sha, size = hashlib.sha256(), 0
                     stored = r["n_bytes"] if r["refers_to"] is None else 0
                     out.write(z.compress(head(str(r["id"]), r["n_bytes"], stored, r["digest"], None if r["refers_to"] is None else str(r["refers_to"]))))
                 out.write(z.compress(r["data"]))
+                sha.update(r["data"])
+                size += len(r["data"])
                 if r["last"]:
+                    if r["refers_to"] is None and (size, sha.hexdigest()) != (r["n_bytes"], r["digest"]):
+                        raise ValueError(f"the chunks of record {r['id']} are not its payload")
                     out.write(z.compress(b"\r\n\r\n") + z.flush())
                     z, count = None, count + 1
         if out.stream is not None:
@@ -222,7 +231,8 @@ def read(archives: DataFrame, folder: str, *, payload: bool = True, chunk: int =
                             held = 0
         yield flush()
 
-    spread = archives.select("archive").repartition("archive")
+    # one task for each archive; a number that is given is not coalesced, small as the list is
+    spread = archives.select("archive").repartition(max(1, archives.count()))
     return spread.mapInArrow(ending(run), CHUNK_ROWS + ", data binary" * payload)
 
 
