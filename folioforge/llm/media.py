@@ -1,9 +1,11 @@
 """Media columns: payloads by content address in tar shards.
 
 A task writes its payloads as grey PNG images into tar shards in the shared
-folder, each distinct one once, and returns rows of digest, shard, offset and
-length.  Metadata columns are filled by range reads of the images' headers alone;
-samples are read only where features are asked for.
+folder, and returns rows of digest, shard, offset and length.  Of the copies that
+several tasks have written one place is chosen for each digest, so that equal
+payloads have one address.  Metadata columns are filled by range reads of the
+headers of the images alone; samples are read only where features are asked for,
+once for each image.
 """
 
 from __future__ import annotations
@@ -18,9 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from folioforge.llm.batches import as_list, ending, only, pieces
+from folioforge.llm.digest_index import join_by_digest
 from folioforge.llm.shards import ShardWriter, normal, open_fs
 from folioforge.llm.storage import fresh_path, staged
 
@@ -32,6 +36,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEAD = 33
 #: Bytes of the tail that has a checksum of its own.
 TAIL = 32
+#: Digests that a writing task remembers.
+REMEMBERED = 200_000
 
 
 def _part(kind: bytes, data: bytes) -> bytes:
@@ -83,9 +89,10 @@ def store(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str
     """Store each text's payload and return ``id, n_bytes, media_sha256, shard, offset, media_bytes``.
 
     A null text is empty; the payload of an empty text is one row of padding.
-    Equal payloads that a task meets are stored once; another task may store
-    them again in its own shard, under the same name.  The rows are kept in the
-    shared folder, so that reading them does not write again.
+    Equal payloads that a task meets are stored once, as far as it remembers:
+    ``REMEMBERED`` of them.  Another task may store them again in its own shard,
+    under the same name; see :func:`places`.  The rows are kept in the shared
+    folder, so that reading them does not write again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,6 +108,8 @@ def store(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str
                         if out.stream is not None and out.at >= out.limit:
                             out.close(b"\0" * 1024)
                         out.room()
+                        if len(place) >= REMEMBERED:
+                            place.clear()
                         place[key] = (digest, out.name, out.at + tarfile.BLOCKSIZE, len(media))
                         out.write(tar_entry(f"{digest[:2]}/{digest}.png", media))
                     rows.append((len(data), *place[key]))
@@ -113,6 +122,17 @@ def store(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str
     return staged(given.mapInArrow(ending(run), f"id {kind}, n_bytes long, media_sha256 string, shard string, offset long, media_bytes long"), "media")
 
 
+def places(media: DataFrame) -> DataFrame:
+    """One place of each image of :func:`store`, the first by shard and offset: ``media_sha256, shard, offset, media_bytes, copies``.
+
+    Rows are dealt out in the order of the shards, so that a task reads few of them from front to back.
+    """
+    first = F.min(F.struct("shard", "offset", "media_bytes")).alias("at")
+    chosen = media.groupBy("media_sha256").agg(first, F.count("*").alias("copies")).select("media_sha256", "at.*", "copies")
+    parts = max(int(media.sparkSession.conf.get("spark.sql.shuffle.partitions")), media.select("shard").distinct().count())
+    return chosen.repartitionByRange(parts, "shard", "offset").sortWithinPartitions("shard", "offset")
+
+
 class _Ranges:
     """Range reads of shards, one open at a time."""
 
@@ -128,8 +148,8 @@ class _Ranges:
         return self.file.read_at(length, offset)
 
 
-def metadata(media: DataFrame, folder: str) -> DataFrame:
-    """The rows of :func:`store` with ``width, height, bits`` from range reads of the headers alone."""
+def metadata(images: DataFrame, folder: str) -> DataFrame:
+    """``images``, rows with ``shard`` and ``offset``, with ``width, height, bits`` from range reads of the headers alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = _Ranges(folder)
@@ -137,15 +157,14 @@ def metadata(media: DataFrame, folder: str) -> DataFrame:
             sizes = [png_size(ranges.read(s, o, HEAD)) for s, o in zip(b.column("shard").to_pylist(), b.column("offset").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([x[k] for x in sizes], pa.int32()) for k in range(3))], [*b.schema.names, "width", "height", "bits"])
 
-    spec = StructType([*media.schema.fields, *(StructField(c, IntegerType()) for c in ("width", "height", "bits"))])
-    return media.mapInArrow(ending(run), spec)
+    spec = StructType([*images.schema.fields, *(StructField(c, IntegerType()) for c in ("width", "height", "bits"))])
+    return images.mapInArrow(ending(run), spec)
 
 
-def features(media: DataFrame, folder: str, *, id_col: str = "doc_id") -> DataFrame:
-    """Read every stored image back: ``n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature``.
+def features(images: DataFrame, folder: str) -> DataFrame:
+    """``images``, rows with ``media_sha256, shard, offset, media_bytes``, read back whole: ``payload_bytes, payload_sha256, tail_crc32, feature`` are added.
 
-    Bytes that do not have their digest raise.  A task keeps what it has computed
-    of the images that it met, so copies are read once.
+    Bytes that do not have their digest raise.
     """
 
     def one(data: bytes, digest: str) -> tuple:
@@ -161,23 +180,27 @@ def features(media: DataFrame, folder: str, *, id_col: str = "doc_id") -> DataFr
         return len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-TAIL:]), feature
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranges, known = _Ranges(folder), {}
+        ranges, kinds = _Ranges(folder), (pa.int64(), pa.string(), pa.int64(), pa.string())
         for b in batches:
-            rows = []
-            for digest, shard, offset, length in zip(*(b.column(c).to_pylist() for c in ("media_sha256", "shard", "offset", "media_bytes")), strict=True):
-                if digest not in known:
-                    if len(known) > 200_000:
-                        known.clear()
-                    known[digest] = one(ranges.read(shard, offset, length), digest)
-                rows.append(known[digest])
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string())
-            size, sha, crc, feature = (pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), size, sha, crc, b.column("media_bytes"), b.column("media_sha256"), feature], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    kind = media.schema["id"].dataType.simpleString()
-    return media.mapInArrow(ending(run), f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)
-
-
-def store_and_read(docs: DataFrame) -> DataFrame:
+            rows = [one(ranges.read(s, o, n), d) for d, s, o, n in zip(*(b.column(c).to_pylist() for c in ("media_sha256", "shard", "offset", "media_bytes")), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], [*b.schema.names, *(f.name for f in added)])
+
+    added = [StructField("payload_bytes", LongType()), StructField("payload_sha256", StringType()), StructField("tail_crc32", LongType()), StructField("feature", StringType())]
+    return images.mapInArrow(ending(run), StructType([*images.schema.fields, *added]))
+
+
+def store_and_read(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Store each text's payload and fill its media columns from what was stored; one row per input row.
+
+    ``id_col, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
+    media_sha256, feature, shard, offset, width, height, bits``.  Equal texts have
+    equal values, place included.  Null texts are empty; null and repeated
+    identifiers pass through; no rows give none.
+    """
     folder = fresh_path(docs.sparkSession, "media-shards")
-    return features(store(docs, folder), folder)
+    media = store(docs, folder, id_col=id_col, text_col=text_col)
+    images = staged(features(metadata(places(media), folder), folder), "images")
+    rows = media.select("id", "n_bytes", "media_sha256")
+    out = join_by_digest(rows, images, rows.count(), key="media_sha256", size="copies")
+    columns = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "width", "height", "bits"]
+    return out.select(F.col("id").alias(id_col), *columns)

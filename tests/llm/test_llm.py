@@ -426,6 +426,19 @@ def test_warc(spark):
     assert warc.read(empty, folder).count() == 0
 
 
+def test_warc_writer_rejects_chunks_that_are_not_the_payload(spark):
+    records = warc.plan_records(spark.createDataFrame([(1, "x" * 300)], "page_id long, html string")).withColumn("digest", F.lit("0" * 64))
+    with pytest.raises(Exception, match="are not its payload"):
+        warc.write(records, fresh_path(spark, "warc-test"))
+
+
+def test_every_archive_is_read_by_a_task_of_its_own(spark):
+    pages = spark.range(40).select(F.col("id").alias("page_id"), F.repeat(F.col("id").cast("string"), 2000).alias("html")).repartition(5)
+    folder = fresh_path(spark, "warc-test")
+    archives = warc.write(warc.plan_records(pages), folder, archive_bytes=64)
+    assert archives.count() == 40 and warc.read(archives, folder).rdd.getNumPartitions() == 40
+
+
 def test_warc_rejects_damage():
     z = zlib.compressobj(3, zlib.DEFLATED, 31)
     raw = z.compress(warc.head("1", 9, 9, "d", None) + b"abc") + z.flush()
@@ -534,25 +547,45 @@ def test_patience_aligns_equal_lines_in_order():
 # -- 9 -----------------------------------------------------------------------------
 
 
+def feature_of(raw):
+    """Feature of the samples, counted one by one."""
+    n = Counter(raw)
+    entropy = -sum(k / len(raw) * math.log2(k / len(raw)) for k in n.values())
+    return f"gray8 576x{len(raw) // 576} mean={sum(raw) / len(raw):.4f} entropy={entropy:.4f} levels={len(n)}"
+
+
 def test_media(spark, docs, none):
-    folder = fresh_path(spark, "media-test")
-    kept = media.store(docs, folder)
-    out = media.features(kept, folder).collect()
+    out = media.store_and_read(docs).collect()
     want = Counter()
     for i, t in TEXTS:
         raw = (t or "").encode()
         p = raw + b"\xff" * ((-len(raw)) % 576 if raw else 576)
-        want[(i, len(raw), len(p), sha(p), zlib.crc32(p[-32:]))] += 1
-    assert want == Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in out)
-    assert len({(r["payload_sha256"], r["media_sha256"], r["feature"]) for r in out}) == len({r["payload_sha256"] for r in out})
-    sizes = media.metadata(kept, folder).collect()
-    assert all(r["width"] == 576 and r["bits"] == 8 and r["height"] == max(1, -(-r["n_bytes"] // 576)) for r in sizes)
-    for shard in {r["shard"] for r in sizes}:
-        with tarfile.open(f"{folder.removeprefix('file://')}/{shard}") as tar:
+        want[(i, len(raw), len(p), sha(p), zlib.crc32(p[-32:]), feature_of(p).split(" entropy")[0], 576, len(p) // 576, 8)] += 1
+        assert all(abs(float(r["feature"].split("entropy=")[1].split()[0]) - float(feature_of(p).split("entropy=")[1].split()[0])) < 1e-3 for r in out if r["payload_sha256"] == sha(p))
+    assert want == Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["feature"].split(" entropy")[0], r["width"], r["height"], r["bits"]) for r in out)
+    assert len({(r["payload_sha256"], r["media_sha256"], r["feature"], r["shard"], r["offset"]) for r in out}) == len({r["payload_sha256"] for r in out})
+    assert media.store_and_read(none).count() == 0
+
+
+def test_shards_are_tar_files_and_headers_suffice(spark, docs, monkeypatch):
+    monkeypatch.setattr(media, "REMEMBERED", 1)
+    folder = fresh_path(spark, "media-test")
+    kept = media.store(docs, folder, shard_bytes=4096)
+    images = media.places(kept)
+    assert images.count() == kept.select("media_sha256").distinct().count() < kept.count()
+    for shard in {r["shard"] for r in kept.collect()}:
+        name = f"{folder.removeprefix('file://')}/{shard}"
+        with tarfile.open(name) as tar:
+            for m in tar:
+                assert m.name.endswith(sha(tar.extractfile(m).read()) + ".png")
+        with tarfile.open(name) as tar, open(name, "r+b") as f:  # samples are no longer there
             for m in tar:
-                data = tar.extractfile(m).read()
-                assert m.name.endswith(sha(data) + ".png")
-    assert media.features(media.store(none, fresh_path(spark, "m")), folder).count() == 0
+                f.seek(m.offset_data + media.HEAD)
+                f.write(b"\0" * (m.size - media.HEAD))
+    heights = {r["media_sha256"]: r["height"] for r in media.metadata(images, folder).collect()}
+    assert all(heights[r["media_sha256"]] == max(1, -(-r["n_bytes"] // 576)) for r in kept.collect())
+    with pytest.raises(Exception, match="is damaged"):
+        media.features(images, folder).collect()
 
 
 # -- 10 ----------------------------------------------------------------------------
