@@ -75,3 +75,21 @@ def _known() -> dict[str, list[str]]:
 
 
 KNOWN = _known()
+
+#: SHA-256 of the canonical form of the full texts of long licences as they are published.
+DIGESTS = {
+    "Apache-2.0": "d96b1c6abc4537758bc436c48bafba5e878c63d6f2dee31d22bb444ce2bcc13f",
+    "Artistic-1.0-Perl": "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2",
+    "BSD-3-Clause-UC": "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2": "c9c9660bd794091bd4f05e9e53a24312b6ac1b9e0e18571c14588c5e29ab4b2f",
+    "GFDL-1.3": "2dfdaff6a571078e592e0c28da8cf641b0ce75bd314291ec95b35b26d445bd72",
+    "GPL-1.0": "811a6627a5c389cec5828641aec6eea2fb934b6acf48e2e1377f69801b3b7cbe",
+    "GPL-2.0": "72c5ef96382e86722a8b33770c8518a34a92d75717276f9f1a81c32b7eb5b657",
+    "GPL-3.0": "56dc60d7d7c9d7fa8a456d42ee686540c066cab049918ddd452cf975bc408107",
+    "LGPL-2.0": "e20c5b10587de6e8549ba95b302e496503756329ae6948a5ca0f971d5b0a4116",
+    "LGPL-2.1": "f65407c9581170bd7f1988d2c3ab345d902fca4ca5712b97e1b6d46e75d6cebc",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986",
+    "MPL-2.0": "ccb2452a3828a0c9f754214e184af2652be8efce4805cb9838cd64e558fcb9ef",
+}

@@ -13,9 +13,11 @@ import tarfile
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -602,6 +604,43 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(none).count() == 0 and licenses.scan(docs).count() == len(TEXTS)
 
 
+def plain_canonical(text):
+    t = regex.sub(licenses.COPYRIGHT_LINE, " ", text.lower())
+    for a, b in licenses.SPELLINGS:
+        t = t.replace(a, b)
+    return regex.sub(r"[^\p{L}\p{N}]+", " ", regex.sub(r"\ball rights reserved\b", " ", t)).strip(" ")
+
+
+def test_licenses_equal_plain_python(spark):
+    """Every text of the table, and licences of several paragraphs inside longer texts, by comparing canonical texts."""
+    parts = licenses.KNOWN["MIT"][0].split("\n")
+    more = ["A file.\n\n" + "\n\n".join(parts) + "\n\nint main()", "\n \n".join(parts), "\n\n\n".join(licenses.KNOWN["BSD-3-Clause"][0].split("\n")), "x\n\n" + "\n\n".join(parts[:-1]), "\n\n".join([*parts, *parts])]
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()] + more
+    known = {plain_canonical(t): k for k, v in sorted(licenses.KNOWN.items(), reverse=True) for t in v}
+    out = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    hits = 0
+    for i, t in enumerate(texts):
+        paragraphs = [p for p in regex.split(r"\n[ \t\r]*\n\s*", t) if p.strip(" ")]
+        runs = [" ".join(plain_canonical(p) for p in paragraphs[a : a + k]).strip() for k in range(1, licenses.PARAGRAPHS + 1) for a in range(len(paragraphs) - k + 1)]
+        found = [known[c] for c in [*map(plain_canonical, regex.split(r"\r?\n", t)), *runs] if c in known]
+        whole = known.get(plain_canonical(t))
+        assert (out[i]["licenses"], out[i]["whole_license"], out[i]["n_units"]) == (sorted({*found, *([whole] if whole else [])}), whole, len(found)), t[:200]
+        assert out[i]["canonical_sha256"] == sha(plain_canonical(t))
+        hits += bool(found)
+    assert hits > 5 and [out[len(texts) - len(more) + k]["licenses"] for k in range(5)] == [["MIT"], ["MIT"], ["BSD-3-Clause"], [], ["MIT"]]
+
+
+def test_full_texts_of_long_licenses(spark):
+    folder = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    if not all((folder / f).exists() for f in files.values()):
+        pytest.skip("no licence texts on this machine")
+    rows = [(k, (folder / f).read_text().upper().replace("\n", "\r\n  ")) for k, f in files.items()]
+    assert {r["doc_id"]: r["whole_license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()} == {k: k for k in files}
+    own = licenses.scan(spark.createDataFrame([(1, "My  own LICENCE")], "doc_id long, text string"), texts={"Mine": ["my own license"]}, digests={}).first()
+    assert own["whole_license"] == "Mine" and "Broadcast" in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string"))._jdf.queryExecution().toString()
+
+
 # -- queries and pipeline --------------------------------------------------------------
 
 
