@@ -132,7 +132,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     any fixed order; so of equal rows the first stays.  A null text is empty and
     has no lines.  Partners of a document: for each line of ``line_words`` words or
     more, and for each window of :func:`keys_of`, however common, the earliest
-    document that has it.
+    document that has it.  A block whose windows have earlier holders apart from
+    each other is compared with those, and not with a later document that holds it
+    together; the windows themselves go all the same.
     """
     given = only(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     lines = F.when(F.length("text") > 0, F.split("text", "\n")).otherwise(F.array().cast("array<string>"))
@@ -170,7 +172,20 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     gone = both.mapInArrow(ending(align), "row long, gone array<int>").filter(F.size("gone") > 0)
     gone = gone.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("removed"))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A byte for each line up to the last that goes, 1 if it goes: a line is looked up at its place, however many go."""
+        for b in batches:
+            marks = []
+            for r in b.column("removed"):
+                at = r.values.to_numpy()
+                mark = np.zeros(int(at[-1]) + 1, np.uint8)
+                mark[at] = 1
+                marks.append(mark.tobytes())
+            yield b.append_column("mark", pa.array(marks, pa.binary()))
+
+    gone = gone.mapInArrow(ending(marked), "row long, removed array<int>, mark binary")
     out = given.join(gone, "row", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
-    kept = F.filter(F.split("text", "\n"), lambda s, i: ~F.array_contains("removed", i))
-    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(F.split("text", "\n"), lambda s, i: F.substring("mark", i + 1, F.lit(1)) != F.lit(b"\x01"))
+    text = F.when(F.col("mark").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return out.select(F.col("id").alias(id_col), F.size("hashes").cast("long").alias("n_lines"), "removed", text.alias("text"))

@@ -521,6 +521,43 @@ def test_line_dedup_finds_blocks_of_a_later_pair(spark):
     assert out == {1: [], 2: [], 3: [], 4: [2, 3], 5: [], 6: list(range(8)), 7: [], 8: [0], 9: [1, 2, 3]}
 
 
+def test_line_dedup_against_all_pairs(spark):
+    """Families of overlapping documents: nothing goes that no pair aligns, and nearly all that some pair aligns goes."""
+    r, texts, ours, best = random.Random(12), [], 0, 0
+    for family in range(40):
+        lines = [prose(r.randint(1, 12), 5000 + 100 * family + k) for k in range(14)] + ["", "- - -"]
+        for _ in range(r.randint(2, 6)):
+            a = r.randint(0, 10)
+            text = lines[a : a + r.randint(2, 8)]
+            for _ in range(r.randint(0, 3)):
+                text.insert(r.randint(0, len(text)), r.choice([r.choice(lines), prose(6, r.random())]))
+            texts.append(text)
+    ids = [None, *r.sample(range(10_000), len(texts) - 1)]
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string").repartition(5)
+    out = {x["doc_id"]: x for x in line_dedup.dedup_lines(df).collect()}
+    order = sorted(zip(ids, texts, strict=True), key=lambda x: (x[0] is not None, x[0] or 0))
+    for n, (i, x) in enumerate(order):
+        every = set()
+        for _, y in order[:n]:
+            every.update(line_dedup.blocks(line_dedup.patience(x, y), [len(t.split()) for t in x], 10))
+        got = set(out[i]["removed"])
+        assert got <= every and out[i]["text"] == "\n".join(t for k, t in enumerate(x) if k not in got)
+        ours, best = ours + len(got), best + len(every)
+    assert best > 200 and ours >= 0.97 * best, (ours, best)
+
+
+def test_line_dedup_of_a_long_text(spark):
+    block = [prose(11, 7000 + k) for k in range(20)]
+    long = [x for k in range(4000) for x in (block[k % 20], f"own line {k}")]
+    df = spark.createDataFrame([(1, "\n".join(block)), (2, "\n".join(long)), (2, "\n".join(long))], "doc_id long, text string")
+    began = time.perf_counter()
+    rows = line_dedup.dedup_lines(df).collect()
+    assert time.perf_counter() - began < 60 and sorted(len(r["removed"]) for r in rows)[::2] == [0, 8000]
+    for r in rows:
+        gone = set(r["removed"])
+        assert r["text"] == "\n".join(x for k, x in enumerate(long if r["n_lines"] == 8000 else block) if k not in gone)
+
+
 def test_keys_cover_every_line_of_every_block():
     r = random.Random(4)
     for _ in range(100):
