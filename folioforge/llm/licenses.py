@@ -45,7 +45,8 @@ COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©)[^\n]*(?:(?:19|20)
 def canonical(text: Column) -> Column:
     """Canonical form; null is empty."""
     out = F.lower(F.coalesce(text, F.lit("")))
-    out = F.regexp_replace(out, COPYRIGHT_LINE, " ")
+    stated = reduce(lambda a, b: a | b, (F.contains(out, F.lit(w)) for w in ("copyright", "(c)", "©")))  # else no line can match
+    out = F.when(stated, F.regexp_replace(out, COPYRIGHT_LINE, " ")).otherwise(out)
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
     out = F.regexp_replace(out, r"\ball rights reserved\b", " ")
