@@ -30,6 +30,11 @@ def count_of(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
 
+def chars_of(c: Column, kind: str) -> Column:
+    """How many characters are of a class, which is written as one: what the text loses without them."""
+    return F.length(c) - F.length(F.regexp_replace(c, f"(?U){kind}+", ""))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -91,11 +96,11 @@ def is_noise(c: Column) -> Column:
         return (F.size(tokens) > 0) & (tiny / F.size(tokens) >= 0.5)
 
     def test(s: Column) -> Column:
-        signs = count_of(s, r"(?U)[^A-Za-z가-힣0-9\s.,;:!?()\-]")
+        signs = chars_of(s, r"[^A-Za-z가-힣0-9\s.,;:!?()\-]")
         return (
             (s == "")
             | s.rlike(r"(?U)[\|`~^_=]{2,}|[^\w\s가-힣A-Za-z.,;:!?()\-]{4,}")
-            | (count_of(s, "[A-Za-z가-힣0-9]") < 10)
+            | (chars_of(s, "[A-Za-z가-힣0-9]") < 10)
             | (signs / F.greatest(F.lit(1), F.length(s)) >= 0.2)
             | let(F.regexp_extract_all(s, F.lit("([A-Za-z가-힣0-9]+)"), F.lit(1)), scattered)
         )
@@ -107,7 +112,7 @@ def source_quality(c: Column) -> Column:
     """Share of plain characters, less a penalty for broken words; 0 to 1."""
 
     def score(s: Column) -> Column:
-        valid = count_of(s, r"(?U)[A-Za-z가-힣0-9\s.,;:!?()\-]")
+        valid = chars_of(s, r"[A-Za-z가-힣0-9\s.,;:!?()\-]")
         hits = count_of(s, r"\b[a-z]{1,2}\b|[A-Za-z]{8,}[0-9]{2,}|[0-9]{5,}")
         share = valid / F.greatest(F.lit(1), F.length(s)) - F.least(F.lit(0.5), hits / 40.0)
         return F.when(s == "", 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
@@ -156,7 +161,7 @@ def keyword_token(c: Column, rules: RulePack = NEUTRAL) -> Column:
     def test(t: Column) -> Column:
         low = F.lower(t)
         names = let(F.regexp_extract_all(low, F.lit("([a-z]+)"), F.lit(1)), lambda w: (F.size(w) > 0) & F.forall(w, lambda x: x.isin(*rules.company_words)))
-        bad = (count_of(t, "[A-Za-z]") < 3) | (F.size(F.split(t, " ")) > 6) | low.isin(*rules.low_value_words, *rules.company_words) | t.rlike(rules.keyword_noise) | names
+        bad = (chars_of(t, "[A-Za-z]") < 3) | (F.size(F.split(t, " ")) > 6) | low.isin(*rules.low_value_words, *rules.company_words) | t.rlike(rules.keyword_noise) | names
         return F.when(bad, "").otherwise(t)
 
     return let(sanitize(c), test)
@@ -165,7 +170,7 @@ def keyword_token(c: Column, rules: RulePack = NEUTRAL) -> Column:
 def keyword_useful(c: Column, rules: RulePack = NEUTRAL) -> Column:
     k = F.trim(F.coalesce(c, F.lit("")))
     low = F.lower(k)
-    plain = (count_of(k, "[A-Za-z]") >= 4) & ~low.rlike(rules.keyword_useful)
+    plain = (chars_of(k, "[A-Za-z]") >= 4) & ~low.rlike(rules.keyword_useful)
     return (k != "") & ~low.isin(*rules.company_words) & ~low.rlike(r"\b(?:" + "|".join(rules.low_value_words) + r")\b") & ~plain
 
 

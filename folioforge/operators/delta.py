@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.operators.survey import ranged
+
 COLUMNS = ["item_id", "folder", "name", "ext", "path", "size", "modified"]
 
 
@@ -15,28 +17,41 @@ def last_of(feed: DataFrame, key: str, *order: str) -> DataFrame:
     return best.select(key, *(F.col(f"r.{c}").alias(c) for c in rest)).select(*feed.columns)
 
 
+def settled(feed: DataFrame, key: str = "item_id", order: str = "seq") -> DataFrame:
+    """The feed with one row of each item, the last in its ``order``; a feed without that column has one row of each already.
+
+    Rows without an item stay as they are.
+    """
+    if order not in feed.columns:
+        return feed
+    return last_of(feed.filter(F.col(key).isNotNull()), key, order).unionByName(feed.filter(F.col(key).isNull()))
+
+
 def classify(old: DataFrame, feed: DataFrame) -> DataFrame:
-    """``item_id, change, folder`` of each feed row: added, deleted, modified or unchanged against ``old``.
+    """``item_id, change, folder`` of each item of the feed: added, deleted, modified or unchanged against ``old``.
 
-    A deletion counts if the item is known; modified means another time or name.
+    Of an item's rows the last counts.  A deletion counts if the item is known;
+    modified means another time or name, where null differs from everything else.
+    A row without ``op`` is an upsert, one without an item is added.
     """
     known = old.select("item_id", F.col("name").alias("old_name"), F.col("modified").alias("old_modified"), F.col("folder").alias("old_folder"), F.lit(True).alias("known"))
-    j = feed.join(known, "item_id", "left")
+    j = settled(feed).join(known, "item_id", "left")
+    delete = F.coalesce(F.col("op") == "delete", F.lit(False))
     change = (
-        F.when((F.col("op") == "delete") & F.col("known"), "deleted")
-        .when(F.col("op") == "delete", "ignored")
+        F.when(delete & F.col("known"), "deleted")
+        .when(delete, "ignored")
         .when(F.col("known").isNull(), "added")
-        .when((F.col("modified") != F.col("old_modified")) | (F.col("name") != F.col("old_name")), "modified")
+        .when(~F.col("modified").eqNullSafe(F.col("old_modified")) | ~F.col("name").eqNullSafe(F.col("old_name")), "modified")
         .otherwise("unchanged")
     )
     return j.select("item_id", change.alias("change"), F.coalesce("folder", "old_folder").alias("folder"))
 
 
 def apply(old: DataFrame, feed: DataFrame) -> DataFrame:
-    """The inventory after the feed: deleted rows out, the others' last state in."""
-    gone = feed.select("item_id").distinct()
-    fresh = feed.filter("op <> 'delete'").select(*COLUMNS)
-    return old.select(*COLUMNS).join(gone, "item_id", "left_anti").unionByName(fresh)
+    """The inventory after the feed: deleted rows out, the others' last state in; a row without ``op`` is an upsert."""
+    last = settled(feed)
+    fresh = last.filter(~F.coalesce(F.col("op") == "delete", F.lit(False))).select(*COLUMNS)
+    return old.select(*COLUMNS).join(last.select("item_id"), "item_id", "left_anti").unionByName(fresh)
 
 
 def by_folder(changes: DataFrame) -> DataFrame:
@@ -59,16 +74,13 @@ def probe(rows: DataFrame, cache: DataFrame, key: str = "cache_key", version: in
 
 
 def running(events: DataFrame, flags: dict[str, F.Column], order: str, parts: int | None = None) -> DataFrame:
-    """Running sums of the flags in the order of a unique column.
+    """Running sums of the flags in the order of a unique column; a null flag counts nothing.
 
-    Sums within range partitions, after the sums of those before: no task reads
-    the whole stream.
+    Columns with a flag's name are replaced.  Sums within range partitions, after
+    the sums of those before: no task reads the whole stream.
     """
-    parts = parts or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = events.repartitionByRange(parts, order).withColumns({"_part": F.spark_partition_id(), **{k: v.cast("long") for k, v in flags.items()}})
-    sums = dealt.groupBy("_part").agg(*(F.sum(k).alias(f"_s_{k}") for k in flags))
-    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("_part", *(F.coalesce(F.sum(f"_s_{k}").over(w), F.lit(0)).alias(f"_b_{k}") for k in flags))
-    own = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = dealt.join(F.broadcast(before), "_part")  # one row for each of `parts` partitions
-    return out.withColumns({k: F.sum(k).over(own) + F.col(f"_b_{k}") for k in flags}).drop("_part", *(f"_b_{k}" for k in flags))
+    rows = events.select(F.struct(*(c for c in events.columns if c not in flags)).alias("row"), F.col(order).alias("key"), *(F.coalesce(v.cast("long"), F.lit(0).cast("long")).alias(f"flag_{k}") for k, v in flags.items()))
+    dealt, before = ranged(rows, "key", parts=parts, sums={k: F.col(f"flag_{k}") for k in flags})
+    own = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    sums = dealt.select("row", "part", *(F.sum(f"flag_{k}").over(own).alias(f"own_{k}") for k in flags))
+    return sums.join(F.broadcast(before), "part").select("row.*", *((F.col(f"own_{k}") + F.col(f"before_{k}")).alias(k) for k in flags))  # `before` has one row for each partition

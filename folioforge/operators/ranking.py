@@ -40,7 +40,7 @@ def best_hangul_phrase(c: Column, target: int = 28, rules: RulePack = NEUTRAL) -
     """The core of the sentence with most Hangul near the target length; six syllables at least."""
     good = F.filter(T.sentences(c), lambda s: T.has_hangul(s) & ~T.is_boilerplate(s, rules) & ~T.is_noise(s))
     cores = F.transform(good, lambda s: F.trim(F.regexp_replace(s, r"(?U)[^가-힣A-Za-z0-9\s]", "")))
-    scored = F.transform(cores, lambda s, i: F.struct((T.count_of(s, "[가-힣]") + F.greatest(F.lit(0), F.lit(20) - F.abs(F.length(s) - target))).alias("n"), (-i).alias("i"), s.alias("s"), T.count_of(s, "[가-힣]").alias("k")))
+    scored = F.transform(cores, lambda s, i: F.struct((T.chars_of(s, "[가-힣]") + F.greatest(F.lit(0), F.lit(20) - F.abs(F.length(s) - target))).alias("n"), (-i).alias("i"), s.alias("s"), T.chars_of(s, "[가-힣]").alias("k")))
     return F.coalesce(F.array_max(F.filter(scored, lambda x: x["k"] >= 6))["s"], F.lit(""))
 
 
@@ -59,7 +59,7 @@ def excerpt(c: Column, limit: int = 8000) -> Column:
 
     def rank(x: Column) -> Column:
         s = x["s"]
-        return F.struct((-F.when(s.rlike(NEUTRAL.summary_words), 3).otherwise(0)).alias("a"), (-F.greatest(F.lit(0), F.lit(45) - F.abs(F.length(s) - 34))).alias("b"), (-T.count_of(s, "[A-Za-z가-힣0-9]")).alias("c"), x["i"].alias("i"), s.alias("s"))
+        return F.struct((-F.when(s.rlike(NEUTRAL.summary_words), 3).otherwise(0)).alias("a"), (-F.greatest(F.lit(0), F.lit(45) - F.abs(F.length(s) - 34))).alias("b"), (-T.chars_of(s, "[A-Za-z가-힣0-9]")).alias("c"), x["i"].alias("i"), s.alias("s"))
 
     def take(a: Column, x: Column) -> Column:
         n = F.length(x["s"]) + 1

@@ -40,7 +40,7 @@ def plan(rows: DataFrame, inventory: DataFrame, limit: int = 240) -> DataFrame:
 
 def chunks(rows: DataFrame, size: int = 20, order: str = "seq") -> DataFrame:
     """Batch number of each row, from 0."""
-    return with_seq(rows, order, name="_n").withColumn("chunk", F.floor((F.col("_n") - 1) / size)).drop("_n")
+    return with_seq(rows, order, name="chunk").withColumn("chunk", F.floor((F.col("chunk") - 1) / size))
 
 
 def outcome(log: DataFrame) -> DataFrame:
@@ -71,10 +71,10 @@ def merged_results(files: DataFrame, key: str = "item_id", *order: str) -> DataF
 
 
 def with_edits(rows: DataFrame, edits: DataFrame) -> DataFrame:
-    """Names that a person has given replace the suggested ones."""
-    given = edits.select("path", F.col("name").alias("_edit"))
-    j = rows.join(given, "path", "left")
-    return j.withColumns({"manually_edited": F.col("_edit").isNotNull(), "suggested": F.coalesce("_edit", "suggested")}).drop("_edit")
+    """Names that a person has given, one for a path, replace the suggested ones: ``manually_edited`` is added."""
+    j = rows.alias("r").join(edits.select("path", "name").alias("e"), F.col("r.path") == F.col("e.path"), "left")
+    kept = [F.col(f"r.{c}") for c in rows.columns if c not in ("manually_edited", "suggested")]
+    return j.select(*kept, F.col("e.path").isNotNull().alias("manually_edited"), F.coalesce("e.name", "r.suggested").alias("suggested"))
 
 
 def rollback_rows(log: DataFrame) -> DataFrame:
@@ -110,4 +110,5 @@ def affected_folders(log: DataFrame, ts: Column) -> DataFrame:
 def rollback_history(maps: DataFrame, runs: DataFrame) -> DataFrame:
     """Rollback files, newest first by ``mtime``, with how often and when last each was carried out."""
     done = runs.groupBy("file").agg(F.count("*").alias("times"), F.max("ts").alias("last"), F.sum("restored").alias("restored"))
-    return maps.join(done, "file", "left").withColumns({"times": F.coalesce("times", F.lit(0)), "restored": F.coalesce("restored", F.lit(0))})
+    told = maps.join(done, "file", "left").withColumns({"times": F.coalesce("times", F.lit(0)), "restored": F.coalesce("restored", F.lit(0))})
+    return told.orderBy(F.desc("mtime"), "file")

@@ -62,7 +62,9 @@ def rewrite_generic(rows: DataFrame, rules: RulePack = NEUTRAL, limit: int = 40)
     who = F.coalesce(F.nullif("case_name", F.lit("")), F.nullif("institution", F.lit("")))
     merged = F.concat_ws(" ", who, "summary")
     merged = F.when(F.length(merged) > limit, F.concat(F.rtrim(F.substring(merged, 1, limit - 1)), F.lit("."))).when(merged.endswith("."), merged).otherwise(F.concat(F.rtrim(merged, F.lit(" .!?,;:")), F.lit(".")))
-    return rows.withColumn("_often", often).withColumn("summary", F.when(F.col("_often") & who.isNotNull(), merged).otherwise(F.col("summary"))).drop("_often")
+    told = rows.select(F.struct(*rows.columns).alias("row"), "summary", "case_name", "institution", often.alias("often"))
+    told = told.withColumn("made", F.when(F.col("often") & who.isNotNull(), merged).otherwise(F.col("summary")))
+    return told.select(*(F.col("made").alias(c) if c == "summary" else F.col(f"row.{c}") for c in rows.columns))
 
 
 def badge(status: Column, needs_review: Column, conflict: Column, in_scope: Column) -> Column:

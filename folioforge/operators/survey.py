@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioforge.config import EXCLUDED, IMAGES, SECONDS_PER_FILE, SUPPORTED, SURVEY_SUPPORTED, USD_PER_FILE
 from folioforge.functions.paths import ancestors, natural_key
+from folioforge.sources.scratch import written
 
 
 def supported(name: str = "name", ext: str = "ext", allow: tuple[str, ...] = SUPPORTED, deny: tuple[str, ...] = EXCLUDED) -> F.Column:
@@ -15,18 +16,32 @@ def supported(name: str = "name", ext: str = "ext", allow: tuple[str, ...] = SUP
 
 
 def with_seq(files: DataFrame, *order: str, name: str = "seq", parts: int | None = None) -> DataFrame:
-    """Rows numbered from 1 in the order of the columns.
+    """Rows numbered from 1 in the order of the columns, nulls first; equal ones in any fixed order.
 
-    Rows are dealt to range partitions; a number is the rank in its partition
-    after the rows of those before, so that no task holds more than a share.
+    A column ``name`` that is there is replaced.  Rows are dealt to range
+    partitions; a number is the rank in its partition after the rows of those
+    before, so that no task holds more than a share.
     """
-    parts = parts or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = files.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    dealt = dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
-    size = dealt.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_low"))
-    before = size.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
-    out = dealt.join(F.broadcast(before.select("_part", "_low", "_before")), "_part")  # one row for each of `parts` partitions
-    return out.withColumn(name, F.col("_at") - F.col("_low") + 1 + F.coalesce("_before", F.lit(0))).drop("_part", "_at", "_low", "_before")
+    rows = files.select(F.struct(*(c for c in files.columns if c != name)).alias("row"), *(F.col(c).alias(f"key{k}") for k, c in enumerate(order)))
+    dealt, before = ranged(rows, *(f"key{k}" for k in range(len(order))), parts=parts, sums={"n": F.lit(1)})
+    return dealt.join(F.broadcast(before), "part").select("row.*", (F.col("at") + 1 + F.col("before_n")).alias(name))  # `before` has one row for each partition
+
+
+def ranged(rows: DataFrame, *order: str, sums: dict[str, F.Column], parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in range partitions by their order, and what comes before each partition.
+
+    The first has ``part``, the number of a row's partition, and ``at``, its place
+    there from 0; the second ``part`` and, for each of ``sums``, ``before_<name>``.
+    Bounds of ranges are sampled anew whenever a plan runs, so the partitions are
+    written once, and both results are read from there.
+    """
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    # a place has the partition's number above its 33 lowest bits
+    dealt = written(dealt, "ranged").withColumns({"part": F.shiftright("place", 33), "at": F.col("place").bitwiseAND(F.lit((1 << 33) - 1))}).drop("place")
+    total = dealt.groupBy("part").agg(*(F.coalesce(F.sum(v), F.lit(0)).alias(f"s_{k}") for k, v in sums.items()))
+    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return dealt, total.select("part", *(F.coalesce(F.sum(f"s_{k}").over(w), F.lit(0)).alias(f"before_{k}") for k in sums))
 
 
 def extension_breakdown(files: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def stream_upsert(spark, sf_dir) -> DataFrame:
     old, feed = A.snapshot_and_feed(spark, sf_dir)
     snapshot, source, mark = (scratch(spark, t) for t in ("snapshot", "feed", "feed-mark"))
     old.select(*COLUMNS).write.parquet(f"{snapshot}/v=0")
-    feed.withColumn("seq", F.col("item_id")).repartition(4, "item_id").write.parquet(source)
+    feed.repartition(4, "item_id").write.parquet(source)
     schema = spark.read.parquet(source).schema
     progress.upsert_stream(progress.file_stream(spark, source, schema, 2), snapshot, mark)
     versions = spark.read.parquet(snapshot)

@@ -160,7 +160,7 @@ def running_progress(spark, sf_dir):
 # -- scalars -----------------------------------------------------------------------
 
 
-@query(r"""SELECT doc_id, regexp_replace(trim(regexp_replace(regexp_replace(substr(text, 1, 60), '[\\/:*?"<>|]+', ' ', 'g'), '\s+', ' ', 'g')), '^[._]+|[._]+$', '', 'g') AS name FROM documents""")
+@query(r"""SELECT doc_id, regexp_replace(trim(regexp_replace(regexp_replace(text, '[\\/:*?"<>|]+', ' ', 'g'), '\s+', ' ', 'g')), '^[._]+|[._]+$', '', 'g') AS name FROM documents""")
 def sanitize_names(spark, sf_dir):
     return A.table(spark, sf_dir, "documents").select("doc_id", T.sanitize(F.col("text")).alias("name"))
 
@@ -179,14 +179,14 @@ def revision_note(spark, sf_dir):
     return A.files(spark, sf_dir).select(i, paths.revision_note(name).alias("revision"))
 
 
-@query(f"""{FILES}, p AS (SELECT item_id, string_split(name, '_') AS t, string_split(regexp_replace(name, '\\.[a-z]+$', ''), '_') AS s, split_part(folder, '/', 2) AS project FROM v_files WHERE NOT starts_with(name, '~$'))
+@query(f"""{FILES}, p AS (SELECT item_id, string_split(name, '_') AS t, string_split(regexp_replace(name, '\\.[a-z]+$', ''), '_') AS s, split_part(folder, '/', 2) AS project FROM v_files)
 SELECT item_id, 'ORG_' || project AS prefix, array_to_string(s, '_') AS tail FROM p""")
 def prefix_split(spark, sf_dir):
     f = A.files(spark, sf_dir)
     return f.select("item_id", paths.existing_prefix(F.col("name"), paths.case_name(F.col("path"))).alias("p")).select("item_id", "p.prefix", "p.tail")
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 8 WHEN 5 THEN strftime(o_orderdate, '%y%m') || '01' WHEN 6 THEN strftime(o_orderdate, '%y') || '0201' WHEN 7 THEN 'date_unknown' ELSE strftime(o_orderdate, '%y%m%d') END AS d, o_orderkey % 8 AS form FROM orders WHERE o_orderkey % 8 <> 6""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 8 WHEN 5 THEN strftime(o_orderdate, '%y%m') || '01' WHEN 6 THEN strftime(o_orderdate, '%y') || '0201' WHEN 7 THEN 'date_unknown' ELSE strftime(o_orderdate, '%y%m%d') END AS d, o_orderkey % 8 AS form FROM orders""")
 def date_infer(spark, sf_dir):
     s = A.date_strings(spark, sf_dir)
     return s.select("o_orderkey", dates.infer_date(F.col("s")).alias("d"), (F.col("o_orderkey") % 8).alias("form"))
@@ -222,7 +222,7 @@ def sentence_quality(spark, sf_dir):
 SELECT doc_id, round(ok / greatest(1, length(s)), 6) AS plain, hits::INT AS hits FROM n""")
 def text_quality(spark, sf_dir):
     s = T.collapse(F.col("text"))
-    return A.table(spark, sf_dir, "documents").select("doc_id", F.round(T.count_of(s, r"(?U)[A-Za-z가-힣0-9\s.,;:!?()\-]") / F.greatest(F.lit(1), F.length(s)), 6).alias("plain"), T.count_of(s, "[A-Za-z]{8,}[0-9]{2,}|[0-9]{5,}").alias("hits"))
+    return A.table(spark, sf_dir, "documents").select("doc_id", F.round(T.chars_of(s, r"[A-Za-z가-힣0-9\s.,;:!?()\-]") / F.greatest(F.lit(1), F.length(s)), 6).alias("plain"), T.count_of(s, "[A-Za-z]{8,}[0-9]{2,}|[0-9]{5,}").alias("hits"))
 
 
 @query()

@@ -47,20 +47,29 @@ def extractions(spark: SparkSession, sf_dir: str, excerpt_chars: int = 8000) ->
 
 
 def snapshot_and_feed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """An older inventory, and the feed of what has changed since: ``op`` is ``upsert`` or ``delete``."""
+    """An older inventory, and the feed of what has changed since: ``op`` is ``upsert`` or ``delete``.
+
+    Of an item's rows the one with the largest ``seq`` counts: some were deleted
+    and came back, others were changed before they were deleted.
+    """
     f, i = files(spark, sf_dir), F.col("item_id")
     old = f.filter(i % 10 != 0)
     changed = f.filter((i % 10 == 0) | (i % 17 == 3) | (i % 19 == 5) | (i % 23 == 7))
     op = F.when((i % 17 == 3) & (i % 10 != 0), "delete").otherwise("upsert")
     moved = F.when((i % 19 == 5) & (i % 10 != 0), "2025-01-01T00:00:00").otherwise(F.col("modified"))
-    return old, changed.select("item_id", op.alias("op"), "name", "folder", "ext", "path", "size", moved.alias("modified"))
+    last = changed.select("item_id", op.alias("op"), "name", "folder", "ext", "path", "size", moved.alias("modified"), (i * 2 + 1).alias("seq"))
+    again = last.filter((i % 23 == 7) | (F.col("op") == "delete"))
+    first = again.withColumns({"op": F.when(F.col("op") == "delete", "upsert").otherwise("delete"), "modified": F.lit("2026-01-01T00:00:00"), "seq": i * 2})
+    return old, last.unionByName(first)
 
 
 FEED_SQL = FILES_SQL + """,
 v_old AS (SELECT * FROM v_files WHERE item_id % 10 <> 0),
-v_feed AS (SELECT item_id, CASE WHEN item_id % 17 = 3 AND item_id % 10 <> 0 THEN 'delete' ELSE 'upsert' END AS op, name, folder, ext, path, size,
-                  CASE WHEN item_id % 19 = 5 AND item_id % 10 <> 0 THEN '2025-01-01T00:00:00' ELSE modified END AS modified
-           FROM v_files WHERE item_id % 10 = 0 OR item_id % 17 = 3 OR item_id % 19 = 5 OR item_id % 23 = 7)"""
+v_last AS (SELECT item_id, CASE WHEN item_id % 17 = 3 AND item_id % 10 <> 0 THEN 'delete' ELSE 'upsert' END AS op, name, folder, ext, path, size,
+                  CASE WHEN item_id % 19 = 5 AND item_id % 10 <> 0 THEN '2025-01-01T00:00:00' ELSE modified END AS modified, item_id * 2 + 1 AS seq
+           FROM v_files WHERE item_id % 10 = 0 OR item_id % 17 = 3 OR item_id % 19 = 5 OR item_id % 23 = 7),
+v_rows AS (SELECT * FROM v_last UNION ALL SELECT item_id, CASE op WHEN 'delete' THEN 'upsert' ELSE 'delete' END, name, folder, ext, path, size, '2026-01-01T00:00:00', item_id * 2 FROM v_last WHERE item_id % 23 = 7 OR op = 'delete'),
+v_feed AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY seq DESC) AS k FROM v_rows) WHERE k = 1)"""
 
 
 def date_strings(spark: SparkSession, sf_dir: str) -> DataFrame:

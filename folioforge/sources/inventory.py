@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +29,8 @@ def scan_folder(spark: SparkSession, root: str, settings: Settings | None = None
         F.col("length").alias("size"),
         F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss").alias("modified"),
     )
-    f = with_seq(f.withColumn("supported", supported(allow=s.supported, deny=s.excluded)), "full_path")
-    return f.filter(F.col("seq") <= limit) if limit else f
+    f = f.withColumn("supported", supported(allow=s.supported, deny=s.excluded))
+    return with_seq(f.orderBy("full_path").limit(limit) if limit else f, "full_path")
 
 
 def contents(spark: SparkSession, root: str) -> DataFrame:
@@ -72,9 +73,17 @@ def review_rows(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith((".xlsx", ".xlsm")):
         from folioforge.sources.extract import workbook_rows
 
-        raw = contents(spark, path).select(F.explode(F.udf(workbook_rows, "array<map<string,string>>")("content")).alias("r"))
-        keys = [r[0] for r in raw.select(F.explode(F.map_keys("r"))).distinct().collect()]
-        return raw.select(*(F.col("r")[k].alias(k) for k in sorted(keys)))
+        def rows(frames, heads_only: bool):
+            for frame in frames:
+                for content in frame["content"]:
+                    found = workbook_rows(content)
+                    yield pd.DataFrame({"r": found[:1] if heads_only else found})
+
+        books, kind = contents(spark, path).select("content"), "r map<string,string>"
+        # every row of a workbook has the columns of its header, so its first row names them
+        heads = books.mapInPandas(lambda frames: rows(frames, True), kind)
+        keys = [r[0] for r in heads.select(F.explode(F.map_keys("r"))).distinct().collect()]
+        return books.mapInPandas(lambda frames: rows(frames, False), kind).select(*(F.col("r")[k].alias(k) for k in sorted(keys)))
     if path.endswith(".csv"):
         return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     return spark.read.parquet(path)

@@ -1,4 +1,9 @@
-"""A shared folder for streams' checkpoints and versions."""
+"""The shared folder: the only place where operators and streams put intermediate data.
+
+The cluster names a folder that the driver and all executors see in
+``spark.checkpoint.dir``, or with ``setCheckpointDir``.  Only in a local session,
+as in tests, and only where neither is set, a temporary folder is made and set.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +12,32 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder of the session that driver and executors share; raises on a cluster that names none."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if path:
+        return path.rstrip("/")
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if own.isDefined():
+        return own.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
+    path = tempfile.mkdtemp(prefix="folioforge-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(f"file://{path}")
+    return f"file://{path}"
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path in ``spark.checkpoint.dir``; only where that is unset, in a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="folioforge-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has used yet."""
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: whatever reads it reads the same rows, and a lost executor costs a reread."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,9 +7,11 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from folioforge import config
 from folioforge.operators import delta, records, rename, review, survey
 from folioforge.plans import catalog
 from folioforge.plans.proposals import propose, resolve
+from folioforge.sources.scratch import scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -106,6 +108,55 @@ def test_seq_is_dense(spark):
     assert survey.with_seq(df.filter("k < 0"), "k").count() == 0
 
 
+def test_numbers_are_dense_where_ranges_are_sampled(spark):
+    """Two million wide rows, written with all their columns: no number is missing or comes twice."""
+    n = 2_000_000
+    path = scratch(spark, "seq-test")
+    df = spark.range(n).select(F.sha2(F.col("id").cast("string"), 256).alias("key"), F.col("id").alias("row"), F.lit(1).alias("part"))
+    survey.with_seq(df, "key", parts=8).write.parquet(f"{path}/seq")
+    delta.running(df, {"done": F.lit(1), "odd": F.col("row") % 2}, "key", parts=8).write.parquet(f"{path}/running")
+    seq, done = (spark.read.parquet(f"{path}/{x}") for x in ("seq", "running"))
+    assert seq.columns == ["key", "row", "part", "seq"] and done.columns == ["key", "row", "part", "done", "odd"]
+    assert seq.agg(F.countDistinct("seq"), F.min("seq"), F.max("seq"), F.countDistinct("row")).first() == (n, 1, n, n)
+    assert done.agg(F.countDistinct("done"), F.min("done"), F.max("done"), F.max("odd")).first() == (n, 1, n, n // 2)
+    assert seq.join(done, "key").filter("seq <> done").isEmpty()  # both follow the order of the key
+    low = seq.filter("seq <= 1000").agg(F.max("key")).first()[0]
+    assert df.filter(F.col("key") <= low).count() == 1000
+
+
+def test_numbers_with_nulls_and_ties(spark):
+    df = spark.createDataFrame([(None, 1), ("b", 2), ("a", 3), ("a", 4), (None, 5)], "k string, seq int")
+    rows = survey.with_seq(df, "k", parts=3).orderBy("seq").collect()
+    assert [r["seq"] for r in rows] == [1, 2, 3, 4, 5] and [r["k"] for r in rows] == [None, None, "a", "a", "b"]
+    flags = delta.running(spark.createDataFrame([(1, None), (2, True), (3, False), (4, True)], "i int, ok boolean"), {"ok": F.col("ok")}, "i")
+    assert [tuple(r) for r in flags.orderBy("i").collect()] == [(1, 0), (2, 1), (3, 1), (4, 2)]
+
+
+def test_the_last_row_of_a_feed_counts(spark):
+    old = spark.createDataFrame([(k, "f", f"n{k}", "", f"f/n{k}", k, "t0") for k in (1, 2, 3)], "item_id int, folder string, name string, ext string, path string, size int, modified string")
+    up = lambda k, name, seq: (k, "f", name, "", f"f/{name}", 1, "t1", "upsert", seq)
+    gone = lambda k, seq: (k, None, None, None, None, None, None, "delete", seq)
+    feed = spark.createDataFrame([up(2, "b", 1), up(2, "c", 2), up(1, "z", 3), gone(1, 4), gone(3, 5), up(3, "n3", 6), gone(9, 8), up(9, "q", 7), up(None, "x", 9), up(None, "y", 10)], "item_id int, folder string, name string, ext string, path string, size int, modified string, op string, seq int").repartition(3)
+    assert sorted((r["item_id"] or 0, r["name"]) for r in delta.apply(old, feed).collect()) == [(0, "x"), (0, "y"), (2, "c"), (3, "n3")]
+    assert sorted((r["item_id"] or 0, r["change"]) for r in delta.classify(old, feed).collect()) == [(0, "added"), (0, "added"), (1, "deleted"), (2, "modified"), (3, "modified"), (9, "ignored")]
+
+
+def test_edits_and_generic_summaries_keep_other_columns(spark):
+    rows = spark.createDataFrame([("a", "s1", "e"), ("b", "s2", "e")], "path string, suggested string, _edit string")
+    out = {r["path"]: r for r in rename.with_edits(rows, spark.createDataFrame([("b", "mine", 1)], "path string, name string, suggested int")).collect()}
+    assert (out["a"]["suggested"], out["a"]["manually_edited"], out["b"]["suggested"], out["b"]["manually_edited"], out["b"]["_edit"]) == ("s1", False, "mine", True, "e")
+    generic = config.NEUTRAL.generic_summaries[0]
+    rows = spark.createDataFrame([("p1", generic + ".", "Case", "", True), ("p2", generic.upper(), "", "Inst", True), ("p3", "own summary", "Case", "", False), ("p4", None, "Case", "", False)], "path string, summary string, case_name string, institution string, _often boolean")
+    out = {r["path"]: r for r in review.rewrite_generic(rows, limit=80).collect()}
+    assert out["p1"]["summary"] == f"Case {generic}." and out["p2"]["summary"] == f"Inst {generic.upper()}." and out["p3"]["summary"] == "own summary" and out["p4"]["summary"] is None and not out["p3"]["_often"]
+
+
+def test_rollback_history_is_newest_first(spark):
+    maps = spark.createDataFrame([("a", 1), ("b", 3), ("c", 2)], "file string, mtime int")
+    runs = spark.createDataFrame([("a", 5, 2), ("a", 7, 1)], "file string, ts int, restored int")
+    assert [(r["file"], r["times"], r["last"], r["restored"]) for r in rename.rollback_history(maps, runs).collect()] == [("b", 0, None, 0), ("c", 0, None, 0), ("a", 2, 7, 3)]
+
+
 def test_image_fits(spark):
     df = spark.createDataFrame([(2000, 3000), (400, 600)], "w int, h int")
     fit = lambda n: [(r[0]["width"], r[0]["height"]) for r in df.select(records.fitted(F.col("w"), F.col("h"), n)).collect()]
