@@ -113,7 +113,7 @@ def source_quality(c: Column) -> Column:
 
     def score(s: Column) -> Column:
         valid = chars_of(s, r"[A-Za-z가-힣0-9\s.,;:!?()\-]")
-        hits = count_of(s, r"\b[a-z]{1,2}\b|[A-Za-z]{8,}[0-9]{2,}|[0-9]{5,}")
+        hits = count_of(s, r"(?U)\b[a-z]{1,2}\b|[A-Za-z]{8,}[0-9]{2,}|[0-9]{5,}")
         share = valid / F.greatest(F.lit(1), F.length(s)) - F.least(F.lit(0.5), hits / 40.0)
         return F.when(s == "", 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
 
@@ -193,6 +193,12 @@ def is_vague(c: Column, rules: RulePack = NEUTRAL) -> Column:
     return (s == "") | s.isin(*rules.vague_titles)
 
 
+def is_doc_type_word(c: Column, rules: RulePack = NEUTRAL) -> Column:
+    """The text is a document type and nothing else, but for blanks and case; null is empty."""
+    squeezed = F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", ""))
+    return squeezed.isin(*("".join(w.split()).lower() for w in rules.doc_types))
+
+
 def first_contained(words: Iterable[str], c: Column) -> Column:
     """The first of ``words`` that the text holds in any case; empty if none."""
     low = F.lower(F.coalesce(c, F.lit("")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +75,18 @@ def probe(rows: DataFrame, cache: DataFrame, key: str = "cache_key", version: in
     return rows.join(known, key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
+def with_fresh(rows: DataFrame, cache: DataFrame, analyse: Callable[[DataFrame], DataFrame], key: str = "cache_key", version: int = 11) -> DataFrame:
+    """Results of all ``rows``: those of the cache for hits, and of ``analyse`` for the others, which it alone gets; ``hit`` is added.
+
+    The cache has one row of a key and version.  Columns are those of ``analyse``'s result.
+    """
+    probed = probe(rows, cache, key, version)
+    fresh = analyse(probed.filter(~F.col("hit")).drop("hit"))
+    told = cache.filter(F.col("schema_version") == version)
+    known = rows.select(*(c for c in rows.columns if c == key or c not in told.columns)).join(told.drop("schema_version"), key)
+    return known.select(*fresh.columns, F.lit(True).alias("hit")).unionByName(fresh.withColumn("hit", F.lit(False)))
+
+
 def running(events: DataFrame, flags: dict[str, F.Column], order: str, parts: int | None = None) -> DataFrame:
     """Running sums of the flags in the order of a unique column; a null flag counts nothing.
 

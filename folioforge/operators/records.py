@@ -60,6 +60,33 @@ def best_pass(passes: DataFrame) -> DataFrame:
     return passes.groupBy("item_id", "page").agg(F.max_by(F.struct("psm", "text", "confidence"), F.struct(F.length("text"), "confidence", (-F.col("pass_no")))).alias("b")).select("item_id", "page", "b.*")
 
 
+def choose_pass(passes: DataFrame, least: int = 80, crop_below: float = 60.0, crop_margin: float = 0.10) -> DataFrame:
+    """The recognition pass that counts for each page: ``item_id, page, psm, cropped, text, confidence``.
+
+    Passes have ``psm`` (6 or 11), ``cropped``, ``text``, ``confidence`` and the
+    page's ``margin_ratio``.  In order: an uncropped text of ``least`` characters,
+    psm 6 first; else the longer uncropped one (psm 6 of equal ones), unless its
+    confidence is below ``crop_below`` and the margin is wide enough.  Then a
+    cropped text of psm 6 that is long enough, else the longest and surest of it,
+    both cropped ones included.
+    """
+    n = F.length(F.coalesce("text", F.lit("")))
+    best = lambda test, *by: F.max_by(F.struct("psm", "cropped", "text", "confidence"), F.when(test, F.struct(*by)))
+    first, whole = -F.col("psm"), ~F.col("cropped")
+    g = passes.groupBy("item_id", "page").agg(
+        best(whole & (n >= least), first).alias("enough"),
+        best(whole, n, first).alias("longest"),
+        best(F.col("cropped") & (F.col("psm") == 6) & (n >= least), first).alias("crop_enough"),
+        best(F.col("cropped"), n, F.col("confidence"), first).alias("crop_longest"),
+        F.max("margin_ratio").alias("margin"),
+    )
+    size = lambda c: F.length(F.coalesce(F.col(f"{c}.text"), F.lit("")))
+    retried = (F.col("longest.confidence") < crop_below) & (F.col("margin") >= crop_margin) & F.col("crop_longest").isNotNull()
+    surer = F.struct(size("crop_longest"), F.col("crop_longest.confidence")) > F.struct(size("longest"), F.col("longest.confidence"))
+    chosen = F.when(F.col("enough").isNotNull(), F.col("enough")).when(~F.coalesce(retried, F.lit(False)), F.col("longest")).when(F.col("crop_enough").isNotNull(), F.col("crop_enough")).when(surer, F.col("crop_longest")).otherwise(F.col("longest"))
+    return g.withColumn("c", chosen).select("item_id", "page", "c.*")
+
+
 def fitted(width: Column, height: Column, limit: int) -> Column:
     """Struct of width and height with the longer side within ``limit``; 0 is no limit."""
     side = F.greatest(width, height)

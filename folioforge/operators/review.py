@@ -78,6 +78,27 @@ def tab(rows: DataFrame, which: str) -> DataFrame:
     return rows.filter(tests[which])
 
 
+def approval_counts(rows: DataFrame) -> DataFrame:
+    """Five counts of a review table in one row: other names, out of scope, collisions, need a person, approved.
+
+    ``needs_review`` can be a flag or what a person typed, TRUE or Y in any case;
+    a name counts as another if exactly one of the two is null, too.
+    """
+    person = F.upper(F.trim(F.col("needs_review").cast("string"))).isin("TRUE", "Y")
+    return rows.agg(
+        F.count_if(~F.col("name").eqNullSafe(F.col("suggested"))).alias("different_names"),
+        F.count_if(F.col("status") == "out_of_scope").alias("out_of_scope"),
+        F.count_if(F.col("status") == "duplicate_conflict").alias("conflicts"),
+        F.count_if(person).alias("needs_manual"),
+        F.count_if(F.col("approval") == "Y").alias("approved"),
+    )
+
+
+def manual_sample(rows: DataFrame, n: int = 10, order: str = "seq") -> DataFrame:
+    """The first ``n`` rows that need a person, in order: a top-k."""
+    return rows.filter(F.coalesce(F.col("needs_review"), F.lit(False))).orderBy(order).limit(n)
+
+
 def tab_counts(rows: DataFrame) -> DataFrame:
     auto = ~F.col("needs_review") & ~F.col("conflict") & (F.col("status") != "analysis_error") & F.col("in_scope")
     return rows.agg(F.count_if(auto).alias("auto"), F.count_if(F.col("needs_review") & ~F.col("conflict")).alias("review"), F.count_if("conflict").alias("conflict"), F.count_if(F.col("status") == "analysis_error").alias("error"))

@@ -112,6 +112,24 @@ def pruned(selected: DataFrame, column: str = "path") -> DataFrame:
     return selected.join(inside, column, "left_anti")
 
 
+def selected_totals(files: DataFrame, selected: DataFrame, column: str = "path") -> DataFrame:
+    """Totals of all files in or below the selected folders, each counted once: one row.
+
+    Selections below others go first; a file then meets the one folder that is
+    left above it by an equi-join on its ancestors.  No selection gives zeros.
+    """
+    folders = pruned(selected, column).select(F.col(column).alias("a")).distinct()
+    direct = files.groupBy("folder").agg(F.count("*").alias("n"), F.sum("size").alias("s"), F.count_if(F.col("ext").isin(*SURVEY_SUPPORTED)).alias("k"))
+    inside = direct.withColumn("a", F.explode(ancestors(F.col("folder")))).join(folders, "a")
+    return inside.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in (("n", "total_files"), ("s", "total_size"), ("k", "supported")))).withColumn("unsupported", F.col("total_files") - F.col("supported"))
+
+
+def run_summary(rows: DataFrame) -> DataFrame:
+    """What a run has seen, in one row: files, supported ones, those that need a person, and hits of the cache; null flags count as false."""
+    yes = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False)))
+    return rows.agg(F.count("*").alias("total_files"), yes("supported").alias("supported_files"), yes("needs_review").alias("manual_review_count"), yes("hit").alias("cache_hits"))
+
+
 def selection_state(files: DataFrame, chosen: F.Column) -> DataFrame:
     """all, some or none of the files below each folder are chosen."""
     spread = files.groupBy("folder").agg(F.bool_and(chosen).alias("every"), F.bool_or(chosen).alias("any")).withColumn("node", F.explode(ancestors(F.col("folder"))))

@@ -11,7 +11,7 @@ from folioforge.config import IMAGES, SUPPORTED, SURVEY_SUPPORTED
 from folioforge.functions import dates, fmt, paths
 from folioforge.functions import text as T
 from folioforge.operators import delta, ranking, records, rename, review, survey
-from folioforge.plans import breadth
+from folioforge.plans import breadth, naming
 from folioforge.plans.proposals import proposals
 from folioforge.sources import adapters as A
 
@@ -225,12 +225,6 @@ def text_quality(spark, sf_dir):
     return A.table(spark, sf_dir, "documents").select("doc_id", F.round(T.chars_of(s, r"[A-Za-z가-힣0-9\s.,;:!?()\-]") / F.greatest(F.lit(1), F.length(s)), 6).alias("plain"), T.count_of(s, "[A-Za-z]{8,}[0-9]{2,}|[0-9]{5,}").alias("hits"))
 
 
-@query()
-def best_sentence(spark, sf_dir):
-    d = A.table(spark, sf_dir, "documents")
-    return d.select("doc_id", ranking.best_sentence(F.col("text")).alias("sentence"), F.round(T.source_quality(F.col("text")), 6).alias("quality"))
-
-
 @query()
 def excerpt_build(spark, sf_dir):
     return A.table(spark, sf_dir, "documents").select("doc_id", ranking.excerpt(F.col("text"), 1000).alias("excerpt"))
@@ -477,5 +471,5 @@ def change_feed_upsert_stream(spark, sf_dir):
     return breadth.stream_upsert(spark, sf_dir)
 
 
-for _f, _sql in breadth.QUERIES:
+for _f, _sql in breadth.QUERIES + naming.QUERIES:
     query(_sql)(_f)

@@ -36,12 +36,16 @@ def propose(rows: DataFrame, settings: Settings | None = None, enrich: Callable[
     """A proposal for each row of ``item_id, path, folder, name, ext, extraction_status, text_excerpt``.
 
     ``enrich`` may add the columns ``GIVEN`` (strings) and ``confidence`` from
-    any source; without it they are empty.  Optional columns ``ocr_used``,
+    any source; it gets the rows that have a text and a good status, and without
+    it they are empty.  Optional columns ``ocr_used``,
     ``ocr_mean_confidence`` and ``ocr_quality_low`` default to none.
     """
     settings = settings or Settings()
     r = settings.rules
-    c = enrich(rows) if enrich else rows
+    c = rows
+    if enrich:
+        due = F.coalesce(should_enrich(F.col("extraction_status"), F.col("text_excerpt")), F.lit(False))
+        c = enrich(rows.filter(due)).unionByName(rows.filter(~due), allowMissingColumns=True)
     empty = {k: F.lit("") for k in GIVEN if k not in c.columns}
     if "confidence" not in c.columns:
         empty["confidence"] = F.lit(None).cast("double")
