@@ -38,7 +38,7 @@ class RulePack:
     titles: tuple[tuple[str, str], ...] = (("Statement of Claim", "Claim"), ("Settlement Agreement", "Settlement"), ("Power of Attorney", "Proxy"), ("Legal Notice", "Notice"), ("Memo", "Memo"))
     vague_titles: tuple[str, ...] = ("document", "related", "file", "other")
     company_words: tuple[str, ...] = ("international", "corporation", "company", "limited", "llc", "ltd", "inc", "corp")
-    generic_summaries: tuple[str, ...] = ("preliminary land sale agreement terms", "preliminary sale agreement for land", "land sale contract between two parties")
+    generic_summaries: tuple[str, ...] = ("correspondence about the matter", "document sent for information", "notes of a meeting")
     #: Revision marks in order of preference.
     revisions: tuple[str, ...] = (r"(?i)(rev(?:ision)?\.?\s*\d+)", r"(?i)(ver(?:sion)?\.?\s*\d+|v\.?\s*\d+)", r"(?i)(?<![A-Za-z])(final|draft|rev(?:ision)?)(?![A-Za-z])")
     #: Sentences that say nothing.
@@ -50,14 +50,14 @@ class RulePack:
         r"(?i)without prior written consent",
         r"(?i)all rights reserved",
     )
-    summary_words: str = r"(?i)(agreement|contract|arbitration|claim|notice|opinion|invoice|memo)"
-    structure_words: str = r"(?i)\b(this|agreement|contract|claim|arbitration)\b"
-    low_value_summary: str = r"(?i)\b(this is for your information|with reference to the above|telephone number|tel\.?|fax|dear|best regards|sincerely|subject matter claim|with reference|for your information)\b"
-    low_value_words: tuple[str, ...] = ("however", "dear", "reference", "hereinafter", "thereof", "therein", "subject", "information", "update", "telephone", "number", "regards")
-    keyword_noise: str = r"(?i)^(page\s*\d+|dear\s+(mr|ms)\.?|however|comm|com|reference\s*no\.?|subject(\s+matter)?)$"
-    keyword_positive: str = r"(?i)(legal\s*notice|notice|attachment|arbitration|claim|contract|agreement|mou|term\s*sheet|sale|ownership|certificate|land\s*sale|passport|memo)"
-    keyword_useful: str = r"(agreement|contract|claim|notice|arbitration|opinion|certificate|payment|litigation|counsel|hearing|dissolution|indemnity|guarantee|standstill|attachment|consolidation)"
-    mail_words: str = r"(?i)(dear|best regards|sincerely|from:|to:|subject:)"
+    summary_words: str = r"(?i)(agreement|contract|report|decision|notice|invoice|claim)"
+    structure_words: str = r"(?i)\b(this|these|agreement|contract|report)\b"
+    low_value_summary: str = r"(?i)\b(please find|for your reference|kind regards|thank you|phone|fax)\b"
+    low_value_words: tuple[str, ...] = ("however", "therefore", "regarding", "attached", "please", "thanks", "hello")
+    keyword_noise: str = r"(?i)^(page\s*\d+|hello\s+\w+|attached|no\.?)$"
+    keyword_positive: str = r"(?i)(agreement|contract|report|decision|notice|invoice|claim|certificate|memo)"
+    keyword_useful: str = r"(agreement|contract|report|decision|notice|invoice|claim|certificate|payment)"
+    mail_words: str = r"(?i)(kind regards|please find|thank you|from:|to:|subject:)"
     yes: str = "Y"
     no: str = "N"
 
@@ -77,6 +77,14 @@ KOREAN = RulePack(
     revisions=(NEUTRAL.revisions[0], NEUTRAL.revisions[1], r"(최종본|최종)", r"(수정본\d*|수정\d*)", NEUTRAL.revisions[2]),
     boilerplate=(*NEUTRAL.boilerplate[:2], r"(?U)^(첨부|안녕하세요|감사합니다|수신|참조)\b", *NEUTRAL.boilerplate[2:]),
     summary_words=r"(?i)(agreement|contract|arbitration|claim|notice|opinion|invoice|memo|판결|중재|소송|계약|합의|의견|보고)",
+    generic_summaries=("preliminary land sale agreement terms", "preliminary sale agreement for land", "land sale contract between two parties"),
+    structure_words=r"(?i)\b(this|agreement|contract|claim|arbitration)\b",
+    low_value_summary=r"(?i)\b(this is for your information|with reference to the above|telephone number|tel\.?|fax|dear|best regards|sincerely|subject matter claim|with reference|for your information)\b",
+    low_value_words=("however", "dear", "reference", "hereinafter", "thereof", "therein", "subject", "information", "update", "telephone", "number", "regards"),
+    keyword_noise=r"(?i)^(page\s*\d+|dear\s+(mr|ms)\.?|however|comm|com|reference\s*no\.?|subject(\s+matter)?)$",
+    keyword_positive=r"(?i)(legal\s*notice|notice|attachment|arbitration|claim|contract|agreement|mou|term\s*sheet|sale|ownership|certificate|land\s*sale|passport|memo)",
+    keyword_useful=r"(agreement|contract|claim|notice|arbitration|opinion|certificate|payment|litigation|counsel|hearing|dissolution|indemnity|guarantee|standstill|attachment|consolidation)",
+    mail_words=r"(?i)(dear|best regards|sincerely|from:|to:|subject:)",
 )
 
 

@@ -72,6 +72,13 @@ def test_without_enricher_confidence_is_too_low(spark):
     assert r["needs_review"] and r["confidence"] == 0.72 and "confidence 72% < 78%" in r["reason"]
 
 
+def test_only_rows_with_a_text_are_enriched(spark):
+    rows = [(1, "c/a.pdf", "success", "Some text of a memo"), (2, "c/b.pdf", "success", "  "), (3, "c/c.pdf", "error:parse", "text"), (4, "c/d.pdf", None, None)]
+    df = spark.createDataFrame([(i, p, "c", p[2:], ".pdf", s, t) for i, p, s, t in rows], "item_id int, path string, folder string, name string, ext string, extraction_status string, text_excerpt string")
+    out = {r["item_id"]: r for r in propose(df, enrich=lambda d: d.withColumns({"document_title": F.lit("Given Title"), "confidence": F.lit(0.9)})).collect()}
+    assert [out[i]["document_title"] == "Given Title" for i in (1, 2, 3, 4)] == [True, False, False, False] and out[1]["confidence"] == 0.9 and out[2]["confidence"] == 0.72
+
+
 def test_collisions_number_every_member(spark):
     df = spark.createDataFrame([(1, "d", "A.pdf"), (2, "d", "a.pdf"), (3, "e", "a.pdf"), (4, "d", "b")], "seq int, folder string, suggested string")
     out = {r["seq"]: (r["conflict"], r["final_name"]) for r in review.number_collisions(df).collect()}

@@ -1,6 +1,7 @@
 """Scans, extraction and sinks on files made here."""
 
 import io
+import json
 import zipfile
 
 from folioforge.sources import extract, inventory, sinks
@@ -45,6 +46,18 @@ def test_scan_and_extract(spark, tmp_path):
     assert out == {"a.docx": "success", "b.eml": "success", "~$a.docx": "unsupported_inference", "x.xlsx": "skipped_out_of_scope", "bad.docx": "error:BadZipFile", "l.doc": "manual_review_required"}
 
 
+def test_workbook_logs_and_settings(spark, tmp_path):
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "r.xlsx").write_bytes(XLSX)
+    assert [r.asDict() for r in inventory.review_rows(spark, str(tmp_path / "w" / "r.xlsx")).collect()] == [{"n": "7", "name": "x"}]
+    log = spark.createDataFrame([(1, "a", "success"), (2, None, "target_exists")], "seq int, path string, status string")
+    sinks.rename_log(log, str(tmp_path / "log"))
+    sinks.rename_log(log.limit(1), str(tmp_path / "log"))
+    back = inventory.json_log(spark, str(tmp_path / "log" / "json"), "seq int, path string, status string")
+    assert sorted(r["seq"] for r in back.collect()) == [1, 1, 2] and spark.read.option("header", True).csv(str(tmp_path / "log" / "csv")).count() == 3
+    assert json.loads(sinks.summary_json(log.groupBy().count())) == {"count": 2}
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "k")], "item_id int, cache_key string")
     sinks.review_table(df, str(tmp_path / "r"))
