@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.operators.delta import COLUMNS
 from folioforge.sources import adapters as A
 from folioforge.sources.scratch import scratch
 from folioforge.streaming import progress
@@ -27,13 +26,11 @@ def stream_counters(spark, sf_dir) -> DataFrame:
 def stream_upsert(spark, sf_dir) -> DataFrame:
     old, feed = A.snapshot_and_feed(spark, sf_dir)
     snapshot, source, mark = (scratch(spark, t) for t in ("snapshot", "feed", "feed-mark"))
-    old.select(*COLUMNS).write.parquet(f"{snapshot}/v=0")
+    progress.start_snapshot(old, snapshot, 8)
     feed.repartition(4, "item_id").write.parquet(source)
     schema = spark.read.parquet(source).schema
-    progress.upsert_stream(progress.file_stream(spark, source, schema, 2), snapshot, mark)
-    versions = spark.read.parquet(snapshot)
-    last = versions.agg(F.max("v")).first()[0]
-    return spark.read.parquet(f"{snapshot}/v={last}").select(*COLUMNS)
+    progress.upsert_stream(progress.file_stream(spark, source, schema, 2), snapshot, mark, 8)
+    return progress.snapshot_rows(spark, snapshot)
 
 
 def breadth_star_join(spark, sf_dir) -> DataFrame:

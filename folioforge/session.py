@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -28,4 +29,5 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(path)
+    atexit.register(Path(path).unlink, missing_ok=True)
     _shipped.add(app)

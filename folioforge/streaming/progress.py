@@ -47,17 +47,55 @@ def newest_batch(spark, out: str) -> DataFrame:
     return t.join(F.broadcast(t.agg(F.max("batch").alias("batch"))), "batch").drop("batch")  # one row
 
 
-def upsert_stream(feed: DataFrame, snapshot: str, checkpoint: str) -> None:
-    """Keep an inventory in versions: each micro-batch reads the last version and writes the next.
+def _bucket(buckets: int) -> F.Column:
+    return F.pmod(F.xxhash64("item_id"), F.lit(buckets)).cast("int").alias("bucket")
 
-    A micro-batch that is run again writes its version again, so a restart
-    changes nothing.
+
+def start_snapshot(rows: DataFrame, path: str, buckets: int = 64) -> None:
+    """An inventory that :func:`upsert_stream` keeps up: dealt into buckets by item, each in versions of its own."""
+    rows.select(*COLUMNS, F.lit(True).alias("live"), _bucket(buckets), F.lit(0).alias("v")).write.partitionBy("bucket", "v").parquet(path)
+
+
+def _versions(spark, path: str) -> dict[int, list[int]]:
+    """Versions of each bucket, ascending, from the names of its folders."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = lambda at, key: [n for s in fs.listStatus(at) if (n := s.getPath().getName()).startswith(f"{key}=")]
+    return {int(b[7:]): sorted(int(v[2:]) for v in names(spark._jvm.org.apache.hadoop.fs.Path(root, b), "v")) for b in names(root, "bucket")}
+
+
+def snapshot_rows(spark, path: str, upto: int | None = None, only: list[int] | None = None) -> DataFrame:
+    """The inventory at its newest version, or that after ``upto`` micro-batches; of the buckets ``only`` if they are given."""
+    newest = {b: max(v for v in vs if upto is None or v <= upto) for b, vs in _versions(spark, path).items() if only is None or b in only}
+    kind = spark.read.parquet(path).schema
+    if not newest:
+        return spark.createDataFrame([], kind).select(*COLUMNS)
+    return spark.read.option("basePath", path).schema(kind).parquet(*(f"{path}/bucket={b}/v={v}" for b, v in sorted(newest.items()))).filter("live").select(*COLUMNS)
+
+
+def upsert_stream(feed: DataFrame, snapshot: str, checkpoint: str, buckets: int = 64) -> None:
+    """Keep an inventory of :func:`start_snapshot` up: each micro-batch writes the next version of the buckets that it touches.
+
+    Of an item's rows the one with the largest ``seq`` counts.  A micro-batch
+    that is run again reads what it read before and writes its versions again, so
+    a restart changes nothing; versions that no restart can need are deleted.  A
+    row that is not live marks a bucket of which nothing is left.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        now = batch.sparkSession.read.parquet(f"{snapshot}/v={number}").select(*COLUMNS)
-        latest = last_of(batch, "item_id", "seq")
+        spark = batch.sparkSession
+        latest = last_of(batch, "item_id", "seq").withColumn("bucket", _bucket(buckets)).persist()
+        touched = [r["bucket"] for r in latest.select("bucket").distinct().collect()]  # `buckets` at most
+        now = snapshot_rows(spark, snapshot, number, touched)
         kept = now.join(latest.select("item_id"), "item_id", "left_anti")
-        kept.unionByName(latest.filter("op <> 'delete'").select(*COLUMNS)).write.mode("overwrite").parquet(f"{snapshot}/v={number + 1}")
+        rows = kept.unionByName(latest.filter("op <> 'delete'").select(*COLUMNS)).select(*COLUMNS, F.lit(True).alias("live"), _bucket(buckets))
+        marks = latest.select("bucket").distinct().select(*(F.lit(None).cast(now.schema[c].dataType).alias(c) for c in COLUMNS), F.lit(False).alias("live"), "bucket")
+        out = rows.unionByName(marks).withColumn("v", F.lit(number + 1))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "v").parquet(snapshot)
+        latest.unpersist()
+        for b, vs in _versions(spark, snapshot).items():
+            for v in [v for v in vs if v <= number][:-1] if b in touched else []:
+                old = spark._jvm.org.apache.hadoop.fs.Path(f"{snapshot}/bucket={b}/v={v}")
+                old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     feed.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -12,6 +12,7 @@ from folioforge.operators import delta, records, rename, review, survey
 from folioforge.plans import catalog
 from folioforge.plans.proposals import propose, resolve
 from folioforge.sources.scratch import scratch
+from folioforge.streaming import progress
 
 SF = "/root/testdata/sf0.001"
 
@@ -164,6 +165,28 @@ def test_rollback_history_is_newest_first(spark):
     assert [(r["file"], r["times"], r["last"], r["restored"]) for r in rename.rollback_history(maps, runs).collect()] == [("b", 0, None, 0), ("c", 0, None, 0), ("a", 2, 7, 3)]
 
 
+def test_stream_rewrites_only_what_it_touches(spark):
+    """Micro-batches in order, one of them run again, against the batch operator; a bucket of which nothing is left."""
+    cols = "item_id int, folder string, name string, ext string, path string, size int, modified string"
+    old = spark.createDataFrame([(k, "f", f"n{k}", "", f"f/n{k}", k, "t0") for k in range(40)], cols)
+    snapshot, source, mark = (scratch(spark, t) for t in ("snapshot", "feed", "mark"))
+    progress.start_snapshot(old, snapshot, 16)
+    rows = [(k, "f", f"m{k}", "", f"f/m{k}", k, "t1", "delete" if k % 3 else "upsert", k) for k in (*range(0, 12), 45, 46)] + [(3, None, None, None, None, None, None, "delete", 100), (1, "f", "back", "", "f/back", 1, "t2", "upsert", 101)]
+    schema = f"{cols}, op string, seq int"
+    state = old
+    for n in range(0, len(rows), 4):
+        batch = spark.createDataFrame(rows[n : n + 4], schema).coalesce(1)
+        batch.write.mode("append").parquet(source)
+        state = spark.createDataFrame(delta.apply(state, batch).collect(), cols)
+        progress.upsert_stream(progress.file_stream(spark, source, batch.schema, 1), snapshot, mark, 16)
+        assert sorted(map(tuple, progress.snapshot_rows(spark, snapshot).collect())) == sorted(map(tuple, state.collect()))
+    assert {len(v) for v in progress._versions(spark, snapshot).values()} <= {1, 2}
+    everything = spark.createDataFrame([(k, None, None, None, None, None, None, "delete", 200) for k in range(50)], schema)
+    everything.coalesce(1).write.mode("append").parquet(source)
+    progress.upsert_stream(progress.file_stream(spark, source, everything.schema, 1), snapshot, mark, 16)
+    assert progress.snapshot_rows(spark, snapshot).isEmpty()
+
+
 def test_image_fits(spark):
     df = spark.createDataFrame([(2000, 3000), (400, 600)], "w int, h int")
     fit = lambda n: [(r[0]["width"], r[0]["height"]) for r in df.select(records.fitted(F.col("w"), F.col("h"), n)).collect()]
