@@ -303,8 +303,11 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     words is one shingle.  Copies are one class, however many; repeated rows are
     copies.  A null identifier is never a component's, but its text links others;
     if a component has no other identifier, its ``component_id`` is null.  No
-    documents give no rows.
+    documents give no rows.  ``star_rounds``, one at least, decides cost and never
+    the result.
     """
+    if star_rounds < 1:
+        raise ValueError("one star round at least")
     spark = docs.sparkSession
     given = only(docs, id=id_col, text=text_col)
     given = given.withColumn("mark", F.when(F.col("id").isNull(), F.md5("text")))

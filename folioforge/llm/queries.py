@@ -17,17 +17,20 @@ from folioforge.session import ship
 
 
 def vocabulary() -> str:
+    """Path of the public vocabulary that the queries encode with."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A whole table of the driver's."""
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     prototypes = language_id.fit(docs.filter(language_id.remainder() != 0))
     out = language_id.identify(docs.select("doc_id", "text"), prototypes)
@@ -35,23 +38,28 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document: base patterns, and credential values that are hard to guess."""
     return secrets.summary(secrets.scan(table(spark, sf_dir, "documents")))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decision on every document, against an index that begins empty."""
     out = DigestIndex(spark).add(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near copies of every document."""
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids, and of the text decoded from them."""
     return digests(encode(table(spark, sf_dir, "documents"), vocabulary(), decode=True))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record as read back from the archives."""
     pages = table(spark, sf_dir, "pages")
     archives, folder = warc.archive_pages(pages)
     kind = pages.schema["page_id"].dataType
@@ -66,19 +74,23 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 2048 tokens."""
     return pack(table(spark, sf_dir, "documents"), vocabulary(), 2048, 0)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that go from every document, and the digest of what stays."""
     out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media columns of every document's payload, filled from what was stored."""
     return media.store_and_read(table(spark, sf_dir, "documents"))
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licences that every document, or a part of it, is."""
     out = licenses.scan(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.concat_ws(",", "licenses").alias("licenses"), "whole_license", "n_units", "canonical_sha256")
 

@@ -1,38 +1,12 @@
-"""Shared scratch space: the only place where operators put intermediate data.
-
-The cluster names a folder that the driver and all executors see in
-``spark.checkpoint.dir``.  Only where that setting is empty (a local session in
-tests) a temporary folder is made and set.
-"""
+"""Intermediate tables in the shared folder, the only place where operators put them."""
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder of the session that driver and executors share."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get().rstrip("/")
-    path = tempfile.mkdtemp(prefix="folioforge-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(f"file://{path}")
-    return f"file://{path}"
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+from folioforge.sources.scratch import scratch as fresh_path
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
