@@ -56,6 +56,18 @@ def apply(old: DataFrame, feed: DataFrame) -> DataFrame:
     return old.select(*COLUMNS).join(last.select("item_id"), "item_id", "left_anti").unionByName(fresh)
 
 
+def compare(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``item_id, change, folder`` of every item of two whole inventories: what a feed would have said, for a reader whose place in it is lost.
+
+    Items have one row in each; modified means another time or name, null included.
+    """
+    a, b = (t.select("item_id", "folder", "name", "modified", F.lit(True).alias("here")).alias(x) for t, x in ((old, "a"), (new, "b")))
+    j = a.join(b, F.col("a.item_id") == F.col("b.item_id"), "full")
+    same = F.col("a.modified").eqNullSafe(F.col("b.modified")) & F.col("a.name").eqNullSafe(F.col("b.name"))
+    change = F.when(F.col("a.here").isNull(), "added").when(F.col("b.here").isNull(), "deleted").when(same, "unchanged").otherwise("modified")
+    return j.select(F.coalesce("a.item_id", "b.item_id").alias("item_id"), change.alias("change"), F.coalesce("b.folder", "a.folder").alias("folder"))
+
+
 def by_folder(changes: DataFrame) -> DataFrame:
     """Changes of each named folder, one column for each kind."""
     kinds = ["added", "deleted", "modified"]

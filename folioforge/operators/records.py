@@ -38,10 +38,11 @@ def tags(rows: DataFrame, column: str, id_col: str = "item_id", sep: str = r"\s*
     return rows.select(id_col, F.explode(F.filter(F.split(F.trim(F.coalesce(column, F.lit(""))), sep), lambda t: t != "")).alias("tag"))
 
 
-def merge_pages(pages: DataFrame, least: int = 40) -> DataFrame:
+def merge_pages(pages: DataFrame, least: int = 40, timed_out: Column | None = None) -> DataFrame:
     """Recognised pages as one text: ``item_id, text, pages, failed_pages, mean_confidence, status``.
 
     A page counts if it has ``least`` characters; its number stands above its text.
+    Where ``timed_out`` holds for a row of an item, what is there is only a part.
     """
     good = F.length(F.trim("text")) >= least
     marked = F.struct("page", F.concat(F.lit("===== PAGE "), (F.col("page") + 1).cast("string"), F.lit(" =====\n"), "text").alias("t"))
@@ -50,9 +51,10 @@ def merge_pages(pages: DataFrame, least: int = 40) -> DataFrame:
         F.count("*").alias("pages"),
         F.array_sort(F.collect_list(F.when(~good, F.col("page") + 1))).alias("failed_pages"),
         F.coalesce(F.bround(F.avg(F.when(good, F.col("confidence"))), 3), F.lit(0.0)).alias("mean_confidence"),
+        F.coalesce(F.bool_or(F.lit(False) if timed_out is None else timed_out), F.lit(False)).alias("late"),
     )
     text = F.array_join(F.transform("p", lambda x: x["t"]), "\n")
-    return g.select("item_id", text.alias("text"), "pages", "failed_pages", "mean_confidence", F.when(F.size("p") > 0, "success").otherwise("ocr_empty_text").alias("status"))
+    return g.select("item_id", text.alias("text"), "pages", "failed_pages", "mean_confidence", F.when((F.size("p") > 0) & F.col("late"), "timeout_partial").when(F.size("p") > 0, "success").otherwise("ocr_empty_text").alias("status"))
 
 
 def best_pass(passes: DataFrame) -> DataFrame:
@@ -120,6 +122,20 @@ def site_counts(rows: DataFrame, url: Column) -> DataFrame:
     return rows.select(site_of(url).alias("site")).filter("site <> ''").groupBy("site").count()
 
 
+def resolve_drives(items: DataFrame, known: DataFrame, shares: DataFrame, sites: DataFrame) -> DataFrame:
+    """``items`` with ``drive_id``: their own, else that of ``known`` (path), of ``shares`` (web_url), of ``sites`` (site), else null.
+
+    Each of the tables has one row of a key; keys are looked up by equi-joins.
+    """
+    from folioforge.functions.paths import site_of
+
+    own = F.col("drive_id") if "drive_id" in items.columns else F.lit(None).cast("string")
+    told = items.select(*(c for c in items.columns if c != "drive_id"), own.alias("drive0"), site_of(F.col("web_url")).alias("site_key"))
+    for n, (table, key, at) in enumerate(((known, "path", "path"), (shares, "web_url", "web_url"), (sites, "site", "site_key")), 1):
+        told = told.join(table.select(F.col(key).alias(f"key{n}"), F.col("drive_id").alias(f"drive{n}")), F.col(at) == F.col(f"key{n}"), "left")
+    return told.select(*(c for c in items.columns if c != "drive_id"), F.coalesce("drive0", "drive1", "drive2", "drive3").alias("drive_id"))
+
+
 def api_record(rows: DataFrame) -> DataFrame:
     """What a client sees of a proposal: the suggested name or else the original one, confidence to three places, empty strings for nulls."""
     text = [f.name for f in rows.schema.fields if f.dataType.simpleString() == "string" and f.name != "suggested"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions.paths import in_rollback_scope
 from folioforge.functions.text import valid_file_name
-from folioforge.operators.delta import last_of
+from folioforge.operators.delta import last_of, running
 from folioforge.operators.survey import with_seq
 
 
@@ -47,6 +47,12 @@ def outcome(log: DataFrame) -> DataFrame:
     return log.agg(F.count("*").alias("processed"), F.count_if(F.col("status") == "success").alias("success"))
 
 
+def rename_progress(log: DataFrame) -> DataFrame:
+    """``seq, processed, success, failed``: what a reader of the progress sees after each row of the log."""
+    ok = F.coalesce(F.col("status") == "success", F.lit(False))
+    return running(log.select("seq", "status"), {"processed": F.lit(1), "success": ok, "failed": ~ok}, "seq").drop("status")
+
+
 def last_attempts(attempts: DataFrame, limit: int = 3) -> DataFrame:
     """What became of each item of a remote batch: ``item_id, tries, status, ok``.
 

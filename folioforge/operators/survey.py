@@ -100,6 +100,12 @@ def tree_print(files: DataFrame, depth: int = 5) -> DataFrame:
     return t.withColumn("rank", F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("total_files"), "node")))
 
 
+def tree_overflow(files: DataFrame, depth: int = 5) -> DataFrame:
+    """For folders at ``depth`` what a print of the tree leaves out below them: ``node, children, files``."""
+    t = folder_rollup(files).withColumn("level", F.size(F.split("node", "/"))).filter(F.col("level") == depth + 1)
+    return t.groupBy(F.regexp_replace("node", "/[^/]*$", "").alias("node")).agg(F.count("*").alias("children"), F.sum("total_files").alias("files"))
+
+
 def page(rows: DataFrame, number: int, size: int, *order: str | F.Column) -> DataFrame:
     """Rows of the page with that number, from 0."""
     return rows.orderBy(*order).offset(number * size).limit(size)

@@ -360,3 +360,53 @@ def event_windows(spark, sf_dir):
 SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def event_sessions(spark, sf_dir):
     return progress.sessions(A.table(spark, sf_dir, "events")).select("user_id", F.col("session_window.start").alias("start"), "n")
+
+
+@query(f"""WITH {A.FEED_SQL}, n AS (SELECT * FROM v_old WHERE item_id NOT IN (SELECT item_id FROM v_feed) UNION ALL SELECT item_id, folder, name, ext, path, size, modified FROM v_feed WHERE op <> 'delete')
+SELECT coalesce(o.item_id, n.item_id) AS item_id, CASE WHEN o.item_id IS NULL THEN 'added' WHEN n.item_id IS NULL THEN 'deleted' WHEN o.modified = n.modified AND o.name = n.name THEN 'unchanged' ELSE 'modified' END AS change, coalesce(n.folder, o.folder) AS folder FROM v_old o FULL JOIN n ON o.item_id = n.item_id""")
+def resync_changes(spark, sf_dir):
+    old, feed = A.snapshot_and_feed(spark, sf_dir)
+    return delta.compare(old, delta.apply(old, feed))
+
+
+@query(f"""{FILES}, d AS (SELECT DISTINCT folder FROM v_files), k AS (SELECT split_part(folder, '/', 1) || '/' || split_part(folder, '/', 2) AS node, folder, count(*) AS n FROM v_files GROUP BY ALL) SELECT node, count(*) AS children, sum(n)::BIGINT AS files FROM k WHERE node IS NOT NULL GROUP BY node""")
+def tree_overflow(spark, sf_dir):
+    return survey.tree_overflow(A.files(spark, sf_dir), 2)
+
+
+@query("""SELECT event_id AS seq, (count(*) OVER w)::BIGINT AS processed, (sum((event_type = 'click')::INT) OVER w)::BIGINT AS success, (sum((event_type <> 'click')::INT) OVER w)::BIGINT AS failed FROM events WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
+def rename_progress(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events")
+    return rename.rename_progress(e.select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "click", "success").otherwise("target_exists").alias("status")))
+
+
+RUNS = """e AS (SELECT user_id AS run_id, event_id AS seq, CASE event_id % 40 WHEN 0 THEN 'reset' WHEN 1 THEN 'scanning' WHEN 2 THEN 'start' WHEN 3 THEN 'complete' WHEN 4 THEN 'cancelled' WHEN 5 THEN 'error' ELSE 'record' END AS type FROM events)"""
+STATE = """SELECT e.run_id, coalesce(arg_max(type, e.seq) FILTER (type <> 'record'), 'idle') AS status, count(*) FILTER (type = 'record') AS processed, max(e.seq) AS seq FROM e LEFT JOIN (SELECT run_id, max(seq) AS r FROM e WHERE type = 'reset' {limit} GROUP BY run_id) x USING (run_id) WHERE (x.r IS NULL OR e.seq >= x.r) {limit} GROUP BY e.run_id"""
+
+
+def _runs(spark, sf_dir) -> DataFrame:
+    kind = F.lit("record")
+    for n, name in enumerate(("reset", "scanning", "start", "complete", "cancelled", "error")):
+        kind = F.when(F.col("event_id") % 40 == n, name).otherwise(kind)
+    return A.table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), kind.alias("type"))
+
+
+@query(f"WITH {RUNS} {STATE.format(limit='')}")
+def run_states(spark, sf_dir):
+    return progress.run_state(_runs(spark, sf_dir))
+
+
+@query(f"WITH {RUNS}, s AS ({STATE.format(limit='AND seq <= 500')}) SELECT run_id, seq, 'sync' AS type, status, processed FROM s UNION ALL SELECT run_id, seq, type, NULL, NULL FROM e WHERE seq > 500")
+def sync_and_tail(spark, sf_dir):
+    return progress.sync_and_tail(_runs(spark, sf_dir), 500)
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'own' WHEN page_id % 5 = 1 THEN 'path' WHEN page_id % 5 = 2 THEN 'share' WHEN page_id % 3 = 0 THEN 'site:' || regexp_extract(url, '(https?://[^/]+(?:/sites/[^/?#]+)?)', 1) END AS drive_id FROM pages""")
+def drive_lookup(spark, sf_dir):
+    p, i = A.table(spark, sf_dir, "pages"), F.col("page_id")
+    # each item has a site of its own name, so that some sites are not known
+    items = p.select(i, F.concat(F.lit("p/"), i.cast("string")).alias("path"), F.concat(F.lit("https://h"), i.cast("string"), F.lit("/x")).alias("web_url"), "url", F.when(i % 5 == 0, "own").alias("drive_id"))
+    sites = items.filter("page_id % 3 = 0").select(paths.site_of(F.col("web_url")).alias("site"), F.concat(F.lit("site:"), paths.site_of(F.col("url"))).alias("drive_id"))
+    known = items.filter("page_id % 5 = 1").select("path", F.lit("path").alias("drive_id"))
+    shares = items.filter("page_id % 5 = 2").select("web_url", F.lit("share").alias("drive_id"))
+    return records.resolve_drives(items, known, shares, sites).select("page_id", "drive_id")

@@ -129,9 +129,25 @@ def eml_text(data: bytes) -> str:
     return "\n".join(["\n".join(head), *body, *([f"Attachments: {', '.join(files)}"] if files else [])]) if body or files else ""
 
 
+def hwpx_text(data: bytes) -> str:
+    """Paragraphs of all sections of a zipped word-processor file, in the order of the sections' numbers."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        sections = sorted((n for n in z.namelist() if re.fullmatch(r"Contents/section\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+        if not sections:
+            raise ValueError("no sections")
+        out = []
+        for name in sections:
+            for p in ET.fromstring(z.read(name)).iter():
+                if p.tag.rpartition("}")[2] == "p":
+                    out.append("".join(t.text or "" for t in p.iter() if t.tag.rpartition("}")[2] == "t"))
+    return "\n".join(x for x in out if x)
+
+
 READERS: dict[str, Callable[[bytes], str]] = {".docx": docx_text, ".pptx": pptx_text, ".xlsx": xlsx_text, ".eml": eml_text, ".html": lambda d: html_text(d.decode("utf-8", "replace"))}
 #: Formats that need a person or another program.
-BY_HAND = (".doc", ".ppt", ".xls", ".hwp", ".hwpx")
+BY_HAND = (".doc", ".ppt", ".xls", ".hwp")
+#: Fixed value: how a file of the oldest word-processor format begins, whatever its name says.
+LEGACY_HEADER = b"HWP Document File V3.00"
 
 
 def pdf_text(data: bytes, limit: int) -> tuple[str, int] | None:
@@ -152,8 +168,14 @@ def pdf_text(data: bytes, limit: int) -> tuple[str, int] | None:
 
 def _one(ext: str, data: bytes, settings: Settings, ocr: bool) -> tuple[str, str, int]:
     try:
-        if ext in BY_HAND:
+        if ext in BY_HAND or data.startswith(LEGACY_HEADER):
             return "manual_review_required", "", 0
+        if ext == ".hwpx":
+            try:
+                text = hwpx_text(data)
+            except Exception:  # protected or damaged: a person can still open it
+                return "manual_review_required", "", 0
+            return ("success" if text.strip() else "empty_text"), text, 0
         if ext == ".pdf":
             got = pdf_text(data, settings.excerpt_chars)
             if got is None:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,3 +42,22 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_inside(spark: SparkSession, root: str, name: str) -> bool:
+    """Delete what ``name`` is below ``root``; raises for a name that leads elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    base = path(root)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if name.startswith("/") or ":" in name or any(part in ("", ".", "..") for part in name.split("/")):
+        raise ValueError(f"{name!r} is not below the folder")
+    return fs.delete(path(base, name), True)
+
+
+def clear_old(spark: SparkSession, hours: float = 24) -> int:
+    """Delete what lies in the shared folder for longer than ``hours``; how many entries.  For a time when no job runs that long."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    before = time.time() * 1000 - hours * 3_600_000
+    old = [s.getPath() for s in fs.listStatus(root) if s.getModificationTime() < before] if fs.exists(root) else []
+    return sum(fs.delete(p, True) for p in old)

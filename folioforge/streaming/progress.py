@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -19,6 +21,43 @@ def counters(events: DataFrame, watermark: str | None = None) -> DataFrame:
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
+#: Events that change a run's state; others are records of its work.
+STATES = ("scanning", "start", "complete", "cancelled", "error", "reset")
+
+
+def run_state(events: DataFrame) -> DataFrame:
+    """``run_id, status, processed, seq`` from a run's events ``run_id, seq, type``: its last state, and the records since it was last reset.
+
+    A run without any state is ``idle``.
+    """
+    state = F.col("type").isin(*STATES)
+    reset = events.filter("type = 'reset'").groupBy("run_id").agg(F.max("seq").alias("reset"))
+    after = events.join(reset, "run_id", "left").filter(F.col("reset").isNull() | (F.col("seq") >= F.col("reset")))
+    last = F.max_by(F.when(state, F.col("type")), F.when(state, F.col("seq")))
+    return after.groupBy("run_id").agg(F.coalesce(last, F.lit("idle")).alias("status"), F.count_if(~F.coalesce(state, F.lit(False))).alias("processed"), F.max("seq").alias("seq"))
+
+
+def sync_and_tail(events: DataFrame, seen: int) -> DataFrame:
+    """What a late reader gets: one ``sync`` row of each run's state up to ``seen``, then every later event: ``run_id, seq, type, status, processed``."""
+    sync = run_state(events.filter(F.col("seq") <= seen)).select("run_id", "seq", F.lit("sync").alias("type"), "status", "processed")
+    tail = events.filter(F.col("seq") > seen).select("run_id", "seq", "type", F.lit(None).cast("string").alias("status"), F.lit(None).cast("long").alias("processed"))
+    return sync.unionByName(tail)
+
+
+def run_cancellable(stream: DataFrame, out: str, checkpoint: str, cancelled: Callable[[], bool], poll_seconds: float = 0.2) -> bool:
+    """Work off what there is until ``cancelled`` says so; True if all is done.
+
+    What finished micro-batches have written stays, and the next call with the
+    same ``checkpoint`` goes on behind them.
+    """
+    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    while not q.awaitTermination(poll_seconds):
+        if cancelled():
+            q.stop()
+            return False
+    return True
+
+
 def windowed(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts in tumbling windows; what is later than the watermark is dropped by Spark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))

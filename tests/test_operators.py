@@ -187,6 +187,22 @@ def test_stream_rewrites_only_what_it_touches(spark):
     assert progress.snapshot_rows(spark, snapshot).isEmpty()
 
 
+def test_a_cancelled_stream_goes_on_where_it_stopped(spark):
+    source, out, mark = (scratch(spark, t) for t in ("source", "out", "mark"))
+    for k in range(6):
+        spark.range(k * 10, k * 10 + 10).coalesce(1).write.mode("append").parquet(source)
+    stream = lambda: progress.file_stream(spark, source, spark.range(1).schema, 1)
+    assert not progress.run_cancellable(stream(), out, mark, lambda: True, 0.01)
+    assert progress.run_cancellable(stream(), out, mark, lambda: False)
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(60))
+
+
+def test_pages_that_came_too_late(spark):
+    rows = [(1, 0, "x" * 50, 10.0, False), (1, 1, "", 0.0, True), (2, 0, "", 0.0, True), (3, 0, "y" * 50, 20.0, None)]
+    df = spark.createDataFrame(rows, "item_id int, page int, text string, confidence double, late boolean")
+    assert {r["item_id"]: r["status"] for r in records.merge_pages(df, timed_out=F.col("late")).collect()} == {1: "timeout_partial", 2: "ocr_empty_text", 3: "success"}
+
+
 def test_image_fits(spark):
     df = spark.createDataFrame([(2000, 3000), (400, 600)], "w int, h int")
     fit = lambda n: [(r[0]["width"], r[0]["height"]) for r in df.select(records.fitted(F.col("w"), F.col("h"), n)).collect()]

@@ -4,7 +4,10 @@ import io
 import json
 import zipfile
 
-from folioforge.sources import extract, inventory, sinks
+import pytest
+
+from folioforge.config import Settings
+from folioforge.sources import extract, inventory, scratch, sinks
 
 
 def zipped(**members):
@@ -46,6 +49,39 @@ def test_scan_and_extract(spark, tmp_path):
     assert out == {"a.docx": "success", "b.eml": "success", "~$a.docx": "unsupported_inference", "x.xlsx": "skipped_out_of_scope", "bad.docx": "error:BadZipFile", "l.doc": "manual_review_required"}
 
 
+HWPX = zipped(Contents__section0='<hs:sec xmlns:hs="s" xmlns:hp="p"><hp:p><hp:run><hp:t>First </hp:t><hp:t>line</hp:t></hp:run></hp:p><hp:p/></hs:sec>', Contents__section10="<s><p><t>last</t></p></s>", Contents__section2="<s><p><t>second</t></p></s>")
+
+
+def test_word_processor_files():
+    assert extract.hwpx_text(HWPX) == "First line\nsecond\nlast"
+    one = lambda ext, data: extract._one(ext, data, Settings(), False)[:2]
+    assert one(".hwpx", HWPX) == ("success", "First line\nsecond\nlast") and one(".hwpx", b"no zip") == ("manual_review_required", "")
+    assert one(".docx", extract.LEGACY_HEADER + b" rest") == ("manual_review_required", "") and one(".hwp", b"") == ("manual_review_required", "")
+
+
+def test_caches_and_downloads(spark, tmp_path):
+    files = spark.createDataFrame([("a/b", "x.pdf", ".pdf", 5), ("a", "y", "", 7)], "folder string, name string, ext string, size long")
+    sinks.survey_cache(files, str(tmp_path / "s"))
+    assert spark.read.json(str(tmp_path / "s" / "headline")).first()["total_files"] == 2
+    assert {r["node"]: r["total_files"] for r in spark.read.parquet(str(tmp_path / "s" / "folders")).collect()} == {"a": 2, "a/b": 1}
+    sinks.json_lines(spark.createDataFrame([(1, None)], "i int, t string"), str(tmp_path / "j"))
+    assert [json.loads(r[0]) for r in spark.read.text(str(tmp_path / "j")).collect()] == [{"i": 1, "t": None}]
+    sinks.mapping_csv(spark.createDataFrame([("a,b", 'q"')], "old string, new string"), str(tmp_path / "m"))
+    assert tuple(spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "m")).first()) == ("a,b", 'q"')
+
+
+def test_scratch_is_cleared_by_age_and_within_its_folder(spark, tmp_path):
+    (tmp_path / "in" / "x").mkdir(parents=True)
+    (tmp_path / "other").write_text("stays")
+    root = f"file://{tmp_path / 'in'}"
+    for name in ("../other", "", "/etc", ".", "a/../../other", "file:/etc"):
+        with pytest.raises(ValueError):
+            scratch.delete_inside(spark, root, name)
+    assert scratch.delete_inside(spark, root, "x") and (tmp_path / "other").exists() and (tmp_path / "in").exists()
+    old = scratch.written(spark.range(3), "old")
+    assert scratch.clear_old(spark, 1000) == 0 and old.count() == 3
+
+
 def test_workbook_logs_and_settings(spark, tmp_path):
     (tmp_path / "w").mkdir()
     (tmp_path / "w" / "r.xlsx").write_bytes(XLSX)
