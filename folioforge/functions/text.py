@@ -72,15 +72,14 @@ def is_boilerplate(c: Column, rules: RulePack = NEUTRAL) -> Column:
 
 
 def is_garbled(c: Column) -> Column:
-    """Of three words or more, 40 % without a vowel or 70 % of three letters."""
+    """Of three words or more, 40 % without a vowel or 70 % of three letters.
 
-    def test(words: Column) -> Column:
-        n = F.size(words)
-        mute = F.size(F.filter(words, lambda w: ~w.rlike("[aeiouAEIOU]")))
-        short = F.size(F.filter(words, lambda w: F.length(w) <= 3))
-        return (n >= 3) & ((mute / n >= 0.4) | (short / n >= 0.7))
-
-    return let(F.regexp_extract_all(c, F.lit("([A-Za-z]{3,})"), F.lit(1)), test)
+    A word is a run of three letters or more; each kind is counted by a pattern,
+    without an array of the words.
+    """
+    mute = count_of(c, "(?<![A-Za-z])[B-DF-HJ-NP-TV-Zb-df-hj-np-tv-z]{3,}(?![A-Za-z])")
+    short = count_of(c, "(?<![A-Za-z])[A-Za-z]{3}(?![A-Za-z])")
+    return let(count_of(c, "[A-Za-z]{3,}"), lambda n: (n >= 3) & ((mute / n >= 0.4) | (short / n >= 0.7)))
 
 
 def is_file_name_phrase(c: Column) -> Column:
@@ -91,10 +90,6 @@ def is_file_name_phrase(c: Column) -> Column:
 def is_noise(c: Column) -> Column:
     """Runs of signs, too few letters, a fifth of signs, or half of the tokens of one or two characters."""
 
-    def scattered(tokens: Column) -> Column:
-        tiny = F.size(F.filter(tokens, lambda t: F.length(t) <= 2))
-        return (F.size(tokens) > 0) & (tiny / F.size(tokens) >= 0.5)
-
     def test(s: Column) -> Column:
         signs = chars_of(s, r"[^A-Za-z가-힣0-9\s.,;:!?()\-]")
         return (
@@ -102,7 +97,7 @@ def is_noise(c: Column) -> Column:
             | s.rlike(r"(?U)[\|`~^_=]{2,}|[^\w\s가-힣A-Za-z.,;:!?()\-]{4,}")
             | (chars_of(s, "[A-Za-z가-힣0-9]") < 10)
             | (signs / F.greatest(F.lit(1), F.length(s)) >= 0.2)
-            | let(F.regexp_extract_all(s, F.lit("([A-Za-z가-힣0-9]+)"), F.lit(1)), scattered)
+            | let(count_of(s, "[A-Za-z가-힣0-9]+"), lambda n: (n > 0) & (count_of(s, "(?<![A-Za-z가-힣0-9])[A-Za-z가-힣0-9]{1,2}(?![A-Za-z가-힣0-9])") / n >= 0.5))
         )
 
     return let(F.trim(F.coalesce(c, F.lit(""))), test)
