@@ -16,15 +16,17 @@ def _first_of_each(items: Column) -> Column:
     return F.array_sort(F.transform(once, lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"))))
 
 
-def best_sentence(c: Column, target: int = 34, prefer_hangul: Column | None = None, rules: RulePack = NEUTRAL) -> Column:
+def best_sentence(c: Column, target: int = 34, prefer_hangul: Column | None = None, rules: RulePack = NEUTRAL, cleaned: bool = False) -> Column:
     """The sentence with the best score; of equal scores the first; empty if there is none.
 
     Boilerplate and garbled sentences are out, and repeats by letters and
     digits.  Scores in order: domain words and preferred script, structure
-    words, closeness to ``target`` characters, length up to 80.
+    words, closeness to ``target`` characters, length up to 80.  ``cleaned``: the
+    text comes from :func:`T.clean_for_summary`, so that its sentences, which split
+    again where they did, need not be tested again.
     """
     prefer = F.lit(False) if prefer_hangul is None else prefer_hangul
-    good = F.filter(T.sentences(c), lambda s: ~T.is_boilerplate(s, rules) & ~T.is_garbled(s))
+    good = T.sentences(c) if cleaned else F.filter(T.sentences(c), lambda s: ~T.is_boilerplate(s, rules) & ~T.is_garbled(s))
     keyed = F.transform(good, lambda s: F.struct(s.alias("s"), F.regexp_replace(F.lower(s), "[^a-z0-9가-힣]+", "").alias("k")))
     once = _first_of_each(keyed)
 
@@ -117,7 +119,7 @@ def normal_summary(given: Column, text: Column, name: Column, limit: int = 80, l
         good = (seed != "") & ~T.is_boilerplate(seed, rules) & ~T.is_garbled(seed) & ~T.is_file_name_phrase(seed) & (~prefer | T.has_hangul(seed))
         return F.coalesce(
             F.when(good, seed),
-            T.blank_to_null(best_sentence(cleaned, max(30, limit - 6), prefer, rules)),
+            T.blank_to_null(best_sentence(cleaned, max(30, limit - 6), prefer, rules, True)),
             F.when(prefer, T.blank_to_null(best_hangul_phrase(cleaned, max(24, limit - 8), rules))),
             T.blank_to_null(T.collapse(cleaned)),
             T.sanitize(F.regexp_replace(name, r"\.[^.]+$", "")),
@@ -125,7 +127,7 @@ def normal_summary(given: Column, text: Column, name: Column, limit: int = 80, l
 
     def enriched(first: Column, cleaned: Column, prefer: Column) -> Column:
         longer = lambda extra: F.when((extra != "") & (extra != first), F.get(F.split(F.concat(first, F.lit(" "), extra), end), F.lit(0))).otherwise(first)
-        return F.when(F.length(first) >= least, first).otherwise(T.let(best_sentence(cleaned, limit, prefer, rules), longer))
+        return F.when(F.length(first) >= least, first).otherwise(T.let(best_sentence(cleaned, limit, prefer, rules, True), longer))
 
     def finished(first: Column) -> Column:
         cut = F.when(F.length(first) > limit, F.rtrim(F.substring(first, 1, limit))).otherwise(first)
