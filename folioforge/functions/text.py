@@ -67,6 +67,7 @@ def strip_status_tag(c: Column) -> Column:
 
 
 def is_boilerplate(c: Column, rules: RulePack = NEUTRAL) -> Column:
+    """Fewer than eight characters, or one of the patterns that say nothing; so null is."""
     s = F.trim(F.coalesce(c, F.lit("")))
     return (F.length(s) < 8) | any_of(s.rlike(p) for p in rules.boilerplate)
 
@@ -137,6 +138,7 @@ def has_hangul(c: Column) -> Column:
 
 
 def summary_acceptable(c: Column, prefer_hangul: Column, rules: RulePack = NEUTRAL) -> Column:
+    """Eight characters or more, no file name, noise, broken words, empty phrase or long number, and Hangul where that is preferred; null is not."""
 
     def test(s: Column) -> Column:
         bad = is_file_name_phrase(s) | is_noise(s) | is_garbled(s) | s.rlike(rules.low_value_summary) | s.rlike(r"(?U)\b\d{4,}\b|\+\d{1,3}\s?\d")

@@ -12,6 +12,7 @@ from folioforge.operators.survey import with_seq
 
 
 def approved(rows: DataFrame, column: str = "approval") -> DataFrame:
+    """Rows that a person has approved, with a Y in any case; null is no approval."""
     return rows.filter(F.upper(F.trim(F.col(column))) == "Y")
 
 
@@ -44,6 +45,7 @@ def chunks(rows: DataFrame, size: int = 20, order: str = "seq") -> DataFrame:
 
 
 def outcome(log: DataFrame) -> DataFrame:
+    """``processed, success`` of a log in one row."""
     return log.agg(F.count("*").alias("processed"), F.count_if(F.col("status") == "success").alias("success"))
 
 
@@ -99,6 +101,7 @@ def rollback_plan(rollback: DataFrame, inventory: DataFrame, folders: list[str])
 
 
 def rollback_preview(rollback: DataFrame, folders: list[str]) -> DataFrame:
+    """``total, filtered`` in one row: what could be undone, and what of it lies in the folders."""
     return rollback.agg(F.count("*").alias("total"), F.count_if(in_rollback_scope(F.col("path"), folders)).alias("filtered"))
 
 
@@ -109,6 +112,7 @@ def candidate_approval(rows: DataFrame) -> DataFrame:
 
 
 def affected_folders(log: DataFrame, ts: Column) -> DataFrame:
+    """``folder, renamed, last``: folders with a success, how many and when the last."""
     done = log.filter("status = 'success'")
     return done.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.count("*").alias("renamed"), F.max(ts).alias("last"))
 

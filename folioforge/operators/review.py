@@ -68,6 +68,7 @@ def rewrite_generic(rows: DataFrame, rules: RulePack = NEUTRAL, limit: int = 40)
 
 
 def badge(status: Column, needs_review: Column, conflict: Column, in_scope: Column) -> Column:
+    """What a row shows: the first that holds of renamed, failed, error, out_of_scope, conflict, review, else auto."""
     return F.when(status == "renamed", "renamed").when(status == "rename_failed", "failed").when(status == "analysis_error", "error").when(~in_scope, "out_of_scope").when(conflict, "conflict").when(needs_review, "review").otherwise("auto")
 
 
@@ -100,5 +101,6 @@ def manual_sample(rows: DataFrame, n: int = 10, order: str = "seq") -> DataFrame
 
 
 def tab_counts(rows: DataFrame) -> DataFrame:
+    """Rows behind each tab, and those whose analysis failed, in one row."""
     auto = ~F.col("needs_review") & ~F.col("conflict") & (F.col("status") != "analysis_error") & F.col("in_scope")
     return rows.agg(F.count_if(auto).alias("auto"), F.count_if(F.col("needs_review") & ~F.col("conflict")).alias("review"), F.count_if("conflict").alias("conflict"), F.count_if(F.col("status") == "analysis_error").alias("error"))

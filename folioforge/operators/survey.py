@@ -45,6 +45,7 @@ def ranged(rows: DataFrame, *order: str, sums: dict[str, F.Column], parts: int |
 
 
 def extension_breakdown(files: DataFrame) -> DataFrame:
+    """``ext, n, supported``: files of each extension; null and empty ones are ``(no ext)``."""
     named = F.coalesce(F.nullif("ext", F.lit("")), F.lit("(no ext)"))
     return files.groupBy(named.alias("ext")).agg(F.count("*").alias("n")).withColumn("supported", F.col("ext").isin(*SURVEY_SUPPORTED))
 
@@ -136,6 +137,16 @@ def run_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("total_files"), yes("supported").alias("supported_files"), yes("needs_review").alias("manual_review_count"), yes("hit").alias("cache_hits"))
 
 
+def within(files: DataFrame, folders: DataFrame, column: str = "path") -> DataFrame:
+    """Files that are one of the ``folders``, or lie in or below one: for as many folders as there are, by equi-joins on ancestors.
+
+    A null path is in none; an empty table of folders selects nothing.
+    """
+    paths = files.select(F.col("path").alias("p")).distinct().select("p", F.explode(ancestors(F.col("p"))).alias("a"))
+    chosen = paths.join(folders.select(F.btrim(F.col(column), F.lit("/")).alias("a")).distinct(), "a", "left_semi").select(F.col("p").alias("path")).distinct()
+    return files.join(chosen, "path", "left_semi").select(*files.columns)
+
+
 def selection_state(files: DataFrame, chosen: F.Column) -> DataFrame:
     """all, some or none of the files below each folder are chosen."""
     spread = files.groupBy("folder").agg(F.bool_and(chosen).alias("every"), F.bool_or(chosen).alias("any")).withColumn("node", F.explode(ancestors(F.col("folder"))))

@@ -111,6 +111,13 @@ def prefix_scope(spark, sf_dir):
     return A.files(spark, sf_dir).filter(paths.under_any(F.col("path"), ["en/src1", "de"])).select("item_id")
 
 
+@query(f"""{FILES} SELECT item_id FROM v_files WHERE starts_with(path, 'en/src1/') OR starts_with(path, 'de/') OR item_id = 1""")
+def prefix_scope_join(spark, sf_dir):
+    f = A.files(spark, sf_dir)
+    folders = spark.createDataFrame([("/en/src1/",), ("de",), ("de/src2",), ("nowhere",)], "path string").union(f.filter("item_id = 1").select("path"))
+    return survey.within(f, folders).select("item_id")
+
+
 @query(f"""{FILES} SELECT item_id FROM v_files WHERE contains(path, '/src1/') OR contains(path, '/src2/')""")
 def rollback_scope(spark, sf_dir):
     return A.files(spark, sf_dir).filter(paths.in_rollback_scope(F.col("path"), ["src1", "src2"])).select("item_id")

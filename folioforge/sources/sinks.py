@@ -19,10 +19,12 @@ def review_table(rows: DataFrame, path: str, order: str = "item_id") -> None:
 
 
 def review_csv(rows: DataFrame, path: str) -> None:
+    """The review table as CSV with a header, replacing what is there."""
     rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def rename_log(log: DataFrame, path: str) -> None:
+    """Add a log to those below ``path``, as JSON and as CSV."""
     log.write.mode("append").json(f"{path}/json")
     log.write.mode("append").option("header", True).csv(f"{path}/csv")
 
