@@ -18,12 +18,12 @@ prefix admits is compared or already connected.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.llm.batches import ending, only
@@ -35,12 +35,16 @@ from folioforge.llm.storage import discard, release, staged
 #: A similarity of NUM / DEN or more links.
 NUM, DEN = 75, 100
 COMMON = 1 << 62
+#: Columns that name a group.
+GROUP = ["g", "g2"]
 #: Size of the summary of common tokens that is sent to every task, and the count from which a token is common.
 SUMMARY, COMMON_FROM = 1 << 16, 24
 #: Star rounds look only at pairs that share this part of a prefix: those are likely links.  The last round looks at all.
 LIKELY = 0.25
 #: Members of a posting list that one task of the last round holds; a longer list is cut into blocks that meet two by two.
 BLOCK = 2048
+#: Documents of a common token from which its posting list is dealt out over tasks, and not sorted in one.
+LONG_LIST = 1 << 17
 #: Pairs that are made at once.
 PAIRS = 1 << 18
 
@@ -50,8 +54,8 @@ def prefix_length(n: np.ndarray | int) -> np.ndarray | int:
     return n - -(-n * NUM // DEN) + 1
 
 
-def common_tokens(docs: DataFrame) -> np.ndarray:
-    """Tokens that occur in many documents, by a summary that every document enters.
+def common_tokens(docs: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """Tokens that occur in many documents, by a summary that every document enters, and those of them with long lists.
 
     A task counts its tokens in blocks and passes on those that it met twice or
     more in a block, the most frequent ``SUMMARY`` of them; counts are added and
@@ -80,7 +84,7 @@ def common_tokens(docs: DataFrame) -> np.ndarray:
 
     counts = docs.select("text").mapInArrow(ending(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.filter(F.col("n") >= COMMON_FROM).orderBy(F.desc("n"), "token").limit(SUMMARY).collect()
-    return np.sort(np.array([r["token"] for r in top], np.int64))
+    return np.sort(np.array([r["token"] for r in top], np.int64)), [r["token"] + COMMON for r in top if r["n"] > LONG_LIST]
 
 
 def members_of(docs: DataFrame, common: np.ndarray) -> DataFrame:
@@ -132,12 +136,22 @@ def _columns(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return [b.column(c).to_numpy(zero_copy_only=False) for c in names]
 
 
-def shared_runs(postings: DataFrame) -> DataFrame:
+def long_runs(banded: DataFrame) -> DataFrame:
+    """What :func:`shared_runs` makes, by aggregates: no task has a whole list, but for one row of each of its bands."""
+    rows = banded.dropDuplicates(["token", *GROUP])
+    bands = rows.groupBy("token", "band").agg(F.min(F.struct("info", *GROUP)).alias("lead"), F.count("*").alias("k"))
+    many = bands.groupBy("token").agg(F.sum("k").alias("k")).filter("k > 1").select("token")
+    leads = bands.join(many, "token", "left_semi").select("token", "band", F.col("lead.g").alias("pivot"), F.col("lead.g2").alias("pivot2"))
+    return rows.join(leads, ["token", "band"]).select("token", F.col("n").cast("long").alias("n"), *GROUP, "info", "pivot", "pivot2")
+
+
+def shared_runs(postings: DataFrame, long_lists: Sequence[int] = ()) -> DataFrame:
     """Posting lists of two groups or more, repeats of a group dropped: ``token, n, g, g2, info, pivot, pivot2``.
 
     A member's pivot is, of the members of its list in its band of sizes, the one
     with the fewest tokens that are not common: in a family of near copies that is
-    the one the others were made from, or near to it.
+    the one the others were made from, or near to it.  A list is sorted in one task,
+    but for those of the tokens ``long_lists``, ``SUMMARY`` of them at most.
     """
     names = ["token", "n", "g", "g2", "info", "band"]
 
@@ -169,8 +183,13 @@ def shared_runs(postings: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x[out].astype(np.int64)) for x in (t, n, g, g2, info, lead, lead2)], ["token", "n", "g", "g2", "info", "pivot", "pivot2"])
 
     banded = postings.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))).cast("int"))
+    dealt = None
+    if long_lists:
+        listed = F.broadcast(postings.sparkSession.createDataFrame([(t,) for t in long_lists], "token long"))
+        dealt, banded = long_runs(banded.join(listed, "token", "left_semi")), banded.join(listed, "token", "left_anti")
     sorted_ = banded.repartition("token").sortWithinPartitions("token", "band", "info", "g", "g2").select(*names)
-    return sorted_.mapInArrow(ending(run), "token long, n long, g long, g2 long, info long, pivot long, pivot2 long")
+    out = sorted_.mapInArrow(ending(run), "token long, n long, g long, g2 long, info long, pivot long, pivot2 long")
+    return out if dealt is None else out.unionByName(dealt)
 
 
 def _then_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -178,18 +197,29 @@ def _then_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def in_cells(runs: DataFrame, block: int = BLOCK) -> DataFrame:
+def in_cells(runs: DataFrame, block: int | None = None) -> DataFrame:
     """Members of posting lists with more than one label, each with the cells in which it meets others: ``cell, own`` are added.
 
-    A list of up to ``block`` members is one cell.  A longer one is cut into blocks
-    by the groups' names, and every two blocks meet in a cell; ``own``: the cell
-    of a block with itself.
+    A list is cut into blocks of about ``block`` members, and two blocks meet in a
+    cell; ``own``: the cell of a block with itself.  A label with more members than
+    a block has blocks of its own, which do not meet one another, so a large
+    component costs nothing but its meetings with the others.
     """
-    sizes = runs.groupBy("token").agg(F.count("*").alias("k"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
-    rows = runs.join(sizes.select("token", F.ceil(F.col("k") / block).cast("int").alias("blocks")), "token")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("g", "g2"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = F.least("block", "other").cast("long") * F.col("blocks") + F.greatest("block", "other")
+    block = block or BLOCK
+    kinds = runs.groupBy("token", "label").agg(F.count("*").alias("k"))
+    parts = F.ceil(F.col("k") / block).cast("int")
+    large = F.col("k") > block
+    lists = kinds.groupBy("token").agg(F.count("*").alias("labels"), F.sum(F.when(large, 0).otherwise(F.col("k"))).alias("few"), F.sum(F.when(large, parts).otherwise(0)).alias("more")).filter("labels > 1")
+    lists = lists.select("token", F.ceil(F.col("few") / block).cast("int").alias("blocks"), F.col("more").cast("int").alias("more"))
+    before = Window.partitionBy("token").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)  # one row for each ``block`` members at most
+    own = kinds.filter(large).select("token", "label", parts.alias("parts"), F.coalesce(F.sum(parts).over(before), F.lit(0)).cast("int").alias("at"))
+    rows = runs.join(lists, "token").join(own, ["token", "label"], "left").withColumn("total", F.col("blocks") + F.col("more"))
+    rows = rows.withColumns({"low": F.coalesce(F.col("blocks") + F.col("at"), F.lit(0)), "width": F.coalesce("parts", F.lit(0))})
+    place = F.pmod(F.xxhash64("g", "g2"), F.coalesce("parts", "blocks")).cast("int")
+    span = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>"))
+    others = F.concat(span(F.lit(0), F.col("low")), span(F.col("low") + F.col("width"), F.col("total")))
+    rows = rows.withColumns({"block": F.col("low") + place, "other": F.explode(others)})
+    cell = F.least("block", "other").cast("long") * F.col("total") + F.greatest("block", "other")
     return rows.select("token", cell.alias("cell"), "label", "n", "g", "g2", "last", "info", "block", (F.col("block") == F.col("other")).alias("own"))
 
 
@@ -291,9 +321,6 @@ def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keep], pa.int64()), pa.array([s for _, s in keep], pa.binary())], ["cid", "tokens"])
 
 
-GROUP = ["g", "g2"]
-
-
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 2) -> DataFrame:
     """Components of documents linked by a similarity of 0.75 or more of their distinct five-word shingles.
 
@@ -311,14 +338,14 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     given = only(docs, id=id_col, text=text_col)
     given = given.withColumn("mark", F.when(F.col("id").isNull(), F.md5("text")))
-    common = common_tokens(given)
+    common, long_lists = common_tokens(given)
     members = staged(members_of(given, common), "members")
     # a class is numbered where it is written: numbers are exact names, and short
     classes = members.filter("n > 0").groupBy("digest", *GROUP, "n", "last").agg(F.min("id").alias("rep"), F.count("*").alias("group_size"))
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     postings = members.filter("prefix IS NOT NULL").select(F.posexplode("prefix").alias("at", "token"), "n", *GROUP, "light")
     postings = postings.select("token", "n", *GROUP, F.shiftleft(F.col("light").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("info"))
-    runs = staged(shared_runs(postings), "runs")
+    runs = staged(shared_runs(postings, long_lists), "runs")
     with_prefix, members = members, staged(members.select("id", "mark", "n", "digest"), "members")
     discard(with_prefix)
     release(spark)

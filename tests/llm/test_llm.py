@@ -312,6 +312,8 @@ def test_jaccard_components_with_common_tokens(spark, monkeypatch):
     texts += [(200 + k, passage + " " + prose(4 + k, 300 + k)) for k in range(40)]
     texts += [(300 + k, line) for k in range(20)] + [(400 + k, near(passage, k % 4, 400 + k)) for k in range(20)]
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(jaccard_join, "LONG_LIST", 15)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
     for least in (2, 10, 10**6):
         monkeypatch.setattr(jaccard_join, "COMMON_FROM", least)
         assert joined(jaccard_join.jaccard_components(df)) == brute(texts), least
@@ -326,9 +328,10 @@ def test_texts_without_an_identifier_link_others(spark):
     assert joined(jaccard_join.jaccard_components(df)) == brute(texts)
 
 
-@pytest.mark.parametrize("seed,block,pairs", [(1, 2, 3), (2, 5, 40), (3, 2048, 1 << 18)])
-def test_random_families(spark, monkeypatch, seed, block, pairs):
-    """Families that drift from their first member, with lists cut into small blocks."""
+@pytest.mark.parametrize("seed,block,pairs,long_list", [(1, 2, 3, 8), (2, 5, 40, 12), (3, 2048, 1 << 18, 1 << 17)])
+def test_random_families(spark, monkeypatch, seed, block, pairs, long_list):
+    """Families that drift from their first member, with lists cut into small blocks and, if they are long, dealt out."""
+    monkeypatch.setattr(jaccard_join, "LONG_LIST", long_list)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     monkeypatch.setattr(jaccard_join, "PAIRS", pairs)
     monkeypatch.setattr(jaccard_join, "COMMON_FROM", 8)
@@ -343,6 +346,35 @@ def test_random_families(spark, monkeypatch, seed, block, pairs):
     assert joined(jaccard_join.jaccard_components(df)) == brute(texts)
 
 
+def test_long_lists_are_the_same_dealt_out(spark):
+    r = random.Random(5)
+    groups = [(r.randrange(1 << 40), r.randrange(1 << 40), r.choice([20, 21, 30, 31, 90])) for _ in range(60)]
+    rows = {(t, n, g, g2, (1 + (g + t) % 3 << 32) | t % 7) for t in range(5) for g, g2, n in (groups if t else groups[:1])}
+    postings = spark.createDataFrame([x for x in rows for _ in range(2)], "token long, n int, g long, g2 long, info long").repartition(3)
+    plain, dealt = (sorted(map(tuple, jaccard_join.shared_runs(postings, x).collect())) for x in ([], [0, 1, 3]))
+    assert plain == dealt and len(plain) == 4 * len(groups)
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, 100])
+def test_members_of_two_labels_meet_once(spark, block):
+    """Every two members of a list that have two labels meet in one cell, and blocks of one large label in none."""
+    r = random.Random(block)
+    label = {g: 0 if g < 30 else 1 if g < 42 else r.randrange(2, 9) for g in range(60)}
+    rows = [(t, label[g], 9, g, -g, 5, 3) for t in (1, 2) for g in range(60)] + [(3, 0, 9, g, -g, 5, 3) for g in range(30)]
+    runs = spark.createDataFrame(rows, "token long, label long, n long, g long, g2 long, last long, info long")
+    found = jaccard_join.in_cells(runs, block).collect()
+    cells = {}
+    for x in found:
+        cells.setdefault((x["token"], x["cell"]), []).append(x)
+    met = Counter()
+    for (token, _), members in cells.items():
+        for x, y in itertools.combinations(members, 2):
+            if x["label"] != y["label"] and (x["own"] or x["block"] != y["block"]):
+                met[token, *sorted((x["g"], y["g"]))] += 1
+            assert x["label"] != 0 or y["label"] != 0 or block >= 30 or x["block"] == y["block"]
+    assert met == Counter({(t, a, b): 1 for t in (1, 2) for a, b in itertools.combinations(range(60), 2) if label[a] != label[b]})
+
+
 def test_shingles_do_not_depend_on_the_batch():
     texts = [t.encode() for _, t in TEXTS if t is not None]
     alone = [shingle_sets([t])[0] for t in texts]
