@@ -50,8 +50,8 @@ def site_of(url: Column) -> Column:
 
 
 def share_token(url: Column) -> Column:
-    """URL-safe base64 without padding, as share links want it."""
-    return F.concat(F.lit("u!"), F.rtrim(F.translate(F.base64(url.cast("binary")), "+/", "-_"), F.lit("=")))
+    """URL-safe base64 without padding and in one line, as share links want it; Spark breaks its own after 76 characters."""
+    return F.concat(F.lit("u!"), F.rtrim(F.translate(F.base64(url.cast("binary")), "+/\r\n", "-_"), F.lit("=")))
 
 
 def natural_key(c: Column, digits: int = 20) -> Column:

@@ -1,5 +1,7 @@
 """Scalar functions against values worked out by hand."""
 
+import base64
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +107,10 @@ def test_prefix_is_kept(spark):
     rules = RulePack(org_name="Org")
     out = values(spark, ["Org_Case_rest of it.pdf", "plain.pdf"], lambda c: paths.existing_prefix(c, F.lit("Project"), rules))
     assert [(r["prefix"], r["tail"]) for r in out] == [("Org_Case", "rest of it"), ("Org_Project", "plain")]
+
+
+def test_share_tokens_of_long_addresses(spark):
+    """57 bytes fill a line of base64; longer addresses and other letters stay in one."""
+    urls = ["https://x.example/" + "a" * n for n in (0, 38, 39, 40, 41, 200)] + ["https://x.example/통지?>>>" * 20, None]
+    expected = ["u!" + base64.urlsafe_b64encode(u.encode()).decode().rstrip("=") for u in urls[:-1]] + [None]
+    assert values(spark, urls, paths.share_token) == expected
