@@ -48,6 +48,25 @@ def test_query_equals_sql(spark, duck, name):
     assert rows_of(columns, [r.asDict() for r in got]) == rows_of(columns, expected)
 
 
+@pytest.fixture(scope="module")
+def numbered(spark, tmp_path_factory):
+    """The documents under numbers of which some read as dates, such as 13 10 22."""
+    path = str(tmp_path_factory.mktemp("numbered"))
+    spark.read.parquet(f"{SF}/documents.parquet").withColumn("doc_id", F.col("doc_id") + 131000).write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["review_reason"])
+def test_numbers_of_items_are_no_dates(spark, numbered, name):
+    """Against the SQL of the query."""
+    df = catalog.QUERIES[name](spark, numbered)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{numbered}/documents.parquet/*.parquet'")
+    columns, rel = sorted(df.columns), con.sql(catalog.SQL[name])
+    expected = [dict(zip(rel.columns, r, strict=True)) for r in rel.fetchall()]
+    assert expected and rows_of(columns, [r.asDict() for r in df.collect()]) == rows_of(columns, expected)
+
+
 def proposal(spark, name, text="Statement of Claim 2024.05.14", **more):
     row = {"item_id": 1, "path": f"case/{name}", "folder": "case", "name": name, "ext": ".pdf", "extraction_status": "success", "text_excerpt": text} | more
     df = spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {'int' if k == 'item_id' else 'string'}" for k in row))
