@@ -56,7 +56,7 @@ def numbered(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["review_reason", "badges", "review_tab_auto", "review_tab_counts"])
+@pytest.mark.parametrize("name", ["review_reason", "badges", "review_tab_auto", "review_tab_counts", "two_key_counts"])
 def test_numbers_of_items_are_no_dates(spark, numbered, name):
     """Against the SQL of the query."""
     df = catalog.QUERIES[name](spark, numbered)
