@@ -23,6 +23,8 @@ PATTERNS = [
     (rf"{_YYYY}{_M2}(?!\d)", 1, 2, 0),
     (rf"(?U)\b(\d{{2}})[.\-/\s]+{_MM}\b", 1, 2, 0),
 ]
+#: What every match of one of these holds, so that a text without it has no date.
+NEEDED = r"(?U)(?:19|20)\d{2}(?:[.\-/년\s]|[01]\d)|[.\-/\s](?:19|20)\d{2}|\d{2}[.\-/\s]+\d|\d{2}[01]\d[0-3]\d"
 SUFFIX = r"_(\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01]))$"
 
 
@@ -46,7 +48,7 @@ def _found(c: Column, pattern: str, y: int, m: int, d: int) -> Column:
 
 def infer_date(c: Column) -> Column:
     """The first pattern in order whose first match is in the calendar decides, wherever it stands."""
-    return let(F.coalesce(c, F.lit("")), lambda s: F.coalesce(*(_found(s, *p) for p in PATTERNS), F.lit(UNKNOWN)))
+    return let(F.coalesce(c, F.lit("")), lambda s: F.when(s.rlike(NEEDED), F.coalesce(*(_found(s, *p) for p in PATTERNS), F.lit(UNKNOWN))).otherwise(UNKNOWN))
 
 
 def given_date(c: Column, compat: bool = True) -> Column:

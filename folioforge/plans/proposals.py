@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from folioforge.config import Settings
 from folioforge.functions import dates, paths
 from folioforge.functions import text as T
-from folioforge.operators import ranking, review
+from folioforge.operators import quick, review
 from folioforge.operators.survey import supported
 
 #: Fields that an enricher may add to an extraction.
@@ -68,9 +68,9 @@ def propose(rows: DataFrame, settings: Settings | None = None, enrich: Callable[
     c = c.withColumns({
         "doc_type": F.coalesce(T.blank_to_null(T.sanitize(F.coalesce(T.blank_to_null(F.col("doc_type")), kind))), F.lit(r.default_type)),
         "document_date": dates.document_date(F.col("_stem"), name, F.col("document_date"), text),
-        "keyword": F.when(low_ocr, "").when(told != "", told).otherwise(ranking.keyword(name, text, r)),
+        "keyword": F.when(low_ocr, "").when(told != "", told).otherwise(quick.keyword(name, text, r)),
         "_seed": T.summary_seed(T.sanitize(F.col("summary"))),
-        "_made": ranking.normal_summary(F.lit(""), text, name, 80, 24, r),
+        "_made": quick.summary(text, name, 80, 24, r),
         "_prefix": paths.existing_prefix(name, F.col("case_name"), r),
     })
     seed = F.col("_seed")

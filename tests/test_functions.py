@@ -1,6 +1,7 @@
 """Scalar functions against values worked out by hand."""
 
 import base64
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,12 @@ def test_share_tokens_of_long_addresses(spark):
     urls = ["https://x.example/" + "a" * n for n in (0, 38, 39, 40, 41, 200)] + ["https://x.example/통지?>>>" * 20, None]
     expected = ["u!" + base64.urlsafe_b64encode(u.encode()).decode().rstrip("=") for u in urls[:-1]] + [None]
     assert values(spark, urls, paths.share_token) == expected
+
+
+def test_texts_without_dates_are_passed_over(spark):
+    """Against every pattern on strings of digits and signs."""
+    draw = random.Random(5)
+    made = ["".join(draw.choice(["20", "19", "1", "0", "5", "12", "3", "x", ".", "-", "/", " ", "년", "월", "_", "٣", "\u00a0"]) for _ in range(draw.randint(2, 9))) for _ in range(20000)]
+    plain = lambda c: F.coalesce(*(dates._found(c, *p) for p in dates.PATTERNS), F.lit(dates.UNKNOWN))
+    pairs = values(spark, made, lambda c: F.struct(dates.infer_date(c), plain(c), c.rlike(dates.NEEDED)))
+    assert [p[0] for p in pairs] == [p[1] for p in pairs] and sum(p[1] != dates.UNKNOWN for p in pairs) > 300 and any(not p[2] for p in pairs)
