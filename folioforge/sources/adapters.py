@@ -40,10 +40,15 @@ v_named AS (SELECT *, lang || '/' || source || '/' || (doc_id % 5 + 1) || '. cat
 v_files AS (SELECT doc_id AS item_id, folder, name, ext, folder || '/' || name AS path, n_chars AS size, strftime(TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL 1 MINUTE, '%Y-%m-%dT%H:%M:%S') AS modified FROM v_named)"""
 
 
+def extraction_status(item_id: F.Column) -> F.Column:
+    """What came of reading an item; an item without a number can't be read."""
+    return F.coalesce(_pick(STATUSES, item_id), F.lit("error:parse"))
+
+
 def extractions(spark: SparkSession, sf_dir: str, excerpt_chars: int = 8000) -> DataFrame:
     """``item_id, extraction_status, text_excerpt`` of each document."""
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("item_id"), _pick(STATUSES, F.col("doc_id")).alias("extraction_status"), F.substring("text", 1, excerpt_chars).alias("text_excerpt"))
+    return d.select(F.col("doc_id").alias("item_id"), extraction_status(F.col("doc_id")).alias("extraction_status"), F.substring("text", 1, excerpt_chars).alias("text_excerpt"))
 
 
 def snapshot_and_feed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -67,6 +67,37 @@ def test_numbers_of_items_are_no_dates(spark, numbered, name):
     assert expected and rows_of(columns, [r.asDict() for r in df.collect()]) == rows_of(columns, expected)
 
 
+@pytest.fixture(scope="module")
+def altered(spark, tmp_path_factory):
+    """Runs a query and its SQL over other documents: ``(name, rows) -> (got, expected)``."""
+
+    def run(name, rows):
+        path = str(tmp_path_factory.mktemp("altered"))
+        rows.write.parquet(f"{path}/documents.parquet")
+        df = catalog.QUERIES[name](spark, path)
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+        columns, rel = sorted(df.columns), con.sql(catalog.SQL[name])
+        expected = [dict(zip(rel.columns, r, strict=True)) for r in rel.fetchall()]
+        return rows_of(columns, [r.asDict() for r in df.collect()]), rows_of(columns, expected)
+
+    return run
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """Two documents under each number."""
+    return spark.read.parquet(f"{SF}/documents.parquet").withColumn("doc_id", F.expr("doc_id div 2"))
+
+
+def test_badges_of_repeated_and_missing_numbers(spark, altered, repeated):
+    """A badge for each row: none meets another of its number, and none is left out for want of one."""
+    got, expected = altered("badges", repeated)
+    assert len(expected) == repeated.count() and got == expected
+    got, expected = altered("badges", repeated.withColumn("doc_id", F.when(F.col("doc_id") % 9 != 4, F.col("doc_id"))))
+    assert len(expected) == repeated.count() and got == expected
+
+
 def proposal(spark, name, text="Statement of Claim 2024.05.14", **more):
     row = {"item_id": 1, "path": f"case/{name}", "folder": "case", "name": name, "ext": ".pdf", "extraction_status": "success", "text_excerpt": text} | more
     df = spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {'int' if k == 'item_id' else 'string'}" for k in row))
