@@ -111,6 +111,14 @@ def test_review_tab_auto_of_sources_like_dates(altered, dated, repeated):
     assert expected and got == expected
 
 
+def test_review_tab_counts_of_repeated_numbers(altered, dated, repeated):
+    """Each row counts once, whatever its source is called."""
+    got, expected = altered("review_tab_counts", repeated)
+    assert got == expected
+    got, expected = altered("review_tab_counts", dated)
+    assert got == expected
+
+
 def proposal(spark, name, text="Statement of Claim 2024.05.14", **more):
     row = {"item_id": 1, "path": f"case/{name}", "folder": "case", "name": name, "ext": ".pdf", "extraction_status": "success", "text_excerpt": text} | more
     df = spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {'int' if k == 'item_id' else 'string'}" for k in row))
