@@ -119,6 +119,13 @@ def test_review_tab_counts_of_repeated_numbers(altered, dated, repeated):
     assert got == expected
 
 
+def test_two_key_counts_of_repeated_numbers(altered, dated, repeated):
+    """Each row counts once, with the reason that SQL gives it."""
+    for rows in (repeated, dated):
+        got, expected = altered("two_key_counts", rows)
+        assert expected and got == expected
+
+
 def proposal(spark, name, text="Statement of Claim 2024.05.14", **more):
     row = {"item_id": 1, "path": f"case/{name}", "folder": "case", "name": name, "ext": ".pdf", "extraction_status": "success", "text_excerpt": text} | more
     df = spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {'int' if k == 'item_id' else 'string'}" for k in row))
