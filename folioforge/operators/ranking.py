@@ -79,9 +79,13 @@ def excerpt(c: Column, limit: int = 8000) -> Column:
     return T.let(T.collapse(c), made)
 
 
-def keyword(name: Column, text: Column, rules: RulePack = NEUTRAL) -> Column:
-    """The most telling phrase of name and text: domain words first, then count, then length, then place."""
-    source = F.regexp_replace(F.concat(name, F.lit("\n"), F.substring(F.coalesce(text, F.lit("")), 1, 12000)), r"(?i)PAGE\s+\d+", " ")
+def keyword(name: Column, text: Column, rules: RulePack = NEUTRAL, chars: int | None = 12000) -> Column:
+    """The most telling phrase of name and text: domain words first, then count, then length, then place.
+
+    Of the text the first ``chars`` characters; all of it if that is None.
+    """
+    given = F.coalesce(text, F.lit(""))
+    source = F.regexp_replace(F.concat(name, F.lit("\n"), given if chars is None else F.substring(given, 1, chars)), r"(?i)PAGE\s+\d+", " ")
     found = F.transform(F.regexp_extract_all(source, F.lit(r"([A-Za-z][A-Za-z0-9\- ]{2,40})"), F.lit(1)), lambda t: T.keyword_token(t, rules))
     used = F.array_sort(F.filter(F.transform(found, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: x["t"] != ""))
     # equal tokens stand together now: a run's length is its count

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioforge.config import KOREAN, NEUTRAL, RulePack
 from folioforge.functions import text as T
 from folioforge.operators import quick, ranking
+from folioforge.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TYPICAL = "The agreement of 2019 was signed. Dear all. Please find it here, thanks. This agreement is made between the two parties of the sale; see page 12. xyz brt klm. ||| === "
@@ -153,6 +154,21 @@ def test_quick_summaries_and_keywords(spark, texts):
             assert (s, k) == (t, m)
 
 
+def test_keywords_and_summaries_of_whole_texts(spark, texts, tmp_path):
+    """The query, on texts of which what counts stands behind the first 12,000 characters."""
+    plain = "Some grey birds sat by a quiet lake; " * 400
+    long = [plain + "The lease agreement ends. ", plain.replace(";", ".") + "old notice; new notice; new notice; ", "land report, " * 900 + "sea report, " * 1000, "." * 11995 + " agreement", "\U0001f600 " * 7000 + "grey memo", plain * 20 + "certificate of the land"]
+    everything = texts + long
+    spark.createDataFrame(list(enumerate(everything)), "doc_id int, text string").withColumn("source", F.lit("x1")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.QUERIES["summaries"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    whole = [keyword(f"x1.pdf\n{t or ''}", "") for t in everything]  # the model cuts its text, not its name
+    assert [r["keyword"] for r in got] == whole
+    assert whole[-6:] == ["The lease agreement ends", "new notice", "sea report", "agreement", "grey memo", "certificate of the land"]
+    assert [r["summary"] for r in got] == [summary(t, "x1") for t in everything]
+    assert apply(spark, everything, lambda c: ranking.keyword(F.lit("x1.pdf"), c, chars=None)) == whole
+    assert apply(spark, long[:1], lambda c: quick.keyword(F.lit("x1.pdf"), c, KOREAN, None)) == whole[-6:-5]  # a pack that is not portable
+
+
 def test_few_sentences_are_tested():
     """The query tests sentences in the order of their scores and no more than it needs."""
     s = quick.Sentences(" ".join(f"Sentence number {k} of a long text has some words in it." for k in range(3000)), [quick._pattern(p, False) for p in NEUTRAL.boilerplate], quick._pattern(NEUTRAL.summary_words, False), quick._pattern(NEUTRAL.structure_words, False))
